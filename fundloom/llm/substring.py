@@ -59,12 +59,15 @@ def anchors(text: bytes | None, window: int = WINDOW) -> tuple[np.ndarray, list[
     return at, [digest(joined[a:b]) for a, b in zip(starts[at].tolist(), ends[at + size - 1].tolist(), strict=True)]
 
 
-def runs(places: str, gap: int) -> list[Column]:
-    """The first and the last place of each run of an array's numbers; a step of more than gap ends a run."""
-    order = F.array_sort(places)
-    back = lambda x, i: (i == 0) | (x - F.get(order, i - 1) > gap)
-    ahead = lambda x, i: F.coalesce(F.get(order, i + 1) - x > gap, F.lit(True))
-    return [F.filter(order, back).alias("begin"), F.filter(order, ahead).alias("end")]
+def runs(places: str, gap: int) -> Column:
+    """begin and end: the first and the last place of each run of an array's numbers; a step of more than gap ends a run."""
+
+    def ends(order: Column) -> Column:
+        back = F.filter(order, lambda x, i: (i == 0) | (x - F.get(order, i - 1) > gap))
+        ahead = F.filter(order, lambda x, i: F.coalesce(F.get(order, i + 1) - x > gap, F.lit(True)))
+        return F.struct(back.alias("begin"), ahead.alias("end"))
+
+    return F.transform(F.array(F.array_sort(places)), ends)[0]  # binds the sorted array once
 
 
 def _flags(begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
@@ -174,11 +177,11 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     shared = once.groupBy("anchor").agg(F.min("did").alias("a"), F.max("did").alias("b")).where("a < b").select("anchor")
     shared = materialize(shared, "anchors")
     hit = texts.mapInArrow(_anchor_rows(window, True), "anchor long, did long, h1 long, at int").join(shared, "anchor", "left_semi")
-    hit = materialize(hit.groupBy("did", "h1").agg(F.collect_set("at").alias("at")).select("did", "h1", *runs("at", cover(window)[0])), "hits")
+    hit = materialize(hit.groupBy("did", "h1").agg(F.collect_set("at").alias("at")).select("did", "h1", runs("at", cover(window)[0]).alias("runs")).select("did", "h1", "runs.*"), "hits")
     windows = materialize(attach(texts, hit, ["did", "h1"]).select("did", "h1", "text", "begin", "end").mapInArrow(_window_rows(window), "hi long, lo int, did long, h1 long, at int"), "windows")
     least = windows.groupBy("hi", "lo").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     gone = windows.join(least, ["hi", "lo"]).where("did > first").groupBy("did", "h1").agg(F.collect_set("at").alias("at"))
-    return copies, materialize(gone.select("did", "h1", *runs("at", window)), "gone")
+    return copies, materialize(gone.select("did", "h1", runs("at", window).alias("runs")).select("did", "h1", "runs.*"), "gone")
 
 
 def span_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
