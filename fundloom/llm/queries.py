@@ -27,23 +27,68 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.sketch import fingerprint
+
+    return fingerprint(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.warc import archive_pages
+
+    return archive_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fundloom.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.chat import format_chats
+
+    said = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return format_chats(rows.unionByName(own))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.media import media_features
+
+    return media_features(table(spark, sf_dir, "documents"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fundloom.llm.substring import span_dedup
 
     return span_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.quality import select_quality
+
+    return select_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fundloom.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
+    "op3_sketch": op3_sketch,
+    "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
+    "op6_chat": op6_chat,
+    "op7_media": op7_media,
     "op8_substring": op8_substring,
+    "op9_quality": op9_quality,
+    "op10_licenses": op10_licenses,
 }
 
 SQL: dict[str, str] = {}
