@@ -171,6 +171,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     """What goes: (did, h1, h2) of the exact copies of at least `window` words, and (did, h1, begin, end) of other documents: runs of window starts."""
     keyed = _keyed(docs.select("doc_id", "text"))
     first = keyed.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "first")  # written, so that both sides of the join are plain exchanges that AQE can split
     copies = materialize(keyed.select("did", "h1", "h2").join(first, ["h1", "h2"]).where("did > first").select("did", "h1", "h2").distinct(), "copies")
     texts = attach(keyed, copies, ["did", "h1", "h2"], "left_anti").select("did", "h1", F.col("text").cast("binary").alias("text"))
     once = texts.mapInArrow(_anchor_rows(window, False), "anchor long, did long")
@@ -180,6 +181,7 @@ def find_repeats(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, Data
     hit = materialize(hit.groupBy("did", "h1").agg(F.collect_set("at").alias("at")).select("did", "h1", runs("at", cover(window)[0]).alias("runs")).select("did", "h1", "runs.*"), "hits")
     windows = materialize(attach(texts, hit, ["did", "h1"]).select("did", "h1", "text", "begin", "end").mapInArrow(_window_rows(window), "hi long, lo int, did long, h1 long, at int"), "windows")
     least = windows.groupBy("hi", "lo").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
+    least = materialize(least, "least")
     gone = windows.join(least, ["hi", "lo"]).where("did > first").groupBy("did", "h1").agg(F.collect_set("at").alias("at"))
     return copies, materialize(gone.select("did", "h1", runs("at", window).alias("runs")).select("did", "h1", "runs.*"), "gone")
 
