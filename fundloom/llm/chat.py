@@ -35,21 +35,32 @@ def best_paths(messages: DataFrame) -> DataFrame:
     nodes = materialize(messages.select("conv", "id", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), "messages")
     there = nodes.select("conv", F.col("id").alias("parent"), F.lit(True).alias("there"))
     level = nodes.join(there, ["conv", "parent"], "left").select("conv", "id", F.when(F.col("there"), F.col("parent")).alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    levels, before = [materialize(level, "level")], -1
-    while (active := levels[-1].where("up is not null").count()) and active != before:
-        before, low = active, levels[-1]
-        high = low.select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
-        doubled = low.join(high, ["conv", "up"], "left").select(
+    known = materialize(level, "level")
+    rooted, levels, before = [known.where("up is null")], [], -1
+    while (active := known.where("up is not null")).count() not in (0, before):
+        before = active.count()
+        levels.append(active)
+        # Only what is still on its way is doubled, against the messages of conversations in which something is.
+        ended = rooted[0]
+        for part in rooted[1:]:
+            ended = ended.unionByName(part)
+        ended = ended.join(active.select("conv").distinct(), "conv", "left_semi")
+        high = active.unionByName(ended).select("conv", F.col("id").alias("up"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("depth").alias("depth2"))
+        doubled = active.join(high, ["conv", "up"], "left").select(
             "conv", "id", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth")
         )
-        levels.append(materialize(doubled, "level"))
-    rooted = levels[-1].where("up is null").select("conv", "id", "total", "depth")
-    leaves = rooted.join(nodes.select("conv", F.col("parent").alias("id")).distinct(), ["conv", "id"], "left_anti")
+        known = materialize(doubled, "level")
+        rooted.append(known.where("up is null"))
+    found = rooted[0]
+    for part in rooted[1:]:
+        found = found.unionByName(part)
+    found = found.select("conv", "id", "total", "depth")
+    leaves = found.join(nodes.select("conv", F.col("parent").alias("id")).distinct(), ["conv", "id"], "left_anti")
     path = leaves.groupBy("conv").agg(F.max(F.struct("total", "depth", (-F.col("id")).alias("id"))).alias("best")).select("conv", (-F.col("best.id")).alias("id"))
-    for level in reversed(levels[:-1]):
-        up = path.join(level.select("conv", "id", "up"), ["conv", "id"])
+    for level in reversed(levels):
+        up = path.join(level.select("conv", "id", "up"), ["conv", "id"], "left")
         path = up.select("conv", F.explode(F.array("id", "up")).alias("id")).where("id is not null")
-    return path.join(rooted.select("conv", "id", "depth"), ["conv", "id"])
+    return path.join(found.select("conv", "id", "depth"), ["conv", "id"])
 
 
 def format_paths(turns: DataFrame, learn: str = "assistant") -> DataFrame:
