@@ -69,7 +69,7 @@ def records(entities: DataFrame) -> DataFrame:
         elif f in TEXT:
             value = text
         else:
-            value = F.bround(num, 4)
+            value = F.when(num == 0, num).otherwise(F.bround(num, 4))  # rounding would lose the sign of -0.0
         out.append(value.alias(f))
     wide = wide.select(*out)
     parts = F.concat_ws("|", "ISIN", "CUSIP", "Ticker", "LegalName")
