@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from fundloom.llm.shared import materialize
 
 CAPACITY = 4096
-#: Words of which a Python worker keeps the ids; beyond that it starts anew.
-CACHED_WORDS = 600_000
+#: Words since which a Python worker keeps the ids of those it met; words not met again for as long go.
+CACHED_WORDS = 60_000
 #: Fillings looked at for one sequence, and steps of the whole search; both only bound the time for improvements.
 FILL_NODES, SEARCH_NODES = 400, 60_000
 
@@ -38,24 +38,30 @@ def _token_bytes(path: str, texts: list[bytes | None]) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
     The vocabulary's splitting never joins over ASCII white space, so a text's ids are its words' ids in order;
-    words repeat, and are encoded once.
+    words repeat, and are encoded once. Words kept are in two generations, so that those of junk, which come only
+    once, don't push out common ones.
     """
     if path not in _workers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _workers[path]
+        _workers[path] = (Tokenizer.from_file(path), {}, {})
+    tokenizer, recent, older = _workers[path]
+    if len(recent) > CACHED_WORDS:
+        recent, older = {}, recent
+        _workers[path] = (tokenizer, recent, older)
     split = [(t or b"").split() for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > CACHED_WORDS:
-        known.clear()
-        new = list({w for words in split for w in words})
+    new = []
+    for word in set().union(*split).difference(recent):
+        if word in older:
+            recent[word] = older[word]
+        else:
+            new.append(word)
     for at in range(0, len(new), 20_000):
         part = new[at : at + 20_000]
         for word, got in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            known[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+            recent[word] = np.array(got.ids, "<u4").tobytes()
+    return [b"".join([recent[w] for w in words]) for words in split]
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
