@@ -239,12 +239,14 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 out.iat[k] = kept_text(raw, removed_words(np.array(begin, np.int64), np.array(end, np.int64), len(raw.split()), window)).decode()
         return out
 
+    cut = cut.asNondeterministic()  # else the filter below would have it run a second time
+
     packed = docs.select("doc_id", "text", F.struct("*").alias("row"))  # other columns may have any names
     rest = attach(_keyed(packed), copies, ["did", "h1", "h2"], "left_anti")
     # Copies of fewer words than a window lose nothing.
     short = attach(_keyed(packed), copies, ["did", "h1", "h2"], "left_semi").where(F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) < window)
     marked = attach(rest, gone, ["did", "h1"], "left")
-    marked = marked.withColumn("new", F.when(F.col("begin").isNotNull(), cut("text", "begin", "end"))).where("begin is null or new <> ''")
+    marked = marked.withColumn("new", cut(F.when(F.col("begin").isNotNull(), F.col("text")), "begin", "end")).where("begin is null or new <> ''")
     fresh = F.col("row").withField("text", F.col("new"))
     if "n_chars" in names:
         fresh = fresh.withField("n_chars", F.length("new").cast(docs.schema["n_chars"].dataType))
