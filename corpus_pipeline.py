@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fundloom.llm.jaccard import near_copies
 from fundloom.llm.mixing import mixed_documents
 from fundloom.llm.packing import pack
 from fundloom.llm.quality import keep_quality
 from fundloom.llm.queries import tokenizer_path
 from fundloom.llm.shared import attach, materialize, scratch_dir, table
-from fundloom.llm.simhash import near_dedup
 from fundloom.llm.substring import without_repeats
 
 
@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id stays; rows without doc_id stay too."""
-    gone = materialize(near_dedup(docs).where("doc_id > component_id").select("doc_id").distinct(), "near_copies")
+    """Of each group of near copies (5-word Jaccard 0.8 or more) the document with the least doc_id stays; rows without doc_id stay too."""
+    gone = materialize(near_copies(docs).where("doc_id > component_id").select("doc_id").distinct(), "near_copies")
     return attach(docs, gone, ["doc_id"], "left_anti").select(*docs.columns)
 
 
