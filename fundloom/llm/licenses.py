@@ -1,7 +1,7 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 Every template's word n-grams are hashed; of each window of neighbouring hashes the least is kept in an inverted
-index. A text's n-grams are looked up in it. Each diagonal on which a template is hit makes a candidate, whose
+index. Gram and window follow from the template's length, so that changes within the coverage leave one hash whole. A text's n-grams are looked up in it. Each diagonal on which a template is hit makes a candidate, whose
 region is aligned with the whole template in a band around the diagonal; what is matched is reported with its
 coverage and span. The index is a few hundred entries, given by the templates and not by the data, so the scan is
 one pass without a shuffle.
@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a fingerprint, fingerprints in a winnowing window, words that an alignment may shift.
+#: Words in a fingerprint and fingerprints in a winnowing window, at most; words that an alignment may shift.
 GRAM, WINNOW, BAND = 3, 3, 4
 COVERAGE = 0.8
 PUNCTUATION = b"\"'`.,;:!?()[]{}<>*#/-_"
@@ -56,14 +56,22 @@ def winnow(words: list[bytes], gram: int = GRAM, window: int = WINNOW) -> list[t
     return [(k, hashes[k]) for k in sorted(picked)]
 
 
+def grain(n: int, coverage: float = COVERAGE) -> tuple[int, int]:
+    """Gram and window for a template of n words: a fingerprint stays whole if any words that the coverage allows are changed, or one is put in."""
+    lost = int((1 - coverage) * n + 1e-9)
+    run = max(1, min(-(-(n - lost) // (lost + 1)), -(-n // 2)))  # words side by side that are left at least
+    gram = min(GRAM, run)
+    return gram, min(WINNOW, run - gram + 1)
+
+
 class Index:
-    def __init__(self, templates: dict[str, str]) -> None:
+    def __init__(self, templates: dict[str, str], coverage: float = COVERAGE) -> None:
         self.words = {name: words_of(text.encode()) for name, text in templates.items()}
         self.postings: dict[int, dict[int, list[tuple[str, int]]]] = defaultdict(lambda: defaultdict(list))  # by gram size
         self.first: set[bytes] = set()
         for name, words in self.words.items():
-            size = min(GRAM, len(words))
-            for at, h in winnow(words):
+            size, window = grain(len(words), coverage)
+            for at, h in winnow(words, size, window):
                 self.postings[size][h].append((name, at))
                 self.first.add(words[at])
 
@@ -120,7 +128,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     texts = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(texts)
+        index = Index(texts, coverage)
         for batch in batches:
             rows = [(doc, *m) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for m in index.scan(text.as_py(), coverage)]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
