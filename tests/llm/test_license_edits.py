@@ -5,7 +5,7 @@ from fundloom.llm import licenses
 
 def aligned(index, name, words):
     """Whether some diagonal's alignment reaches the coverage."""
-    own = index.words[name]
+    own = index.words[name, 0]
     found = (index._align(name, own, words, d - licenses.BAND, d + licenses.BAND) for d in range(-len(own), len(words)))
     return any(m and m[4] >= licenses.COVERAGE for m in found)
 
@@ -19,3 +19,23 @@ def test_every_edit_of_one_word_is_found():
                 text_of = " ".join(words).encode()
                 assert bool(index.scan(text_of)) == aligned(index, name, licenses.words_of(text_of)), (name, edited)
     assert licenses.Index(licenses.TEMPLATES).scan(b"Licensed under the MIT License")[0][0] == "mit"
+
+
+HEADER = """/* Copyright 2019 J. Doe
+ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation; either version 2 of the License, or
+ * (at your option) any later version.
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details. */ int main() {}"""
+
+
+def test_texts_headers_and_spdx_lines(spark):
+    texts = [(name, text) for name, texts in licenses.PRODUCTION.items() for text in texts]
+    cases = [(name, "# some code\n" + text.replace(". ", ".\n\n * ") + "\nmore code") for name, text in texts] + [("gpl-2.0", HEADER)]
+    cases.append(("mit", "Copyright (c) 2020 Foo\n" + licenses.TEXTS["mit"].replace("AUTHORS OR COPYRIGHT HOLDERS", "FOO CORPORATION").replace("(the \"Software\")", "")))
+    docs = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = [(r.doc_id, r.license) for r in licenses.scan_licenses(docs).collect()]
+    assert sorted(got) == [(k, name) for k, (name, _) in enumerate(cases)]
