@@ -3,8 +3,9 @@
 Each document gets the exponential key -ln(u) / weight, u from a hash of its id, so that taking a source's
 documents by ascending key is a weighted sample without replacement. A source's target is split into complete
 epochs, which take every document, and a rest, for which the documents in key order are prefix-summed up to the
-budget. Only the key at which the budget ends is needed, so documents are summed in buckets of neighbouring keys
-and only the bucket in which the budget ends is sorted; the selection is then a comparison with a row per source.
+budget. Only the key at which the budget ends is needed: the range of keys that holds it is summed in slots and
+narrowed for all sources at once until few documents are left in it, whatever the distribution of the keys, and
+only those are sorted. The selection is then a comparison with a row per source.
 """
 
 from __future__ import annotations
@@ -12,104 +13,160 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import materialize
+from fundloom.llm.shared import attach_null_safe, materialize, numbered
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
-#: Documents in a bucket of neighbouring keys, about.
-BUCKET = 500
+SYMBOLS = "!#$%&*|"
+#: Slots into which a range of keys is cut, and rows of a source from which on a range is sorted.
+SLOTS, FEW = 256, 2_000
 
 
 def quality_weight(text: Column) -> Column:
     """From 0.05 to 1: less, the more of the text is symbols. A null or empty text has 1."""
-    symbols = F.regexp_count(text, F.lit(r"[!#$%&*|]")) / F.greatest(F.length(text), F.lit(1))
+    symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(F.length(text), F.lit(1))
     return F.coalesce(F.greatest(F.lit(0.05), 1 - 4 * symbols), F.lit(1.0))
 
 
-def sample_key(doc_id: Column, weight: Column, seed: str = SEED) -> Column:
-    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10)
+def sample_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
+    """The exponential key: of the id, or of the text where there is no id."""
+    own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
+    digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), own)), 1, 13), 16, 10)
     return -F.log((digits.cast("double") + 0.5) / float(2**52)) / weight
 
 
-def measured(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key) of each document."""
-    text = F.col("text")
+def _measures(weight: Column | None, seed: str) -> list[Column]:
+    """doc_id, source, size and key of a row of documents."""
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
     size = F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size.alias("size"), sample_key(F.col("doc_id"), quality_weight(text), seed).alias("key"))
+    return [doc_id.alias("doc_id"), F.col("source").alias("source"), size.alias("size"), sample_key(doc_id, text, quality_weight(text) if weight is None else weight, seed).alias("key")]
+
+
+def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
+    """(doc_id, source, size, key) of each document."""
+    return docs.select(*_measures(weight, seed))
 
 
 def targets(rows: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
-    """(source, n_docs, source_size, target) per source.
+    """(source, nth, source_size, target) per source.
 
     Sources by code point, null last, get the weights in turn. Filled like vessels: those whose share exceeds
-    `most` times their size stop there, and the level of the others rises until all is dealt. The sources, not the
-    documents, meet in one window.
+    `most` times their size stop there, and the level of the others rises until all is dealt. Each round of that is
+    an aggregate over the sources, and a round follows only if a source has reached its stop.
     """
-    sources = rows.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighted = sources.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((order - 1) % len(weights) + 1).cast("int")))
-    level = Window.orderBy(F.col("cap") / F.col("w"), F.col("source").asc_nulls_last())
-    before, everything = level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    filled = weighted.withColumn("cap", most * F.col("source_size")).withColumn(
-        "level",
-        (share * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        / (F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))),
-    )
-    capped = F.col("level") >= F.col("cap") / F.col("w")
-    final = F.min(F.when(~capped, F.col("level"))).over(everything)
-    return filled.select("source", "n_docs", "source_size", F.when(capped, F.col("cap")).otherwise(F.col("w") * final).alias("target"))
-
-
-def _bucket(key: Column, buckets: Column) -> Column:
-    return F.floor((1 - F.exp(-key)) * buckets)
+    sources = numbered(rows.groupBy("source").agg(F.sum("size").alias("source_size")), F.col("source").asc_nulls_last())
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth") - 1, F.lit(len(weights))) + 1).cast("int"))
+    sources = materialize(sources.select("source", "nth", "source_size", turn.alias("w"), (most * F.col("source_size")).alias("cap")), "weights")
+    total, level, before = share * (sources.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        full = F.col("cap") <= F.col("w") * level
+        n, capped, free = sources.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        if n == before or not free:
+            break
+        before, level = n, (total - (capped or 0.0)) / free
+    return sources.select("source", "nth", "source_size", F.when(F.col("cap") <= F.col("w") * level, F.col("cap")).otherwise(F.col("w") * level).alias("target"))
 
 
 def cuts(rows: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
-    """Per source: target, complete epochs, and the place in key order up to which its documents are taken once more."""
-    plan = targets(rows, weights, share, most).select(
-        "*",
-        F.ceil(F.col("n_docs") / BUCKET).alias("buckets"),
-        F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long").alias("epochs"),
-    )
-    plan = materialize(plan.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "sources")
-    keyed = rows.join(plan, rows.source.eqNullSafe(plan.source)).select(rows.source, "doc_id", "size", "key", "budget", _bucket(F.col("key"), F.col("buckets")).alias("bucket"))
-    sums = keyed.groupBy("source", "bucket", "budget").agg(F.sum("size").alias("words"))
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
-    ends = sums.withColumn("upto", upto).where("upto > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("cut"))
-    ends = materialize(ends.select("source", "cut.bucket", "cut.before"), "ends")
-    last = keyed.join(ends, keyed.source.eqNullSafe(ends.source) & (keyed.bucket == ends.bucket)).select(ends.source, ends.bucket, "before", "doc_id", "size", "key", "budget")
-    start = F.col("before") + F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size")) - F.col("size")
-    # The document that the budget cuts is taken if most of it is within.
-    taken = last.withColumn("inside", start + F.col("size") / 2 <= F.col("budget")).where("inside").groupBy("source").agg(F.max(F.struct("key", "doc_id")).alias("last"))
-    ends = ends.withColumnRenamed("source", "s1").select("s1", F.col("bucket").alias("cut_bucket"))
-    out = plan.join(ends, plan.source.eqNullSafe(ends.s1), "left").join(taken.withColumnRenamed("source", "s2"), plan.source.eqNullSafe(F.col("s2")), "left")
-    return materialize(out.select("source", "source_size", "target", "epochs", "buckets", "cut_bucket", "last"), "cuts")
+    """Per source: target, complete epochs, and what is taken once more: keys below `low`, and up to `last` in the order
+    of key, doc_id and size; of rows that equal `last`, `at_last` of `tied`. No low: all; budget 0: none."""
+    plan = targets(rows, weights, share, most)
+    epochs = F.coalesce(F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0)).cast("long")
+    plan = plan.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
+    plan = materialize(plan, "sources")
+    keyed = attach_null_safe(rows, plan.where("budget > 0").select("source", "nth"), "source").select("nth", "doc_id", "size", "key")
+    spans = keyed.groupBy("nth").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.count("*").alias("n"))
+    spans = materialize(spans.join(plan.select("nth", "budget"), "nth").select("nth", "budget", "low", "high", "n", F.lit(0).cast("long").alias("before")), "spans")
+    while spans.where((F.col("n") > FEW) & (F.col("low") < F.col("high"))).count():
+        inside = keyed.join(spans.drop("n"), "nth").where("key between low and high")
+        slot = F.when(F.col("low") < F.col("high"), F.least(F.lit(SLOTS - 1), F.floor((F.col("key") - F.col("low")) / (F.col("high") - F.col("low")) * SLOTS))).otherwise(0)
+        slots = inside.groupBy("nth", "budget", "before", slot.alias("slot")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        upto = F.col("before") + F.sum("words").over(Window.partitionBy("nth").orderBy("slot"))
+        slots = slots.withColumn("upto", upto).where("upto > budget")
+        spans = materialize(
+            slots.groupBy("nth", "budget").agg(F.min(F.struct("slot", "low", "high", "n", (F.col("upto") - F.col("words")).alias("before"))).alias("x")).select("nth", "budget", "x.low", "x.high", "x.n", "x.before"), "spans"
+        )
+    # Equal rows are one row here, with their number.
+    inside = keyed.join(spans.drop("n"), "nth").where("key between low and high").groupBy("nth", "low", "before", "budget", "key", "doc_id", "size").agg(F.count("*").alias("tied"))
+    order = Window.partitionBy("nth").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.col("before") + F.sum(F.col("size") * F.col("tied")).over(order) - F.col("size") * F.col("tied")
+    # A document that the budget cuts is taken if most of it is within.
+    fit = F.when(F.col("size") == 0, F.when(F.col("start") <= F.col("budget"), F.col("tied"))).otherwise(F.floor((F.col("budget") - F.col("start")) / F.col("size") + 0.5))
+    fitted = inside.withColumn("start", start).withColumn("fit", F.least("tied", fit))
+    ends = fitted.groupBy("nth").agg(F.min("low").alias("low"), F.max(F.when(F.col("fit") > 0, F.struct(F.struct("key", "doc_id", "size").alias("last"), F.col("fit").alias("at_last"), "tied"))).alias("x"))
+    return materialize(plan.join(ends.select("nth", "low", "x.*"), "nth", "left").drop("nth"), "cuts")
 
 
 def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows (doc_id, source, key, ...) with source_size, target and copies, the times that the mix takes each."""
-    plan = plan.withColumnRenamed("source", "_source")
-    bucket = _bucket(F.col("key"), F.col("buckets"))
-    inside = F.col("cut_bucket").isNull() | (bucket < F.col("cut_bucket")) | ((bucket == F.col("cut_bucket")) & F.coalesce(F.struct("key", "doc_id") <= F.col("last"), F.lit(False)))
-    n = F.col("epochs") + inside.cast("long")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_source"))).select(*rows.columns, "source_size", "target", n.alias("copies"))
-
-
-def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+    """rows (doc_id, source, size, key, ...) with source_size, target and copies, the times that the mix takes each."""
+    place = F.struct("key", "doc_id", "size")
+    last = F.col("last")
+    known = attach_null_safe(rows, plan, "source")
+    below = F.col("low").isNull() | (F.col("key") < F.col("low")) | F.coalesce(place < last, F.lit(False))
+    ties = F.coalesce(place == last, F.lit(False)) | F.coalesce((F.col("key") == last["key"]) & F.col("doc_id").eqNullSafe(last["doc_id"]) & (F.col("size") == last["size"]), F.lit(False))
+    own = [*rows.columns, "source_size", "target"]
+    if plan.where("at_last < tied").isEmpty():
+        return known.select(*own, (F.col("epochs") + ((F.col("budget") > 0) & (below | ties)).cast("long")).alias("copies"))
+    # Equal rows of which some are taken: they are written once, so that each keeps its number.
+    some = ties & (F.col("at_last") < F.col("tied"))
+    plain = known.where(~some).select(*own, (F.col("epochs") + ((F.col("budget") > 0) & (below | ties)).cast("long")).alias("copies"))
+    equal = materialize(known.where(some).select(*own, "epochs", "at_last", F.monotonically_increasing_id().alias("_row")), "ties")
+    part = F.shiftright("_row", 33)
+    before = equal.groupBy("source", part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = before.select(F.col("source").alias("_source"), "_part", (F.sum("_n").over(Window.partitionBy("source").orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("source", part).orderBy("_row"))
+    ranks = equal.select("source", "_row", part.alias("_part"), within.alias("_rank"))
+    ranks = ranks.join(before, F.col("source").eqNullSafe(F.col("_source")) & (ranks["_part"] == before["_part"])).select("_row", (F.col("_rank") + F.col("_before")).alias("_rank"))
+    return plain.unionByName(equal.join(ranks, "_row").select(*own, (F.col("epochs") + (F.col("_rank") <= F.col("at_last")).cast("long")).alias("copies")))
+
+
+def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies) per document of docs (doc_id, source, text, ...).
 
-    A null text has size 0 and nothing of it is taken; a null source is a source of its own. Rows without doc_id
-    share one key. Repeated rows count each; equal keys go by doc_id. A source of size 0 has target 0. Other
-    columns are ignored, whatever their names.
+    weight: the quality weight of a document, a column of docs; by default `quality_weight` of its text.
+    A null text has size 0 and nothing of it is taken; a null source is a source of its own. The key of a row without
+    doc_id comes from its text. Repeated rows count each, and as many of them are taken as fit; equal keys go by
+    doc_id, then by size. A source of size 0 has target 0. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
-    rows = materialize(measured(docs, seed), "sizes")
+    rows = materialize(measured(docs, weight, seed), "sizes")
     plan = cuts(rows, weights or [5, 2, 1], share, most)
     return copies(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-def mixed_documents(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, seed: str = SEED) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """The documents themselves, each as often as the mix takes it; all columns of docs."""
-    plan = cuts(materialize(measured(docs, seed), "sizes"), weights or [5, 2, 1], share, most)
-    names = docs.columns
-    keyed = docs.select("doc_id", "source", sample_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"), F.struct("*").alias("row"))
-    return copies(keyed, plan).where("copies > 0").select("row", F.explode(F.expr("array_repeat(0, int(copies))"))).select(*[F.col("row").getField(c).alias(c) for c in names])
+    plan = cuts(materialize(measured(docs, weight, seed), "sizes"), weights or [5, 2, 1], share, most)
+    keyed = docs.select(*_measures(weight, seed), F.struct("*").alias("row"))
+    out = copies(keyed, plan).where("copies > 0").select("row", F.explode(F.expr("array_repeat(0, int(copies))")))
+    return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+#: The same in DuckDB: targets by levels over the sources in the order in which they reach their stop.
+SQL = rf"""
+with sized as (
+  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+    -ln((cast('0x' || substr(md5('{SEED}' || coalesce(cast(doc_id as varchar), 'text ' || md5(coalesce(text, '')))), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double)
+      / coalesce(greatest(0.05::double, 1 - 4 * ((length(text) - length(translate(text, '{SYMBOLS}', '')))::double / greatest(length(text), 1))), 1.0::double) as key
+  from documents),
+weighed as (
+  select source, sum(size)::bigint as source_size, case row_number() over (order by source nulls last) % 3 when 1 then 5.0::double when 2 then 2.0::double else 1.0::double end as w, 2.0::double * sum(size)::bigint as cap
+  from sized group by source),
+levels as (
+  select *, row_number() over o as nth,
+    (1.5::double * (sum(source_size) over ())::double - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+      / (sum(w) over () - coalesce(sum(w) over (o rows between unbounded preceding and 1 preceding), 0)) as level
+  from weighed window o as (order by cap / w, source nulls last)),
+final as (select coalesce(arg_min(level, nth), 0) as level from levels where level < cap / w),
+target as (select source, source_size, least(cap, w * final.level) as target from levels, final),
+budget as (
+  select *, cast(case when source_size > 0 then floor(target / source_size) else 0 end as bigint) as epochs,
+    target - cast(case when source_size > 0 then floor(target / source_size) else 0 end as bigint) * source_size as budget
+  from target),
+summed as (
+  select doc_id, size, source_size, target, epochs, budget, sized.source,
+    sum(size) over (partition by sized.source order by key, doc_id, size rows unbounded preceding) - size as start
+  from sized join budget on sized.source is not distinct from budget.source)
+select doc_id, size, source_size, target, cast(size * (epochs + case when budget > 0 and start + size / 2.0 <= budget then 1 else 0 end) as bigint) as taken,
+  source, cast(epochs + case when budget > 0 and start + size / 2.0 <= budget then 1 else 0 end as bigint) as copies
+from summed"""

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fundloom.llm import mixing
 from fundloom.llm.shared import table
 
 
@@ -40,9 +41,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fundloom.llm.mixing import mix
-
-    return mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +90,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op5_mixing": mixing.SQL}

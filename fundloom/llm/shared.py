@@ -1,24 +1,26 @@
-"""Helpers that several operators use: shared scratch tables and size-checked joins."""
+"""Helpers that several operators use: shared scratch tables, size-checked joins, numbering."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have at most. The rows joined this way are under about 100 bytes.
-BROADCAST_ROWS = 500_000
+#: Bytes that a broadcast side may have at most, uncompressed, as Spark counts its columns.
+BROADCAST_BYTES = 32 << 20
 
 _own_folders: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). A local session without one gets a temporary one, a cluster an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="fundloom-")
@@ -33,14 +35,42 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _bytes(table: DataFrame) -> Column:
+    """Bytes of the rows: what arrays, strings and binaries hold, and 16 for each column of each row."""
+    held = F.count("*") * 16 * len(table.columns)
+    for f in table.schema.fields:
+        kind = f.dataType.simpleString()
+        if kind in ("string", "binary"):
+            held = held + F.coalesce(F.sum(F.octet_length(f.name)), F.lit(0))
+        elif kind.startswith("array"):
+            held = held + F.coalesce(F.sum(F.size(f.name)), F.lit(0)) * 32
+    return held
+
+
+def small(table: DataFrame) -> DataFrame:
+    """The written table, marked for broadcast if its measured size is within BROADCAST_BYTES; as it is otherwise."""
+    return F.broadcast(table) if table.agg(_bytes(table)).first()[0] <= BROADCAST_BYTES else table
+
+
 def attach(big: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Joins big rows (whole texts) with a narrow written table.
+    """Joins big rows (whole texts) with a narrow written table: broadcast if it is small, else both sides are shuffled."""
+    return big.join(small(table), on, how)
+
+
+def attach_null_safe(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """Joins each row with the table's row of an equal or equally missing `on`; rows keeps the column."""
+    other = small(table.withColumnRenamed(on, "_on"))
+    return rows.join(other, F.col(on).eqNullSafe(F.col("_on"))).drop("_on")
+
 
-    The table is broadcast only if a count shows BROADCAST_ROWS rows at most; otherwise both sides are shuffled.
-    """
-    if table.count() <= BROADCAST_ROWS:
-        table = F.broadcast(table)
-    return big.join(table, on, how)
+def numbered(df: DataFrame, order: Column) -> DataFrame:
+    """df with nth, from 1 in the given order of its rows: ranges are numbered each by itself and moved by the sizes of those before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(df.repartitionByRange(n, order).withColumn("_part", F.spark_partition_id()), "ranges")
+    before = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row per part
+    before = before.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return ranged.withColumn("_nth", within).join(F.broadcast(before), "_part").select(*df.columns, (F.col("_nth") + F.col("_before")).alias("nth"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

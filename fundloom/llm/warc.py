@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import BROADCAST_ROWS, materialize, scratch_dir
+from fundloom.llm.shared import attach, materialize, scratch_dir
 
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads shorter than this are never revisits.
@@ -28,9 +28,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST) -> None:
     rows = pages.select("page_id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
     same = rows.where(F.col("size") >= least).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
     same = materialize(same, "payloads")
-    if same.count() <= BROADCAST_ROWS:
-        same = F.broadcast(same)
-    rows = rows.join(same, ["digest", "size"], "left")
+    rows = attach(rows, same, ["digest", "size"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     header = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     record_id = lambda x: F.concat(F.lit("<urn:page:"), x.cast("string"), F.lit(">"))
@@ -131,8 +129,8 @@ def _gathered(spark: SparkSession, path: str, broken: DataFrame) -> DataFrame:
     owned = starts.unionByName(marks).withColumn("own", F.last("own", True).over(Window.partitionBy("file_path").orderBy("pos", F.col("raw").isNotNull())))
     inside = owned.where("raw is not null and pos < own.successor")
     whole = inside.groupBy("file_path", "own").agg(F.array_sort(F.collect_list(F.struct("pos", "raw"))).alias("parts"))
-    mark = F.lit(VERSION.encode())
-    joined = F.aggregate("parts", F.lit(b""), lambda a, x: F.concat(a, mark, x["raw"]))
+    mark = VERSION.encode().hex().upper()
+    joined = F.unhex(F.concat(F.lit(mark), F.array_join(F.transform("parts", lambda x: F.hex(x["raw"])), mark)))  # one copy, however many parts
     return whole.select(
         F.col("file_path").alias("file"), F.col("own.offset").alias("offset"), F.sha1(F.substring(joined, F.lit(sep + 1) + F.col("own.at") + 3, F.col("own.body").cast("int"))).alias("digest")
     )

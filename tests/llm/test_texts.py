@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from fundloom.llm import packing, simhash, substring
+from fundloom.llm import mixing, packing, simhash, substring
 from fundloom.llm.mixing import mix, mixed_documents
 from fundloom.llm.queries import tokenizer_path
 
@@ -213,7 +213,45 @@ def test_mixing(docs, empty):
     out = mixed_documents(docs)
     assert out.columns == docs.columns
     assert out.count() == sum(r.copies for r in got)
-    assert mix(empty).count() == 0
+    assert mix(empty).count() == mixed_documents(empty).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    rnd = random.Random(8)
+    rows = [(k * 100 + j, "w " * rnd.choice([3, 10, 40, 200, 1000]), f"s{k:02}") for k in range(20) for j in range(30 if k % 3 else 90)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    sizes, taken, largest = Counter(), Counter(), Counter()
+    for r in got:
+        sizes[r.source] += r.size
+        taken[r.source] += r.taken
+        largest[r.source] = max(largest[r.source], r.size)
+        assert r.taken in (0, r.size, 2 * r.size)
+    want = fill(sizes, {f"s{k:02}": (5, 2, 1)[k % 3] for k in range(20)}, 1.5 * sum(sizes.values()))
+    targets = {r.source: r.target for r in got}
+    assert targets == pytest.approx(want) and min(targets.values()) > 0 and sum(targets.values()) == pytest.approx(1.5 * sum(sizes.values()))
+    assert all(abs(taken[s] - want[s]) <= largest[s] / 2 for s in want)
+
+
+def test_mixing_repeated_rows_and_missing_ids(spark):
+    rows = [(5, "w " * 10, "a")] * 300 + [(None, f"x {k}", "b") for k in range(40)] + [(None, "same y", "c")] * 30 + [(None, None, None)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix(docs).collect()
+    taken, targets = Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        targets[r.source] = r.target
+    want = fill({"a": 3000, "b": 80, "c": 60}, {"a": 5, "b": 2, "c": 1}, 1.5 * 3140)
+    assert all(targets[s] == pytest.approx(want[s]) and abs(taken[s] - want[s]) <= 10 for s in want)
+    assert mixed_documents(docs).count() == sum(r.copies for r in got)
+
+
+def test_narrowing_the_range_of_the_budget(spark, monkeypatch):
+    rows = [(k, "w " * (k % 50 + 1), "ab"[k % 2]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mix(docs).collect()))
+    monkeypatch.setattr(mixing, "FEW", 3)
+    monkeypatch.setattr(mixing, "SLOTS", 4)
+    assert sorted(map(tuple, mix(docs).collect())) == want
 
 
 def brute_spans(rows, window=50):
