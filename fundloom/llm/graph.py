@@ -12,7 +12,8 @@ def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) -> (node, component): the smallest node that each linked node can reach.
 
     Links with a null end or two equal ends are ignored. Nodes without a link don't appear. Hot nodes are
-    safe: minima are combined before the shuffle and the joins are plain ones that AQE can split.
+    safe: minima are combined before the shuffle and written before they are joined, so that both sides of the
+    joins are plain exchanges, which AQE can split.
     """
     stars = materialize(
         links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(),
@@ -27,10 +28,10 @@ def components(links: DataFrame) -> DataFrame:
             )
         seen = state
         both = stars.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m"))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).where("lo <> hi").distinct()
         stars = materialize(large, "links")
         # Small star: below each node, everything points to its least neighbour.
-        least = stars.groupBy("hi").agg(F.min("lo").alias("m"))
+        least = materialize(stars.groupBy("hi").agg(F.min("lo").alias("m")), "least")
         small = stars.join(least, "hi").select(F.col("m"), F.explode(F.array("lo", "hi")).alias("hi")).where("m <> hi").select(F.col("m").alias("lo"), "hi").distinct()
         stars = materialize(small, "links")
