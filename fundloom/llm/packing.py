@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,44 +26,88 @@ from pyspark.sql import functions as F
 from fundloom.llm.shared import materialize
 
 CAPACITY = 4096
-#: Words since which a Python worker keeps the ids of those it met; words not met again for as long go.
-CACHED_WORDS = 60_000
-#: Fillings looked at for one sequence, and steps of the whole search; both only bound the time for improvements.
-FILL_NODES, SEARCH_NODES = 400, 60_000
-
-_workers: dict[str, tuple] = {}
+#: Words whose ids a Python worker keeps in each of two generations; a word not met again in a generation's time goes.
+CACHED_WORDS = 120_000
+#: Fillings listed for one sequence, steps to list them, and steps of the whole search, those included. They bound the time spent on
+#: improving the incumbent and drop no piece; `least_sequences` in the output tells how far from a proof it stopped.
+WIDTH, FILL_NODES, SEARCH_NODES = 12, 1_000, 200_000
+
+#: The normalizer and splitting of vocabularies whose words can be taken apart by WORD.
+PLAIN = (
+    'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])',
+    r"""Sequence(pretokenizers=[Split(pattern=Regex("'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])""",
+)
+#: Latin letters and what follows them of punctuation but apostrophes: two parts, each a single run for the vocabulary.
+WORD = re.compile(r"([a-zà-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+_workers: dict[str, _Words] = {}
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
-def _token_bytes(path: str, texts: list[bytes | None]) -> list[bytes]:
-    """Little-endian 32-bit ids of each text.
+def _visible() -> dict[int, int]:
+    """Bytes to the characters by which byte-level vocabularies show them: printable ones are themselves, the others follow 255."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in kept else next(rest) for b in range(256)}
+
 
-    The vocabulary's splitting never joins over ASCII white space, so a text's ids are its words' ids in order;
-    words repeat, and are encoded once. Words kept are in two generations, so that those of junk, which come only
-    once, don't push out common ones.
+class _Words:
+    """Ids of texts, word by word.
+
+    The vocabulary's splitting never joins over ASCII white space, so a text's ids are its words' ids in order; words
+    repeat, and are encoded once. They are kept in two generations, so that words of junk, which come only once, don't
+    push out common ones. Most new words are Latin letters and punctuation: those go to the merges at once, without
+    the normalizer and the splitting, which would take most of the time.
     """
-    if path not in _workers:
+
+    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _workers[path] = (Tokenizer.from_file(path), {}, {})
-    tokenizer, recent, older = _workers[path]
-    if len(recent) > CACHED_WORDS:
-        recent, older = {}, recent
-        _workers[path] = (tokenizer, recent, older)
-    split = [(t or b"").split() for t in texts]
-    new = []
-    for word in set().union(*split).difference(recent):
-        if word in older:
-            recent[word] = older[word]
-        else:
-            new.append(word)
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for word, got in zip(part, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-            recent[word] = np.array(got.ids, "<u4").tobytes()
-    return [b"".join([recent[w] for w in words]) for words in split]
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model, self.visible = self.tokenizer.model, _visible()
+        self.plain = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == PLAIN
+        self.recent: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, text: bytes | None) -> bytes:
+        """Little-endian 32-bit ids."""
+        words = (text or b"").split()
+        found = list(map(self.recent.get, words))
+        if None in found:
+            learn = self._learn
+            found = [learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            if len(self.recent) > self.most:
+                self.recent, self.older = {}, self.recent
+        return b"".join(found)
+
+    def _learn(self, word: bytes) -> bytes:
+        ids = self._known(word)
+        if ids is None:
+            shown = word.decode("utf-8", "replace")
+            parts = WORD.fullmatch(shown.lower()) if self.plain else None
+            if parts is None:
+                ids = array("I", self.tokenizer.encode(shown, add_special_tokens=False).ids).tobytes()
+            else:
+                ids = b"".join([self._run(x) for x in parts.groups() if x])
+            self.recent[word] = ids
+        return ids
+
+    def _known(self, word: bytes) -> bytes | None:
+        ids = self.recent.get(word)
+        if ids is None and (ids := self.older.get(word)) is not None:
+            self.recent[word] = ids
+        return ids
+
+    def _run(self, part: str) -> bytes:
+        """Ids of a run of letters or punctuation."""
+        raw = part.encode()
+        ids = self._known(raw)
+        if ids is None:
+            shown = part if part.isascii() else raw.decode("latin-1").translate(self.visible)
+            ids = self.recent[raw] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        return ids
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
@@ -69,12 +115,13 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = _workers.get(tokenizer) or _workers.setdefault(tokenizer, _Words(tokenizer))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 out: list[list] = [[], [], [], [], []]
-                for doc, ids in zip(batch.column(0).to_pylist(), _token_bytes(tokenizer, batch.column(1).to_pylist()), strict=True):
-                    ids += end
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = words.encode(text.as_py()) + end
                     for piece, start in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[start : start + 4 * capacity]
                         for column, value in zip(out, (doc, piece, start // 4, len(part) // 4, zlib.crc32(part)), strict=True):
@@ -139,6 +186,7 @@ class _Search:
     def __init__(self, counts: dict[int, int], capacity: int) -> None:
         self.capacity, self.left = capacity, [0] * (capacity + 1)
         self.bits = 0  # bit x: a piece of length x is left
+        self.steps = 0
         for x, n in counts.items():
             self.take(x, -n)
 
@@ -169,12 +217,11 @@ class _Search:
                 return
             while x and nodes > 0 and len(found) < width and not (found and found[-1][0] == 0 and len(found) >= width // 2):
                 nodes -= 1
+                self.steps += 1
                 self.take(x, 1)
                 grow((*chosen, x), rest - x, x)
                 self.take(x, -1)
                 x = self.at_most(x - 1)
-                if 2 * x < rest and len(chosen) > 3:
-                    break  # deep down only the longest choices are tried
 
         grow((largest,), self.capacity - largest, largest)
         self.take(largest, -1)
@@ -199,16 +246,16 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     best = best_fit(counts, capacity)
     least, size = lower_bound(counts, capacity), sum(n for _, n in best)
     total = sum(x * n for x, n in counts.items())
-    search, path, used, waste, nodes = _Search(counts, capacity), [], 0, 0, SEARCH_NODES
+    search, path, used, waste = _Search(counts, capacity), [], 0, 0
     stack: list[Iterator] = []
-    while size > least and nodes > 0:
-        nodes -= 1
+    while size > least and search.steps < SEARCH_NODES:
+        search.steps += 1
         largest = search.bits.bit_length() - 1
         if largest <= 0:
             if used < size:
                 best, size = list(path), used
         elif waste <= (size - 1) * capacity - total and len(stack) == len(path):
-            stack.append(iter(search.fillings(largest, 6)))
+            stack.append(iter(search.fillings(largest, WIDTH)))
         # Go on with the next filling of the deepest level that has one.
         while stack:
             if len(path) == len(stack):
@@ -254,11 +301,15 @@ def places(plan: Plan) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, length, ...) -> the same with sequence_id and offset."""
+    """pieces (doc_id, piece, length, ...) -> the same with sequence_id, offset, n_sequences and least_sequences.
+
+    least_sequences is a bound below which no packing can be: where n_sequences equals it, the plan is proven best.
+    """
     spark = pieces.sparkSession
     # One row per length: at most `capacity` rows reach the driver.
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    where = places(plan_sequences(counts, capacity))
+    plan = plan_sequences(counts, capacity)
+    where, n_sequences = places(plan), sum(n for _, n in plan)
     salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
     before = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
@@ -283,11 +334,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(run, schema).select("*", F.lit(n_sequences).cast("long").alias("n_sequences"), F.lit(lower_bound(counts, capacity)).cast("long").alias("least_sequences"))
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, n_sequences, least_sequences.
 
     A null or empty text is the end id alone. Repeated rows and rows without doc_id are packed like any others.
     Ties between equal lengths go by a hash of doc_id and piece. An empty table gives an empty result. Other
