@@ -1,11 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in Spark's own functions only.
 
-A paragraph is a line; longer lines are cut every PARAGRAPH characters from their start. A document's digests go
-into a sketch of three tables of cells (count, XOR of digests, XOR of their check hashes). The sketches of two
-versions are subtracted cell by cell, so that what they share vanishes, and peeling recovers the digests in which
-they differ: a cell that holds one digest gives it away, and it is taken out of its other cells. Where peeling gets
-stuck, it is tried again with more cells: the digests are dealt into blocks of about BLOCK, each with a larger
-sketch of its own, so that the work stays in proportion to the text.
+A paragraph is a line; longer lines are cut at words, the first one from character SHORTEST on that ends in one of a
+few letters or marks, so that an inserted word moves the cuts near it and no others. A document's digests go into a
+sketch of three tables of cells (count, XOR of digests, XOR of their check hashes). The sketches of two versions are
+subtracted cell by cell, so that what they share vanishes, and peeling recovers the digests in which they differ: a
+cell that holds one digest gives it away, and it is taken out of its other cells. Where peeling gets stuck, it is
+tried again with more cells: the digests are dealt into blocks of about BLOCK, each with a sketch of its own that
+grows until its peeling ends, so that the work stays in proportion to the text.
 """
 
 from __future__ import annotations
@@ -13,16 +14,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARAGRAPH = 128
+SHORTEST, LONGEST = 112, 256
+#: In Java and Python alike: up to a word that ends in a letter of the list, or as far as it goes.
+PARAGRAPH = rf"[^\n]{{{SHORTEST},{LONGEST - 1}}}?[dehnsty.!?,](?![^ \t\n])|[^\n]{{1,{LONGEST}}}"
 BLOCK = 8
 #: Cells in each of the three tables: of a fingerprint, and of a block at each further try.
-BASE, LARGER = 4, (8, 32)
-#: Bounds of doc_id between which documents are dealt to tasks, and parts between two bounds.
-BOUNDS, PARTS = 128, 16
+BASE, LARGER = 4, (8, 32, 128, 512, 2048)
+#: Rows that a part of neighbouring documents has, about, and bounds that are looked through at a time.
+PART_ROWS, FAN = 50_000, 256
 
 
 def digests(text: Column) -> Column:
-    found = F.regexp_extract_all(text, F.lit(f"[^\n]{{1,{PARAGRAPH}}}"), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0))
     return F.array_distinct(F.transform(found, lambda p: F.xxhash64(p)))
 
 
@@ -31,16 +34,17 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _place(digest: Column, table: int, cells: int) -> Column:
-    return F.pmod(F.xxhash64(digest, F.lit(table), F.lit(cells)), F.lit(cells)).cast("int")
+def _place(digest: Column, table: int, cells: Column) -> Column:
+    return F.pmod(F.xxhash64(digest, F.lit(table), cells), cells).cast("int")
 
 
 def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit("check"))
 
 
-def sketch(signed: Column, cells: int) -> Column:
+def sketch(signed: Column, cells: int | Column) -> Column:
     """Three tables of cells, one after the other; signed: array of (d, s), s 1 or -1."""
+    cells = F.lit(cells) if isinstance(cells, int) else cells
     xor = lambda items, field: F.aggregate(items, F.lit(0).cast("long"), lambda a, e: a.bitwiseXOR(e[field]))
     placed = F.transform(signed, lambda e: F.struct(e["d"].alias("d"), e["s"].alias("s"), _check(e["d"]).alias("c"), *[_place(e["d"], t, cells).alias(f"h{t}") for t in range(3)]))
 
@@ -51,7 +55,7 @@ def sketch(signed: Column, cells: int) -> Column:
                 lambda own: F.struct(F.aggregate(own, F.lit(0), lambda a, e: a + e["s"]).alias("n"), xor(own, "d").alias("k"), xor(own, "c").alias("c")),
             )
 
-        return F.concat(*[F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell(t)) for t in range(3)])
+        return F.concat(*[F.transform(F.sequence(F.lit(0), cells - 1), cell(t)) for t in range(3)])
 
     return _let(placed, tables)
 
@@ -64,8 +68,9 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
 
 
-def peel(difference: Column, cells: int, steps: Column) -> Column:
+def peel(difference: Column, cells: int | Column, steps: Column) -> Column:
     """How many digests differ; null if peeling gets stuck. steps: no more digests than this are looked for."""
+    cells = F.lit(cells) if isinstance(cells, int) else cells
     pure = lambda x: (F.abs(x["n"]) == 1) & (x["c"] == _check(x["k"]))
 
     def take(state: Column) -> Column:
@@ -90,22 +95,29 @@ def peel(difference: Column, cells: int, steps: Column) -> Column:
     return _let(end, lambda s: F.when(~F.exists(s["cells"], lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["c"] != 0)), s["got"]))
 
 
+def peeled(items: Column) -> Column:
+    """How many of the signed digests of a block don't cancel out, by the first sketch whose peeling ends."""
+    attempt = lambda cells: peel(sketch(items, cells), cells, F.size(items))
+    more = F.aggregate(F.array(*map(F.lit, LARGER[1:])), F.lit(None).cast("int"), lambda got, cells: F.coalesce(got, attempt(cells)))
+    return F.coalesce(attempt(LARGER[0]), more, F.raise_error(F.lit(f"no sketch of up to {LARGER[-1]} cells could be peeled")).cast("int"))
+
+
 def differing(a: str, b: str, base_a: str, base_b: str) -> Column:
     """How many digests two versions differ in; a, b: their digests, base_a, base_b: their sketches of BASE cells."""
     total = F.size(a) + F.size(b)
     first = peel(subtract(F.col(base_a), F.col(base_b)), BASE, F.lit(3 * BASE))
-    both = F.concat(signed(F.col(a), 1), signed(F.col(b), -1))
     blocks = F.ceil(total / BLOCK).cast("int")
+    both = F.concat(signed(F.col(a), 1), signed(F.col(b), -1))
+    # Sorted by block once; a block is a slice between two places where its number changes.
+    dealt = F.array_sort(F.transform(both, lambda e: F.struct(F.pmod(e["d"], blocks).alias("k"), e["d"].alias("d"), e["s"].alias("s"))))
 
-    def block(items: Column, number: Column, count: Column) -> Column:
-        own = F.filter(items, lambda e: F.pmod(e["d"], count) == number)
-        tries = lambda mine: F.coalesce(*[peel(sketch(mine, cells), cells, F.size(mine)) for cells in LARGER])
-        return _let(own, tries)
+    def by_block(items: Column) -> Column:
+        n = F.size(items)
+        begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get(items, i - 1)["k"] != F.get(items, F.greatest(i - 2, F.lit(0)))["k"]))
+        counted = _let(begins, lambda at: F.zip_with(at, F.concat(F.slice(at, 2, n), F.array(n + 1)), lambda i, j: peeled(F.slice(items, i, j - i))))
+        return F.aggregate(counted, F.lit(0), lambda s, x: s + x)
 
-    found = _let(both, lambda items: F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: block(items, k, blocks)))
-    dealt = F.aggregate(found, F.lit(0), lambda s, x: s + x)  # null if one of them is
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))  # where even the largest sketch gets stuck
-    return F.when(total == 0, F.lit(0)).otherwise(F.coalesce(first, dealt, exact))
+    return F.when(total == 0, F.lit(0)).otherwise(F.coalesce(first, _let(dealt, by_block)))
 
 
 def likeness(a: str, b: str, base_a: str, base_b: str) -> Column:
@@ -120,38 +132,49 @@ def encode(cells: str) -> Column:
     return F.concat_ws("", F.transform(cells, lambda x: F.concat(digits(x["n"].cast("long"), 2), digits(x["k"], 16), digits(x["c"], 8))))
 
 
+def _rank(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most key; FAN of them are compared, or twice as many where there are more."""
+    few = lambda values: F.array(*map(F.lit, values))
+    count = lambda values: F.size(F.filter(values, lambda b: b <= key))
+    if len(bounds) <= FAN:
+        return count(few(bounds)) if bounds else F.lit(0)
+    wide = -(-len(bounds) // FAN)
+    groups = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
+    return _let(count(few([g[0] for g in groups])), lambda g: F.when(g == 0, 0).otherwise((g - 1) * wide + count(F.get(F.array(*map(few, groups)), g - 1))))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, ...) with next, a struct of the following row by doc_id; the first row follows the last.
+    """docs (doc_id, text, ...) with next, a struct of the following row by doc_id; the first row follows the last.
 
-    Rows are dealt by ranges of doc_id. The first row of a range is also sent to the range before it, so each
-    range finds its own successors in one shuffle. What reaches the driver is bounded: BOUNDS quantiles and the
-    least id of each of their PARTS.
+    Rows are dealt by ranges of doc_id, those without one by a hash of their text, into parts of about PART_ROWS. The
+    first row of a part is also sent to the part before it, so each part finds its own successors in one shuffle. The
+    driver gets a bound and the first key of each part.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
-    ids = docs.select(key.alias("id"))
-    bounds = ids.agg(F.percentile_approx("id", [k / BOUNDS for k in range(BOUNDS + 1)], 10_000)).first()[0]
-    if bounds is None:
-        return docs.withColumn("next", F.struct("*"))
-    bounds = sorted(set(bounds))
-    low = F.array(*[F.lit(b) for b in bounds])
-    wide = F.array(*[F.lit(float(max(1, b - a))) for a, b in zip(bounds, [*bounds[1:], bounds[-1] + 1], strict=True)])
-    cell = F.greatest(F.size(F.filter(low, lambda b: b <= key)), F.lit(1))
-    part = _let(cell, lambda c: c * PARTS + F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor((key - F.get(low, c - 1)) * PARTS / F.get(wide, c - 1)).cast("int"))))
-    firsts = sorted((r["part"], r["id"]) for r in docs.select(key.alias("id"), part.alias("part")).groupBy("part").agg(F.min("id").alias("id")).collect())
-    before = {firsts[k][1]: firsts[k - 1][0] for k in range(len(firsts))}
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))))
+    missing = F.col("doc_id").isNull()
     spark = docs.sparkSession
-    heads = F.broadcast(spark.createDataFrame(list(before.items()), "_id long, _before int"))
-    dealt = docs.select(F.struct("*").alias("row"), key.alias("_id"), part.alias("_part")).join(heads, "_id", "left")
-    places = F.filter(F.array(F.struct(F.col("_part").alias("part"), F.lit(0).alias("guest")), F.struct(F.col("_before").alias("part"), F.lit(1).alias("guest"))), lambda x: x["part"].isNotNull())
-    sent = dealt.select("row", "_id", F.explode(places).alias("at")).select("row", "_id", "at.*")
-    order = Window.partitionBy("part").orderBy("guest", "_id", "row.text")
+    n, nulls = docs.agg(F.count("doc_id"), F.count_if(missing)).first()
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(least, -(-n // PART_ROWS)), FAN * FAN)
+    bounds = docs.where(~missing).agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if n else None
+    bounds, hashed = sorted(set(bounds or [])), -(-nulls // PART_ROWS)
+    part = F.when(missing, F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)), F.lit(max(1, hashed))).cast("int") - hashed).otherwise(_rank(key, bounds))
+    placed = docs.select(F.struct("*").alias("row"), key.alias("_key"), part.alias("_part"))
+    firsts = sorted((r["_part"], r["_key"]) for r in placed.groupBy("_part").agg(F.min("_key").alias("_key")).collect())
+    if not firsts:
+        return docs.withColumn("next", F.struct("*"))
+    heads = F.broadcast(spark.createDataFrame([(*first, firsts[k - 1][0]) for k, first in enumerate(firsts)], "_part int, _key long, _before int"))
+    dealt = placed.join(heads, ["_part", "_key"], "left")
+    at = lambda part, guest: F.struct(F.col(part).alias("part"), F.lit(guest).alias("guest"))
+    sent = dealt.select("row", "_key", F.explode(F.filter(F.array(at("_part", 0), at("_before", 1)), lambda x: x["part"].isNotNull())).alias("at")).select("row", "_key", "at.*")
+    order = Window.partitionBy("part").orderBy("guest", "_key", "row.text")
     return sent.withColumn("next", F.lead("row").over(order)).where("guest = 0").select("row.*", "next")
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per document.
 
-    Rows are taken by doc_id, those without one first, and by text where ids are equal; each is compared with the
+    Rows are taken by doc_id, those without one first in an order of hashes, and by text where ids are equal; each is compared with the
     next one and with an edited text whose last quarter comes from the next one. A null text is empty. A single row
     follows itself; an empty table gives an empty result. Other columns are ignored, whatever their names.
     """

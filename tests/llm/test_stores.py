@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -26,7 +27,7 @@ def empty(spark):
 
 
 def paragraphs(text):
-    return set(re.findall(f"[^\n]{{1,{sketch.PARAGRAPH}}}", text))
+    return set(re.findall(sketch.PARAGRAPH, text))
 
 
 def like(a, b):
@@ -55,6 +56,41 @@ def test_one_document_follows_itself(spark):
     assert (one.near_next, one.edited_sha256) == (1.0, hashlib.sha256(b"abc\ndea").hexdigest())
 
 
+def test_next_over_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "PART_ROWS", 5)
+    monkeypatch.setattr(sketch, "FAN", 7)
+    ids = random.Random(2).sample(range(-500, 100_000), 400)
+    rows = [(d, f"text {d}") for d in ids] + [(None, f"none {k}") for k in range(60)]
+    got = sketch.with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    follows = {r.text: r.next.text for r in got}
+    assert len(got) == len(rows) and len(set(follows.values())) == len(rows)
+    order = [f"text {d}" for d in sorted(ids)]
+    assert all(follows[a] == b for a, b in zip(order, order[1:], strict=False)) and follows[order[-1]].startswith("none")
+    at, seen = order[-1], 0
+    while (at := follows[at]).startswith("none"):
+        seen += 1
+    assert seen == 60 and at == order[0]
+
+
+def test_an_inserted_word_changes_few_paragraphs(spark):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9))) for _ in range(2000)]
+    longer = [*words[:900], "inserted", *words[900:]]
+    texts = [(1, " ".join(words)), (2, " ".join(longer))]
+    got = {r.doc_id: r for r in sketch.fingerprint(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert 0.85 < got[1].near_next < 1
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    rnd = random.Random(5)
+    line = lambda: "".join(rnd.choices("abcdefgh  ", k=100))
+    texts = [(k, "\n".join(line() for _ in range(20_000))) for k in range(2)]
+    begin = time.monotonic()
+    (first, second) = sketch.fingerprint(spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)).orderBy("doc_id").collect()
+    assert first.near_next == like(paragraphs(texts[0][1]), paragraphs(texts[1][1])) == second.near_next
+    assert time.monotonic() - begin < 120
+
+
 def test_peeling_finds_the_difference(spark):
     rnd = random.Random(1)
     shared = [rnd.getrandbits(62) for _ in range(20)]
