@@ -207,11 +207,68 @@ def test_classifier_on_held_out_labels(spark):
     assert again.columns == [*docs.columns, "key"] and {r.doc_id for r in again.select("doc_id").collect()} == kept
 
 
+def brute_selection(docs, labels):
+    """Rows (doc_id, text) and {doc_id: quality} -> log weights and the ids kept, by dictionaries and plain gradient steps."""
+    n, seen = 1 << 15, {}
+    for d, text in docs:
+        raw, grams, words = text.encode(), Counter(), text.encode().split()
+        for k in range(len(raw) - 2):
+            grams[(((raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]) * 2654435761) % 2**32) >> 17] += 1
+        both = list(zip(words, words[1:], strict=False))
+        seen[d] = grams, Counter(fresh=len(set(both)), again=len(both) - len(set(both)))
+    ratios = []
+    for kind, keys in ((0, range(n)), (1, ("fresh", "again"))):
+        target, raw = Counter(), Counter()
+        for d, counts in seen.items():
+            raw.update(counts[kind])
+            if labels.get(d) == 1:
+                target.update(counts[kind])
+        size = lambda c, keys=keys: sum(c.values()) + 0.5 * len(keys)
+        ratios.append({k: np.log((target[k] + 0.5) / size(target)) - np.log((raw[k] + 0.5) / size(raw)) for k in keys})
+    mean = {d: [sum(r[k] * v for k, v in c.items()) / max(1, sum(c.values())) for r, c in zip(ratios, counts, strict=True)] for d, counts in seen.items()}
+    known = [d for d in seen if d in labels]
+    x, y = np.array([mean[d] for d in known]), np.array([labels[d] for d in known])
+    centre, spread = x.mean(axis=0), x.std(axis=0)
+    z, slope, base = (x - centre) / spread, np.zeros(2), 0.0
+    for _ in range(60_000):
+        p = 1 / (1 + np.exp(-(z @ slope + base)))
+        slope, base = slope + 0.01 * (z.T @ (y - p) - slope), base + 0.01 * ((y - p).sum() - 1e-6 * base)
+    return {d: float((np.array(m) - centre) / spread @ slope + base) for d, m in mean.items()}
+
+
+def test_classifier_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text <> ''")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    want = brute_selection([(r.doc_id, r.text) for r in docs.collect()], {r.doc_id: r.quality for r in labels.collect()})
+    noise = {r.doc_id: r.noise for r in docs.select("doc_id", quality.gumbel().alias("noise")).collect()}
+    assert abs(np.mean(list(noise.values())) - 0.5772) < 0.3 and len(set(noise.values())) == len(noise)
+    k = round(sum(1 / (1 + np.exp(-w)) for w in want.values()))
+    for rate in (None, 0.5):
+        top = sorted(want, key=lambda d: -(want[d] + noise[d]))[: k if rate is None else round(rate * len(want))]
+        got = {r.doc_id: r.log_weight for r in quality.select_quality(docs, labels, rate=rate).collect()}
+        assert set(got) == set(top)
+        assert all(w == pytest.approx(want[d], abs=1e-3) for d, w in got.items())
+
+
+def test_noise_decides_near_the_border(spark):
+    rows = [(k, "plain words that are alike and one more %d" % (k % 7)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, (k // 7) % 2) for k in range(100)], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality.select_quality(docs, labels).collect()}
+    assert 60 < len(kept) < 140
+    assert all(0 < sum(d % 7 == k for d in kept) < 29 for k in range(7))
+    assert quality.select_quality(docs, labels, rate=0.25).count() == 50
+
+
 def test_classifier_edges(spark, docs, empty):
     labels = spark.createDataFrame([(0, 1), (3, 1), (6, 0), (None, 1), (9, None)], "doc_id long, quality int")
-    assert quality.select_quality(docs, labels).count() <= docs.count()
+    assert 0 < quality.select_quality(docs, labels).count() < docs.count()
     assert quality.select_quality(empty, labels).count() == 0
-    assert quality.select_quality(docs, labels.limit(0)).count() > 0
+    assert quality.select_quality(docs, labels.limit(0)).count() == docs.count()
+    repeated = docs.where("doc_id = 0").select("doc_id", "text")
+    again = repeated.unionByName(repeated).unionByName(docs.where("doc_id <> 0").select("doc_id", "text"))
+    kept = Counter(r.doc_id for r in quality.select_quality(again, labels).collect())
+    assert kept[0] in (0, 2 * docs.where("doc_id = 0").count())
 
 
 def test_top_cut_is_exact(spark):
