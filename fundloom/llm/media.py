@@ -1,10 +1,11 @@
 """Media columns: content-defined chunks of stored media, each kept once, and media put together from them again.
 
-A payload is stored as 8-bit mono samples in a WAV file. The file's bytes are cut where a rolling gear hash of the
-last 32 bytes has its top bits zero, so that equal stretches are cut alike wherever they stand. Chunks are kept once
-by digest in a table bucketed by digest; a medium is the ordered list of its chunks' digests. Reading joins the lists
-with the chunks, checks the whole against its digest and computes the features from what was read. Media of one chunk,
-most of them, are done where the join puts them; only the chunks of longer ones are dealt again by medium.
+A payload is stored as 8-bit mono samples in a WAV file. The samples are cut where a rolling gear hash of the last 32
+bytes has its top bits zero, so that equal stretches are cut alike wherever they stand; the header, which holds the
+length, stays apart. A medium is the ordered list of its chunks' digests. A join of the digests finds those that come
+more than once, and gives each to the first place it stands at; the store has a row per medium with the chunks that
+are its own, so each chunk is kept once and most media lie together. Reading joins the lists with the chunks that
+stand elsewhere, checks the whole against the medium's digest and computes the features from what was read.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import materialize, scratch_dir
+from fundloom.llm.shared import attach, materialize, scratch_dir
 
 #: Bytes of a chunk: least, and most; one cut in 2^CUT_BITS positions between them.
-SMALLEST, LARGEST, CUT_BITS = 16_384, 262_144, 14
+SMALLEST, LARGEST, CUT_BITS = 512, 8_192, 10
 RATE = 8000
 HEADER = 44
-#: Digests that a task remembers, so as not to send a chunk twice.
+#: Media that a task remembers, so as not to send one twice.
 REMEMBERED = 200_000
 
 
@@ -77,10 +78,10 @@ def cuts(data: bytes, smallest: int = SMALLEST, largest: int = LARGEST, bits: in
     return out
 
 
-def _chunks(media: bytes) -> list[tuple[bytes, bytes]]:
+def _chunks(samples: bytes) -> list[tuple[bytes, bytes]]:
     out, at = [], 0
-    for end in cuts(media):
-        part = media[at:end]
+    for end in cuts(samples):
+        part = samples[at:end]
         out.append((hashlib.blake2b(part, digest_size=16).digest(), part))
         at = end
     return out
@@ -89,98 +90,109 @@ def _chunks(media: bytes) -> list[tuple[bytes, bytes]]:
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            text = text.as_py()
             payload = payload_of(text)
-            media = wav(payload)
-            rows.append((doc, len(text or b""), len(payload), hashlib.sha256(media).hexdigest(), [d for d, _ in _chunks(media)]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary()))
+            rows.append((doc, len(text or b""), len(payload), hashlib.sha256(wav(payload)).digest(), [d for d, _ in _chunks(payload)]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()))
         columns = list(zip(*rows, strict=True)) or [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_id", "chunks"])
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (text) -> (media_id, head, digests, data): all chunks of each medium that the task has not met."""
     seen: set[bytes] = set()
     pack = zstandard.ZstdCompressor(level=9)
+    kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
-            ids, data = [], []
-            for text in whole.column(0).slice(k, 500).to_pylist():
-                for digest, part in _chunks(wav(payload_of(text))):
-                    if digest not in seen:
-                        seen.add(digest)
-                        ids.append(digest)
-                        data.append(pack.compress(part))
+            rows = []
+            for text in whole.column(0).slice(k, 500):
+                payload = payload_of(text.as_py())
+                media = wav(payload)
+                media_id = hashlib.sha256(media).digest()
+                if media_id not in seen:
+                    seen.add(media_id)
+                    found = _chunks(payload)
+                    rows.append((media_id, media[:HEADER], [d for d, _ in found], [pack.compress(part) for _, part in found]))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(data, pa.binary())], ["digest", "data"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["media_id", "head", "digests", "data"])
 
 
-class _Reader:
-    """One medium, read chunk by chunk."""
+def _feature(samples: np.ndarray) -> str:
+    counts = np.bincount(samples, minlength=256)
+    n, level = max(1, len(samples)), np.arange(256) / 128 - 1
+    share = counts[counts > 0] / n
+    high = samples >= 128
+    mean, rms = float((counts * level).sum() / n), float(np.sqrt((counts * level * level).sum() / n))
+    return f"mean={mean:.6f};rms={rms:.6f};entropy={float(-(share * np.log2(share)).sum()):.6f};crossings={int((high[1:] != high[:-1]).sum())}"
 
-    def __init__(self, media_id: str) -> None:
-        self.media_id, self.sha, self.inner, self.size = media_id, hashlib.sha256(), hashlib.sha256(), 0
-        self.tail, self.counts, self.jumps, self.last = b"", np.zeros(256, np.int64), 0, None
 
-    def feed(self, part: bytes) -> None:
-        self.sha.update(part)
-        body = part[max(0, HEADER - self.size) :]
-        self.size += len(part)
-        if body:
-            self.inner.update(body)
-            self.tail = (self.tail + body[-64:])[-64:]
-            samples = np.frombuffer(body, np.uint8)
-            self.counts += np.bincount(samples, minlength=256)
-            high = samples >= 128
-            self.jumps += int((high[1:] != high[:-1]).sum()) + (self.last is not None and bool(self.last != high[0]))
-            self.last = high[-1]
-
-    def done(self) -> tuple:
-        if self.sha.hexdigest() != self.media_id:
-            raise ValueError(f"medium {self.media_id} was read back as {self.sha.hexdigest()}")
-        n, level = max(1, int(self.counts.sum())), np.arange(256) / 128 - 1
-        mean = float((self.counts * level).sum() / n)
-        rms = float(np.sqrt((self.counts * level * level).sum() / n))
-        share = self.counts[self.counts > 0] / n
-        feature = f"mean={mean:.6f};rms={rms:.6f};entropy={float(-(share * np.log2(share)).sum()):.6f};crossings={self.jumps}"
-        return self.media_id, self.inner.hexdigest(), zlib.crc32(self.tail), self.size, feature
-
-
-READ = "media_id string, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
+READ = "media_id binary, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (media_id, data) in order, a medium's together -> a row of READ per medium."""
-    unpack, reader = zstandard.ZstdDecompressor(), None
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["media_id", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+    """Rows (media_id, head, data, others array of (nth, data)) -> a row of READ per medium; the others take their places by nth."""
+    unpack = zstandard.ZstdDecompressor()
+    kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    for whole in batches:
+        for k in range(0, whole.num_rows, 500):
+            rows = []
+            for media_id, head, data, others in zip(*(c.slice(k, 500) for c in whole.columns), strict=True):
+                media_id, parts = media_id.as_py(), data.as_py()
+                for other in others.as_py() or ():
+                    parts.insert(other["nth"], other["data"])
+                samples = b"".join([unpack.decompress(part) for part in parts])
+                media = head.as_py() + samples
+                found = hashlib.sha256(media).digest()
+                if found != media_id:
+                    raise ValueError(f"medium {media_id.hex()} was read back as {found.hex()}")
+                rows.append((media_id, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), _feature(np.frombuffer(samples, np.uint8))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["media_id", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+
+
+class Store:
+    """Media in the shared folder.
+
+    lists (doc_id, n_bytes, payload_bytes, media_id, chunks): a document's medium, digests in order.
+    shared (digest, owner): digests that stand in more than one place, and the first of these (media_id, nth).
+    borrowed (media_id, nth, digest): the other places.
+    name: a table bucketed by media_id of (media_id, head, digests, data): the chunks that are a medium's own.
+    """
 
-    for batch in batches:
-        rows = []
-        for media_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if reader is None or reader.media_id != media_id:
-                if reader is not None:
-                    rows.append(reader.done())
-                reader = _Reader(media_id)
-            reader.feed(unpack.decompress(data.as_py()))
-        yield table(rows)
-    if reader is not None:
-        yield table([reader.done()])
-
-
-def store_media(docs: DataFrame) -> tuple[DataFrame, str]:
-    """Lists (doc_id, n_bytes, payload_bytes, media_id, chunks) and the name of the bucketed table (digest, data) of the chunks."""
-    spark = docs.sparkSession
-    text = F.col("text").cast("binary")
-    lists = materialize(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_lists, "doc_id long, n_bytes long, payload_bytes long, media_id string, chunks array<binary>"), "lists")
-    name = f"chunks_{uuid.uuid4().hex}"
-    parts = docs.select(text).mapInArrow(_parts, "digest binary, data binary").dropDuplicates(["digest"])
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts.write.bucketBy(n, "digest").option("compression", "none").option("path", f"{scratch_dir(spark)}/{name}").format("parquet").saveAsTable(name)
-    return lists, name
+    def __init__(self, docs: DataFrame) -> None:
+        self.spark = spark = docs.sparkSession
+        self.parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        text = F.col("text").cast("binary")
+        self.lists = materialize(docs.select(F.col("doc_id").cast("long"), text).mapInArrow(_lists, "doc_id long, n_bytes long, payload_bytes long, media_id binary, chunks array<binary>"), "lists")
+        media = self.lists.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
+        placed = materialize(media.select("media_id", F.posexplode("chunks").alias("nth", "digest")), "placed")
+        counted = placed.groupBy("digest").agg(F.min(F.struct("media_id", "nth")).alias("owner"), F.count("*").alias("n")).where("n > 1")
+        self.shared = materialize(counted.select("digest", "owner"), "shared")
+        at = F.struct("media_id", "nth")
+        self.borrowed = materialize(attach(placed, self.shared, ["digest"]).where(at != F.col("owner")).select("media_id", "nth", "digest"), "borrowed")
+        skip = self.borrowed.groupBy("media_id").agg(F.collect_set("nth").alias("skip"))
+        whole = docs.select(text).mapInArrow(_whole, "media_id binary, head binary, digests array<binary>, data array<binary>").dropDuplicates(["media_id"])
+        kept = lambda c: F.when(F.col("skip").isNull(), F.col(c)).otherwise(F.filter(c, lambda _, i: ~F.array_contains("skip", i))).alias(c)
+        own = whole.join(skip, "media_id", "left").select("media_id", "head", kept("digests"), kept("data"))
+        self.name = f"media_{uuid.uuid4().hex}"
+        own.write.bucketBy(self.parts, "media_id").option("compression", "none").option("path", f"{scratch_dir(spark)}/{self.name}").format("parquet").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        """(media_id, payload_sha256, tail_crc32, media_bytes, feature) per medium, each checked against its digest."""
+        own = self.spark.table(self.name)
+        wanted = self.shared.groupBy(F.col("owner.media_id").alias("media_id")).agg(F.collect_set("digest").alias("wanted"))
+        lent = own.join(wanted, "media_id").select(F.explode(F.filter(F.arrays_zip("digests", "data"), lambda x: F.array_contains("wanted", x["digests"]))).alias("x"))
+        lent = materialize(lent.select(F.col("x.digests").alias("digest"), F.col("x.data").alias("data")), "lent")  # written, so that AQE can split the next join
+        others = self.borrowed.join(lent, "digest").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("nth", "data"))).alias("others"))
+        return materialize(own.join(others, "media_id", "left").select("media_id", "head", "data", "others").mapInArrow(_read, READ), "media")
+
+    def drop_name(self) -> None:
+        """Takes the table's name out of the session's catalog; its files stay in the shared folder."""
+        self.spark.sql(f"drop table if exists {self.name}")
 
 
 def media_features(docs: DataFrame) -> DataFrame:
@@ -189,13 +201,9 @@ def media_features(docs: DataFrame) -> DataFrame:
     A null text is empty; equal texts are one medium. Repeated rows and rows without doc_id come out as they are.
     An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    lists, name = store_media(docs)
-    store = docs.sparkSession.table(name)
-    media = lists.groupBy("media_id").agg(F.first("chunks").alias("chunks"))
-    wanted = media.select("media_id", F.size("chunks").alias("n"), F.posexplode("chunks").alias("nth", "digest"))
-    joined = lambda rows: rows.join(store, "digest").select("media_id", "nth", "data")
-    short = joined(wanted.where("n = 1")).select("media_id", "data").mapInArrow(_read, READ)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    long = joined(wanted.where("n > 1")).repartition(parts, "media_id").sortWithinPartitions("media_id", "nth").select("media_id", "data").mapInArrow(_read, READ)
-    read = materialize(short.unionByName(long), "media")
-    return lists.join(read, "media_id").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("media_id").alias("media_sha256"), "feature")
+    store = Store(docs)
+    read = store.read()
+    store.drop_name()
+    return store.lists.join(read, "media_id").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_id")).alias("media_sha256"), "feature"
+    )

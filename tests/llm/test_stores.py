@@ -196,6 +196,24 @@ def test_chunks_meet_again_after_an_insertion():
     assert len(media.cuts(bytes(10**6), 1000, 5000, 10)) >= 200
 
 
+def test_chunks_are_kept_once(spark):
+    rnd = np.random.default_rng(3)
+    text = lambda n: "".join(map(chr, rnd.integers(32, 127, n)))
+    common = text(30_000)
+    rows = [(k, text(2_000) + common + text(1_500)) for k in range(12)] + [(20, common), (21, "a" * 60_000), (22, text(900)), (23, None), (24, "")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int")
+    store = media.Store(docs)
+    chunks = spark.table(store.name).selectExpr("explode(digests) as digest").collect()
+    assert len(chunks) == len({bytes(r.digest) for r in chunks})
+    lists = {r.doc_id: [bytes(d) for d in r.chunks] for r in store.lists.collect()}
+    assert {d for x in lists.values() for d in x} == {bytes(r.digest) for r in chunks}
+    assert len(set(lists[0]) & set(lists[11])) > 10 and store.borrowed.count() > 100
+    got = {r.media_bytes for r in store.read().collect()}
+    assert got == {media.HEADER + len(media.payload_of((t or "").encode())) for _, t in rows}
+    store.drop_name()
+    assert not spark.catalog.tableExists(store.name)
+
+
 def test_classifier_on_held_out_labels(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
