@@ -27,12 +27,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def saved(df: DataFrame, name: str) -> str:
+    """Writes df as a table in the shared folder; its path."""
+    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))
 
 
 def _bytes(table: DataFrame) -> Column:

@@ -156,18 +156,27 @@ def test_chats(spark):
 
 def test_trees(spark):
     rnd = random.Random(9)
-    rows, want = [], set()
+    rows, want, shown = [], set(), {}
     for c in range(20):
         parent = {0: None} | {k: rnd.randrange(k) for k in range(1, rnd.randint(2, 25))}
+        if c % 5 == 0:
+            parent |= {100: None, 101: 100, 102: 77}  # more roots; 77 is missing
         score = {k: rnd.randint(0, 3) for k in parent}
-        path = lambda k: ([] if parent[k] is None else path(parent[k])) + [k]  # noqa: B023, E731
+        path = lambda k: ([] if parent.get(k) is None or parent[k] not in parent else path(parent[k])) + [k]  # noqa: B023, E731
         leaves = [k for k in parent if k not in parent.values()]
-        best = max(leaves, key=lambda k: (sum(score[x] for x in path(k)), len(path(k)), -k))
-        want |= {(str(c), k, d + 1) for d, k in enumerate(path(best))}
-        rows += [(str(c), k, parent[k], float(score[k])) for k in parent]
-    rows += [("loop", 1, 2, 0.0), ("loop", 2, 1, 0.0)]
-    got = chat.best_paths(spark.createDataFrame(rows, "conv string, id long, parent long, score double")).select("conv", "id", "depth").collect()
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+        ranked = sorted(leaves, key=lambda k: (-sum(score[x] for x in path(k)), -len(path(k)), k))
+        want |= {(str(c), r, k, d + 1) for r, leaf in enumerate(ranked, 1) for d, k in enumerate(path(leaf))}
+        shown |= {(str(c), r): "".join(f"<s>[INST] assistant [/INST]{k}</s>" for k in path(leaf)) for r, leaf in enumerate(ranked, 1)}
+        rows += [(str(c), k, parent[k], float(score[k]), "assistant", str(k)) for k in parent]
+    rows += [("loop", 1, 2, 0.0, "user", "x"), ("loop", 2, 1, None, None, None)]
+    messages = spark.createDataFrame(rows, "conv string, id long, parent long, score double, role string, text string")
+    for best in (1, 3, None):
+        got = [tuple(r) for r in chat.ranked_paths(messages, best).select("conv", "rank", "id", "depth").collect()]
+        chosen = {x for x in want if best is None or x[1] <= best}
+        assert set(got) == chosen and len(got) == len(chosen)
+    out = chat.format_trees(messages).select("conv", "rank", "formatted", chat.learnt(F.col("formatted"), F.col("mask")).alias("loss")).collect()
+    assert {(r.conv, r.rank): r.formatted for r in out} == shown
+    assert all(r.loss == "".join(re.findall(r"\](\d+)<", r.formatted)) for r in out)
 
 
 def test_media(spark, docs, empty):
