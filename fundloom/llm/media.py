@@ -28,6 +28,9 @@ from fundloom.llm.shared import attach, materialize, scratch_dir
 SMALLEST, LARGEST, CUT_BITS = 512, 8_192, 10
 RATE = 8000
 HEADER = 44
+#: Bytes of the dictionary that chunks are compressed with, the level, and the documents and bytes of each that it is trained on, at most.
+DICTIONARY, LEVEL = 262_144, 12
+SAMPLE, SAMPLED_BYTES = 2_000, 8_192
 #: Media that a task remembers, so as not to send one twice.
 REMEMBERED = 200_000
 
@@ -99,11 +102,31 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_id", "chunks"])
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (text) -> (media_id, head, digests, data): all chunks of each medium that the task has not met."""
+def train(docs: DataFrame) -> bytes:
+    """A dictionary for the compression of chunks, from a bounded sample of docs (text binary); empty where there is too little to learn from.
+
+    It only makes the stored form smaller; what is read back doesn't depend on it.
+    """
+    sample = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLED_BYTES).alias("text")).distinct().orderBy("h").limit(SAMPLE).collect()
+    chunks = [part for r in sample for _, part in _chunks(bytes(r["text"]))]
+    size = min(DICTIONARY, sum(map(len, chunks)) // 8)
+    if size < 1024 or len(chunks) < 100:
+        return b""
+    try:
+        return zstandard.train_dictionary(size, chunks).as_bytes()
+    except zstandard.ZstdError:
+        return b""
+
+
+def _options(dictionary: bytes) -> dict:
+    return {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+
+
+def _whole(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows (text) -> (media_id, head, data): all chunks of each medium that the task has not met."""
     seen: set[bytes] = set()
-    pack = zstandard.ZstdCompressor(level=9)
-    kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    pack = zstandard.ZstdCompressor(level=LEVEL, write_dict_id=False, **_options(dictionary))
+    kinds = (pa.binary(), pa.binary(), pa.list_(pa.binary()))
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
             rows = []
@@ -113,45 +136,44 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 media_id = hashlib.sha256(media).digest()
                 if media_id not in seen:
                     seen.add(media_id)
-                    found = _chunks(payload)
-                    rows.append((media_id, media[:HEADER], [d for d, _ in found], [pack.compress(part) for _, part in found]))
+                    rows.append((media_id, media[:HEADER], [pack.compress(part) for _, part in _chunks(payload)]))
             if len(seen) > REMEMBERED:
                 seen.clear()
-            columns = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["media_id", "head", "digests", "data"])
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["media_id", "head", "data"])
 
 
-def _feature(samples: np.ndarray) -> str:
+def _features(samples: np.ndarray) -> tuple[float, float, float, int]:
+    """Mean and root mean square of the level, entropy of the samples, changes of sign."""
     counts = np.bincount(samples, minlength=256)
     n, level = max(1, len(samples)), np.arange(256) / 128 - 1
     share = counts[counts > 0] / n
     high = samples >= 128
-    mean, rms = float((counts * level).sum() / n), float(np.sqrt((counts * level * level).sum() / n))
-    return f"mean={mean:.6f};rms={rms:.6f};entropy={float(-(share * np.log2(share)).sum()):.6f};crossings={int((high[1:] != high[:-1]).sum())}"
+    return float((counts * level).sum() / n), float(np.sqrt((counts * level * level).sum() / n)), float(-(share * np.log2(share)).sum()), int((high[1:] != high[:-1]).sum())
 
 
-READ = "media_id binary, payload_sha256 string, tail_crc32 long, media_bytes long, feature string"
+READ = "media_id binary, payload_sha256 binary, tail_crc32 long, media_bytes long, mean double, rms double, entropy double, crossings long"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (media_id, head, data, others array of (nth, data)) -> a row of READ per medium; the others take their places by nth."""
-    unpack = zstandard.ZstdDecompressor()
-    kinds = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string())
+def _read(batches: Iterator[pa.RecordBatch], dictionary: bytes) -> Iterator[pa.RecordBatch]:
+    """Rows (media_id, head, data, others array of (nth, data)) -> a row of READ per medium; the others take the places that data leaves empty."""
+    unpack = zstandard.ZstdDecompressor(**_options(dictionary))
+    kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
     for whole in batches:
         for k in range(0, whole.num_rows, 500):
             rows = []
             for media_id, head, data, others in zip(*(c.slice(k, 500) for c in whole.columns), strict=True):
                 media_id, parts = media_id.as_py(), data.as_py()
                 for other in others.as_py() or ():
-                    parts.insert(other["nth"], other["data"])
+                    parts[other["nth"]] = other["data"]
                 samples = b"".join([unpack.decompress(part) for part in parts])
                 media = head.as_py() + samples
                 found = hashlib.sha256(media).digest()
                 if found != media_id:
                     raise ValueError(f"medium {media_id.hex()} was read back as {found.hex()}")
-                rows.append((media_id, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(media), _feature(np.frombuffer(samples, np.uint8))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], ["media_id", "payload_sha256", "tail_crc32", "media_bytes", "feature"])
+                rows.append((media_id, hashlib.sha256(samples).digest(), zlib.crc32(samples[-64:]), len(media), *_features(np.frombuffer(samples, np.uint8))))
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, x) for c, x in zip(columns, kinds, strict=True)], [c.split()[0] for c in READ.split(", ")])
 
 
 class Store:
@@ -160,7 +182,8 @@ class Store:
     lists (doc_id, n_bytes, payload_bytes, media_id, chunks): a document's medium, digests in order.
     shared (digest, owner): digests that stand in more than one place, and the first of these (media_id, nth).
     borrowed (media_id, nth, digest): the other places.
-    name: a table bucketed by media_id of (media_id, head, digests, data): the chunks that are a medium's own.
+    name: a table bucketed by media_id of (media_id, head, data): the chunks that are a medium's own, null in other places.
+    dictionary: what the chunks are compressed with, also written beside the table.
     """
 
     def __init__(self, docs: DataFrame) -> None:
@@ -175,20 +198,22 @@ class Store:
         at = F.struct("media_id", "nth")
         self.borrowed = materialize(attach(placed, self.shared, ["digest"]).where(at != F.col("owner")).select("media_id", "nth", "digest"), "borrowed")
         skip = self.borrowed.groupBy("media_id").agg(F.collect_set("nth").alias("skip"))
-        whole = docs.select(text).mapInArrow(_whole, "media_id binary, head binary, digests array<binary>, data array<binary>").dropDuplicates(["media_id"])
-        kept = lambda c: F.when(F.col("skip").isNull(), F.col(c)).otherwise(F.filter(c, lambda _, i: ~F.array_contains("skip", i))).alias(c)
-        own = whole.join(skip, "media_id", "left").select("media_id", "head", kept("digests"), kept("data"))
+        self.dictionary = dictionary = train(docs.select(text.alias("text")))
+        materialize(spark.createDataFrame([(dictionary,)], "dictionary binary"), "dictionary")
+        whole = docs.select(text).mapInArrow(lambda it: _whole(it, dictionary), "media_id binary, head binary, data array<binary>").dropDuplicates(["media_id"])
+        kept = F.when(F.col("skip").isNull(), F.col("data")).otherwise(F.transform("data", lambda x, i: F.when(~F.array_contains("skip", i), x)))
+        own = whole.join(skip, "media_id", "left").select("media_id", "head", kept.alias("data"))
         self.name = f"media_{uuid.uuid4().hex}"
         own.write.bucketBy(self.parts, "media_id").option("compression", "none").option("path", f"{scratch_dir(spark)}/{self.name}").format("parquet").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         """(media_id, payload_sha256, tail_crc32, media_bytes, feature) per medium, each checked against its digest."""
-        own = self.spark.table(self.name)
-        wanted = self.shared.groupBy(F.col("owner.media_id").alias("media_id")).agg(F.collect_set("digest").alias("wanted"))
-        lent = own.join(wanted, "media_id").select(F.explode(F.filter(F.arrays_zip("digests", "data"), lambda x: F.array_contains("wanted", x["digests"]))).alias("x"))
-        lent = materialize(lent.select(F.col("x.digests").alias("digest"), F.col("x.data").alias("data")), "lent")  # written, so that AQE can split the next join
-        others = self.borrowed.join(lent, "digest").groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("nth", "data"))).alias("others"))
-        return materialize(own.join(others, "media_id", "left").select("media_id", "head", "data", "others").mapInArrow(_read, READ), "media")
+        own, dictionary = self.spark.table(self.name), self.dictionary
+        wanted = self.shared.groupBy(F.col("owner.media_id").alias("media_id")).agg(F.collect_list(F.struct("digest", "owner.nth")).alias("wanted"))
+        lent = own.join(wanted, "media_id").select(F.explode(F.transform("wanted", lambda w: F.struct(w["digest"].alias("digest"), F.get("data", w["nth"]).alias("data")))).alias("x"))
+        lent = materialize(lent.select("x.*"), "lent")  # written, so that AQE can split the next join
+        others = self.borrowed.join(lent, "digest").groupBy("media_id").agg(F.collect_list(F.struct("nth", "data")).alias("others"))
+        return materialize(own.join(others, "media_id", "left").select("media_id", "head", "data", "others").mapInArrow(lambda it: _read(it, dictionary), READ), "media")
 
     def drop_name(self) -> None:
         """Takes the table's name out of the session's catalog; its files stay in the shared folder."""
@@ -204,6 +229,8 @@ def media_features(docs: DataFrame) -> DataFrame:
     store = Store(docs)
     read = store.read()
     store.drop_name()
+    feature = F.format_string("mean=%.6f;rms=%.6f;entropy=%.6f;crossings=%d", "mean", "rms", "entropy", "crossings")
+    digest = lambda c, name: F.lower(F.hex(c)).alias(name)
     return store.lists.join(read, "media_id").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("media_id")).alias("media_sha256"), "feature"
+        "doc_id", "n_bytes", "payload_bytes", digest("payload_sha256", "payload_sha256"), "tail_crc32", "media_bytes", digest("media_id", "media_sha256"), feature.alias("feature")
     )

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from fundloom.llm import chat, licenses, media, quality, sketch, warc
@@ -212,10 +213,11 @@ def test_chunks_are_kept_once(spark):
     rows = [(k, text(2_000) + common + text(1_500)) for k in range(12)] + [(20, common), (21, "a" * 60_000), (22, text(900)), (23, None), (24, "")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, digest int")
     store = media.Store(docs)
-    chunks = spark.table(store.name).selectExpr("explode(digests) as digest").collect()
-    assert len(chunks) == len({bytes(r.digest) for r in chunks})
+    unpack = zstandard.ZstdDecompressor(**media._options(store.dictionary))
+    chunks = [unpack.decompress(bytes(r.data)) for r in spark.table(store.name).selectExpr("explode(data) as data").where("data is not null").collect()]
+    assert store.dictionary and len(chunks) == len(set(chunks))
     lists = {r.doc_id: [bytes(d) for d in r.chunks] for r in store.lists.collect()}
-    assert {d for x in lists.values() for d in x} == {bytes(r.digest) for r in chunks}
+    assert {d for x in lists.values() for d in x} == {hashlib.blake2b(c, digest_size=16).digest() for c in chunks}
     assert len(set(lists[0]) & set(lists[11])) > 10 and store.borrowed.count() > 100
     got = {r.media_bytes for r in store.read().collect()}
     assert got == {media.HEADER + len(media.payload_of((t or "").encode())) for _, t in rows}
