@@ -1,10 +1,16 @@
-"""Near copies by the Jaccard similarity of their word shingles: MinHash bands find candidates, the sets themselves decide.
-
-A text's shingles are hashed to 64 bits; texts with the same set are folded. Of each set BANDS x ROWS minima are taken,
-ROWS of them make a bucket. Two sets of similarity s share no bucket with probability (1 - s^ROWS)^BANDS: 7 in 100,000
-at 0.8, one in a billion at 0.9. Buckets with the same members count once. The sets of a bucket are brought together,
-and a search from set to set emits the links of a spanning forest of the pairs whose exact similarity reaches the
-least; a link is never taken from a band alone, and no bucket is capped.
+"""Near copies by SimHash and the Jaccard similarity of word shingles: the sets themselves decide.
+
+A text's different shingles are hashed to 64 bits; texts with the same set are folded. Candidates are what the covering
+masks of `simhash` find, equal fingerprints and those within the radius, all of them. At a similarity of 0.8 fingerprints
+differ in about ten bits, for which covering masks would take thousands of tables; so MinHash bands complete the
+candidates: of each set BANDS x ROWS minima are taken, ROWS of them make a bucket. Two sets of similarity s share no
+bucket with probability (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, one in a billion at 0.9. Buckets with the same members
+count once. The sets of a bucket are brought together, and a search from set to set emits the links of a spanning forest
+of the pairs whose exact similarity reaches the least; a link is never taken from a candidate alone.
+
+No bucket is capped. Those of more than CROWD sets, large groups of copies as a rule, are first compared with one of
+their sets, row by row. What is similar to it is linked and done among itself; the rest is compared with itself and with
+the linked ones, in pairs of blocks of about BLOCK sets.
 """
 
 from __future__ import annotations
@@ -19,11 +25,14 @@ from pyspark.sql import functions as F
 
 from fundloom.llm.graph import components
 from fundloom.llm.shared import attach, materialize
+from fundloom.llm.simhash import near_links
 
 SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 5, 24
 #: Shingles that are put through all hash functions at a time.
 AT_ONCE = 2048
+#: Sets from which on a bucket is crowded, and sets in a block of its rest.
+CROWD, BLOCK = 2_000, 1_000
 
 
 def _mixed(first: int, n: int) -> np.ndarray:
@@ -65,6 +74,12 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), k) for k, row in enumerate(rows)], np.uint64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingle hashes."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def similar_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
     """Positions (i, j) of a spanning forest of the pairs of sets whose Jaccard similarity is least or more."""
     out, open_ = [], np.arange(len(sets))
@@ -108,12 +123,12 @@ def _signed(values: np.ndarray) -> np.ndarray:
 
 def _marks(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, lists = np.zeros(batch.num_rows, np.uint64), []
+        keys, prints, lists = np.zeros(batch.num_rows, np.uint64), np.zeros(batch.num_rows, np.uint64), []
         for k, text in enumerate(batch.column(1)):
             found = shingles(text.as_py(), shingle)
-            keys[k] = _key(found)
+            keys[k], prints[k] = _key(found), fingerprint(found)
             lists.append(_signed(buckets(found)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(keys)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "buckets"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_signed(keys)), pa.array(_signed(prints)), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "buckets"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -146,24 +161,68 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
     yield table(done())
 
 
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
+def _beside(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, key, hashes, first, first_hashes) -> (bucket, key, first, near): whether the set is similar to the first one."""
+    for batch in batches:
+        near = []
+        for a, b in zip(batch.column(2), batch.column(4), strict=True):
+            a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            near.append(common > 0 and common / (len(a) + len(b) - common) >= least)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(near, pa.bool_())], ["bucket", "key", "first", "near"])
+
+
+def _uncrowded(members: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """members (bucket, key), crowded ones with links to their first set and dealt anew: (members, links). Members are as they are if none is crowded."""
+    sizes = materialize(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") > CROWD), "crowded")
+    none = members.sparkSession.createDataFrame([], "a long, b long")
+    if sizes.isEmpty():
+        return members, none
+    firsts = materialize(sizes.select("bucket", "first").join(sets.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes")), "first"), "firsts")
+    crowd = attach(attach(members, firsts, ["bucket"]).where("key <> first"), sets, ["key"]).select("bucket", "key", "hashes", "first", "first_hashes")
+    told = materialize(crowd.mapInArrow(lambda it: _beside(it, least), "bucket long, key long, first long, near boolean"), "told")
+    links = told.where("near").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    counts = told.groupBy("bucket").agg(F.ceil(F.count_if("near") / BLOCK).cast("int").alias("near_blocks"), F.ceil(F.count_if(~F.col("near")) / BLOCK).cast("int").alias("rest_blocks")).where("rest_blocks > 0")
+    dealt = attach(told, materialize(counts, "blocks"), ["bucket"])
+    block = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    to = lambda a, b: F.xxhash64(F.lit("blocks"), "bucket", a, b)
+    every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    # A block of linked sets meets each block of the rest; blocks of the rest meet each other and themselves.
+    near = dealt.where("near").select("key", F.explode(F.transform(every("rest_blocks"), lambda j: to(-1 - block("near_blocks"), j))).alias("bucket"))
+    own = block("rest_blocks")
+    rest = dealt.where("not near").select(
+        "key",
+        F.explode(F.concat(F.transform(every("rest_blocks"), lambda j: to(F.least(own, j), F.greatest(own, j))), F.when(F.col("near_blocks") > 0, F.transform(every("near_blocks"), lambda i: to(-1 - i, own))).otherwise(F.array().cast("array<bigint>")))).alias("bucket"),
+    )
+    plain = members.join(sizes.select("bucket"), "bucket", "left_anti").select("bucket", "key")
+    return materialize(plain.unionByName(near).unionByName(rest).distinct(), "members"), links
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, radius: int = 3) -> DataFrame:
     """(doc_id, component_id) of docs (doc_id, text, ...): the least doc_id that similar pairs lead to from the document.
 
     Nulls: null and blank texts have the empty set and are copies of each other; rows without doc_id are left out.
     Repeated rows come out repeated. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).where("doc_id is not null")
-    marked = materialize(rows.mapInArrow(lambda it: _marks(it, shingle), "doc_id long, key long, buckets array<long>"), "minhash")
-    keys = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("buckets").alias("buckets")), "keys")
-    held = keys.select("key", F.explode("buckets").alias("bucket"))
+    marked = materialize(rows.mapInArrow(lambda it: _marks(it, shingle), "doc_id long, key long, fp long, buckets array<long>"), "minhash")
+    keys = materialize(marked.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("buckets").alias("buckets")), "keys")
+    # SimHash: the sets of one fingerprint are a bucket, and so are the first sets of each pair within the radius.
+    prints = materialize(keys.where(F.size("buckets") > 0).groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("n")), "prints")
+    pairs = materialize(near_links(prints.select("fp", "rep"), radius), "pairs")
+    alike = keys.join(prints.where("n > 1").select("fp"), "fp", "left_semi").select("key", F.xxhash64(F.lit("print"), "fp").alias("bucket"))
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("key"), F.xxhash64(F.lit("pair"), "a", "b").alias("bucket"))
+    held = keys.select("key", F.explode("buckets").alias("bucket")).unionByName(alike).unionByName(paired)
     shared = held.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("key")).alias("x"), F.min("key").alias("least"), F.max("key").alias("most")).where("n > 1")
     once = materialize(shared.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     members = materialize(attach(held, once, ["bucket"], "left_semi").select("bucket", "key"), "members")
     wanted = materialize(keys.join(members.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = materialize(attach(rows, wanted, ["doc_id"], "left_semi").select("text").mapInArrow(lambda it: _sets(it, shingle), "key long, hashes binary").dropDuplicates(["key"]), "sets")
+    members, links = _uncrowded(members, sets, least)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     brought = members.join(sets, "key").select("bucket", "key", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket")
-    groups = components(materialize(brought.mapInArrow(lambda it: _links(it, least), "a long, b long").distinct(), "similar"))
+    found = brought.mapInArrow(lambda it: _links(it, least), "a long, b long").unionByName(links)
+    groups = components(materialize(found.distinct(), "similar"))
     known = keys.select("key", "rep").join(groups, keys.key == groups.node, "left").select("key", "rep", F.coalesce("component", "key").alias("group"))
     first = known.groupBy("group").agg(F.min("rep").alias("component_id"))
     return marked.select("doc_id", "key").join(known.join(first, "group").select("key", "component_id"), "key").select("doc_id", "component_id")

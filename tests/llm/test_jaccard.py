@@ -49,6 +49,23 @@ def test_stage_finds_all_near_copies(spark):
     assert len(kept) == len(set(kept)) and set(kept) == brute_kept(rows)
 
 
+def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+    rnd = np.random.default_rng(11)
+    base = [f"w{x}" for x in rnd.integers(0, 500, 120)]
+    rows = []
+    for k in range(160):  # copies of copies drift from the first ones, so that many are not similar to one another
+        words = list(rows[int(rnd.integers(0, k))][1].split()) if k else list(base)
+        for at in rnd.integers(0, len(words), 1 + k % 5):
+            words[at] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    monkeypatch.setattr(jaccard, "CROWD", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
+    assert {d for d, c in got.items() if d == c} == brute_kept(rows)
+    assert 1 < len(set(got.values())) < 160
+
+
 def test_stage_with_nulls_and_repeated_rows(spark):
     docs = spark.createDataFrame(corpus(), SCHEMA)
     rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").distinct().collect()]
