@@ -25,6 +25,14 @@ PATTERNS = [
 ]
 NUMERIC = {"nav", "expense_ratio", "yield", "total_assets", "standard_deviation", "sharpe_ratio", "beta", "alpha"}
 
+#: Words, in lower case, of which a text must hold one for the pattern to match at all.
+TRIGGERS = {
+    "nav": ("nav", "net"), "yield": ("yield", "rate"), "total_assets": ("assets", "aum"), "star_rating": ("rating", "star"), "analyst_rating": ("rating",), "inception_date": ("inception", "established"),
+    "currency": ("currency", "denomination"), "standard_deviation": ("dev",), "sharpe_ratio": ("sharpe",), "beta": ("beta",), "alpha": ("alpha",), "category": ("category", "classification"),
+}
+#: Fixed value: how entities of text come about.
+METHOD = "rule_based"
+
 #: Further patterns of the surface that the default extraction does not use.
 EXTRA_PATTERNS = {
     "return_pct": r"(-?[\d.]+)\s*%",

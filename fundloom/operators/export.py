@@ -6,51 +6,116 @@ import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fundloom.functions.catalog import FIELDS
+from fundloom.functions.catalog import FIELDS, SCHEMA
+
+#: What a package says of itself.
+SCHEMA_NAME, SCHEMA_VERSION, FORMAT_VERSION = "Security Master", "3.2.1", "1.0"
+NESTED = [f[0] for f in SCHEMA if f[1] in ("array", "object")]
 
 
 def csv_rows(rows: DataFrame) -> DataFrame:
-    """The schema's fields in order, all as strings, empty where missing."""
-    return rows.select("doc_id", "security_id", *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f) for f in FIELDS])
+    """The schema's fields in order, all as strings, lists and maps as JSON, empty where missing."""
+    shown = lambda f: F.to_json(f) if f in NESTED else F.col(f).cast("string")
+    return rows.select("doc_id", "security_id", *[F.coalesce(shown(f), F.lit("")).alias(f) for f in FIELDS])
+
+
+def key_union(*tables: DataFrame) -> DataFrame:
+    """Records of different fields as one table: all fields in the order in which they are first seen, null where a table lacks one."""
+    first, *others = tables
+    for t in others:
+        first = first.unionByName(t, allowMissingColumns=True)
+    return first
 
 
-def packages(rows: DataFrame) -> DataFrame:
-    """(doc_id, package, content_hash): one JSON document per source document; the hash is of its keys in order, in ASCII."""
+def canonical_hash(text: str) -> Column:
+    """SHA-256 of a JSON text written again with sorted keys, one blank behind commas and colons, in ASCII."""
 
     @F.pandas_udf("string")
-    def canonical(texts: pd.Series) -> pd.Series:
+    def hashed(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: hashlib.sha256(json.dumps(json.loads(t), sort_keys=True).encode()).hexdigest())
 
-    record = F.struct("security_id", *FIELDS)
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(record)).alias("records"), F.count("*").alias("n"))
-    body = F.to_json(F.struct(F.struct(F.lit("Security Master").alias("schema_name"), F.lit("3.2.1").alias("schema_version"), F.col("n").alias("record_count"), "records").alias("data_import")))
-    return grouped.select("doc_id", body.alias("package")).withColumn("content_hash", canonical("package"))
+    return hashed(text)
+
+
+def packages(rows: DataFrame, provenance: DataFrame | None = None, stamp: Column | None = None) -> DataFrame:
+    """(doc_id, package, content_hash): one JSON document per source document.
+
+    It holds the records with what fields they have, the coverage of the fields, the trail of provenance (doc_id,
+    trail string, quality_score) if there is one, and the hash of the records alone. stamp: when it was exported; now by default.
+    """
+    record = F.to_json(F.struct(*FIELDS))
+    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", record.alias("r")))).alias("x"), F.count("*").alias("n"))
+    grouped = grouped.select("doc_id", "n", F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["r"]), ","), F.lit("]")).alias("data"))
+    covered = coverage(rows).select("doc_id", "populated", "fields")
+    grouped = grouped.join(covered, "doc_id", "left").withColumn("content_hash", canonical_hash("data"))
+    if provenance is not None:
+        grouped = grouped.join(provenance.select("doc_id", "trail", "quality_score"), "doc_id", "left")
+    else:
+        grouped = grouped.select("*", F.lit(None).cast("string").alias("trail"), F.lit(None).cast("double").alias("quality_score"))
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") if stamp is None else stamp
+    text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    share = F.bround(F.col("populated") / len(FIELDS) * 100, 1)
+    names = F.to_json(F.filter(F.split("fields", ","), lambda f: f != ""))
+    body = F.concat(
+        F.lit(f'{{"data_import":{{"format_version":"{FORMAT_VERSION}","schema":"{SCHEMA_NAME}","schema_version":"{SCHEMA_VERSION}","export_timestamp":'), text(stamp),
+        F.lit(',"record_count":'), F.col("n").cast("string"), F.lit(',"data":'), F.col("data"),
+        F.lit('},"quality_metrics":{"overall_score":'), F.coalesce("quality_score", F.lit(0.0)).cast("string"), F.lit(',"records_processed":'), F.col("n").cast("string"),
+        F.lit(f',"field_coverage":{{"total_schema_fields":{len(FIELDS)},"populated_fields":'), F.col("populated").cast("string"), F.lit(',"coverage_pct":'), share.cast("string"), F.lit(',"field_list":'), names,
+        F.lit('}},"provenance":'), F.coalesce("trail", F.lit("{}")), F.lit(',"content_hash":'), text(F.col("content_hash")), F.lit("}"),
+    )
+    return grouped.select("doc_id", body.alias("package"), "content_hash")
 
 
 def coverage(rows: DataFrame) -> DataFrame:
     """(doc_id, populated, total, fields): fields that some record fills."""
-    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != ""), F.lit(f)) for f in FIELDS]))
+    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & ((F.lit(True) if f in NESTED else F.col(f).cast("string") != "")), F.lit(f)) for f in FIELDS]))
     grouped = rows.select("doc_id", F.explode(filled).alias("f")).groupBy("doc_id").agg(F.array_sort(F.collect_set("f")).alias("f"))
     return grouped.select("doc_id", F.size("f").cast("long").alias("populated"), F.lit(len(FIELDS)).cast("long").alias("total"), F.array_join("f", ",").alias("fields"))
 
 
-def write_files(rows: DataFrame, path: str) -> None:
-    """JSON packages, CSV with a header and CRLF, under path."""
-    packages(rows).write.mode("overwrite").json(f"{path}/json")
+def write_files(rows: DataFrame, path: str, provenance: DataFrame | None = None) -> None:
+    """JSON packages, CSV with a header and CRLF, and the trails of provenance if there are any, under path."""
+    packages(rows, provenance).select("package").write.mode("overwrite").text(f"{path}/json")
     csv_rows(rows).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("quote", '"').option("escape", '"').csv(f"{path}/csv")
+    if provenance is not None:
+        provenance.select("trail").write.mode("overwrite").text(f"{path}/provenance")
+
+
+def start_jobs(sources: DataFrame) -> DataFrame:
+    """sources (doc_id, source string, source_hash, started timestamp) with job_id, MSDP, the time and eight digits of an MD5 of both, and created_at."""
+    stamp = F.date_format("started", "yyyyMMdd_HHmmss")
+    digits = F.left(F.md5(F.concat_ws("_", "source", stamp)), F.lit(8))
+    return sources.withColumn("job_id", F.concat_ws("_", F.lit("MSDP"), stamp, digits)).withColumn("created_at", F.date_format("started", "yyyy-MM-dd'T'HH:mm:ssXXX"))
 
 
 def provenance_steps(events: DataFrame) -> DataFrame:
-    """events (job, ts, operation, records_out, duration_ms) numbered within their job, with the hash chain: each step's input is the output before."""
+    """events (job, ts, id, operation, content) numbered within their job, with hashes of what each step was given and made.
+
+    content: what a step made, a string; the input of a step is the output of the one before. linked: whether it is so.
+    """
     order = Window.partitionBy("job").orderBy("ts", "id")
-    hashed = events.withColumn("output_hash", F.sha2(F.concat_ws("|", F.col("job").cast("string"), F.col("id").cast("string")), 256))
+    hashed = events.withColumn("output_hash", F.sha2("content", 256))
     return hashed.select("job", F.row_number().over(order).alias("step_number"), "id", "operation", F.lag("output_hash").over(order).alias("input_hash"), "output_hash")
 
 
-def provenance_rollup(events: DataFrame) -> DataFrame:
-    return events.groupBy("job").agg(
-        F.count("*").alias("n_steps"), F.sum("duration_ms").alias("total_duration_ms"), F.sum(F.when(F.col("operation") == "purchase", F.col("records_out")).otherwise(F.lit(0))).alias("entities")
+def trails(jobs: DataFrame, steps: DataFrame) -> DataFrame:
+    """(doc_id, trail, total_duration_ms, total_entities, quality_score): each job with its steps in order, as JSON.
+
+    jobs (doc_id, job_id, created_at, source, source_hash, quality_score, n_records), steps (doc_id, step_number,
+    operation, input_hash, output_hash, records_in, records_out, duration_ms).
+    """
+    step = F.struct("step_number", "operation", "input_hash", "output_hash", "records_in", "records_out", "duration_ms")
+    rolled = provenance_rollup(steps.withColumnRenamed("doc_id", "job")).select(F.col("job").alias("doc_id"), "total_duration_ms", F.col("entities").alias("total_entities"))
+    held = steps.groupBy("doc_id").agg(F.array_sort(F.collect_list(step)).alias("steps")).join(rolled, "doc_id")
+    body = F.struct("job_id", "created_at", "source", "source_hash", F.lit(SCHEMA_NAME).alias("target_schema"), F.lit(SCHEMA_VERSION).alias("target_version"), "steps", "total_duration_ms", "total_entities", "n_records", "quality_score")
+    return jobs.join(held, "doc_id").select("doc_id", F.to_json(body).alias("trail"), "total_duration_ms", "total_entities", "quality_score")
+
+
+def provenance_rollup(steps: DataFrame, extraction: str = "entity_extraction") -> DataFrame:
+    """(job, n_steps, total_duration_ms, entities) of steps (job, operation, records_out, duration_ms): entities are what the extraction steps put out."""
+    return steps.groupBy("job").agg(
+        F.count("*").alias("n_steps"), F.sum("duration_ms").alias("total_duration_ms"), F.sum(F.when(F.col("operation") == extraction, F.col("records_out")).otherwise(F.lit(0))).alias("entities")
     )

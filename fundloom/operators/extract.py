@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.functions.catalog import ASSET_CLASSES, CATEGORIES, FAMILIES, NAME_WORDS, NOT_TICKERS, NUMERIC, PATTERNS
+from fundloom.functions.catalog import ASSET_CLASSES, CATEGORIES, FAMILIES, METHOD, NAME_WORDS, NOT_TICKERS, NUMERIC, PATTERNS, TRIGGERS
+from fundloom.operators.tables import table_entities
 
 ENTITY = "array<struct<entity_type:string,mapped_field:string,category:string,confidence:double,value:string,value_str:string,value_num:double,source_text:string,start:int,end:int>>"
 
@@ -19,17 +20,24 @@ def number(text: Column) -> Column:
 
 
 def places(text: Column, pattern: str, groups: list[int]) -> Column:
-    """Matches with their offsets in characters: array of (m, g1, g2, start, end), from the gaps that splitting leaves."""
+    """Matches with their offsets in characters: array of (m, g1, g2, start, end), from the gaps that splitting leaves.
+
+    The matches, gaps and groups of a text are found once and bound; lengths are added up in one pass over them.
+    """
     p = F.lit(pattern)
-    whole, gaps = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-    length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.length(x))
-    columns = [F.regexp_extract_all(text, p, F.lit(g)) for g in groups]
+    found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"), *[F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{k + 1}") for k, g in enumerate(groups)])
+
+    def rows(all_: Column) -> Column:
+        lengths = F.zip_with(F.slice(all_["gap"], F.lit(1), F.size(all_["m"])), all_["m"], lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("m")))
+        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["gap"] + x["m"])))
+
+        def row(bound: Column) -> Column:
+            groups_of = lambda i: [F.get(all_[f"g{k + 1}"], i).alias(f"g{k + 1}") for k in range(len(groups))]
+            return F.transform(all_["m"], lambda m, i: F.struct(m.alias("m"), *groups_of(i), (F.get(bound, i + 1) - F.length(m)).alias("start"), F.get(bound, i + 1).alias("end")))
 
-    def row(m: Column, i: Column) -> Column:
-        start = length(F.slice(gaps, 1, i + 1)) + length(F.slice(whole, F.lit(1), i))
-        return F.struct(m.alias("m"), *[F.get(c, i).alias(f"g{k + 1}") for k, c in enumerate(columns)], start.alias("start"), (start + F.length(m)).alias("end"))
+        return F.transform(F.array(ends), row)[0]
 
-    return F.transform(whole, row)
+    return F.transform(F.array(found), rows)[0]
 
 
 def _entity(text: Column, kind: str, field: str, category: str, confidence: float, before: int, after: int, value: Column, shown: Column, num: Column, start: Column, end: Column) -> Column:
@@ -120,8 +128,18 @@ def text_entities(docs: DataFrame, kinds: set[str] | None = None) -> DataFrame:
     arrays = []
     for kind, field, category, confidence, before, after, pattern in PATTERNS:
         if kinds is None or kind in kinds:
-            arrays.append(fund_names(text) if kind == "fund_name" else pattern_entities(text, kind, field, category, confidence, before, after, pattern))
+            found = fund_names(text) if kind == "fund_name" else pattern_entities(text, kind, field, category, confidence, before, after, pattern)
+            # Patterns that need a certain word are tried only where it occurs.
+            words = TRIGGERS.get(kind, ())
+            held = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)) if words else F.lit(True)
+            arrays.append(F.when(held, found.cast(ENTITY)).otherwise(F.array().cast(ENTITY)))
     if kinds is None or kinds & {"fund_family", "asset_class"}:
         arrays.append(word_entities(text))
     every = F.concat(*[a.cast(ENTITY) for a in arrays])
-    return docs.where("text is not null").select("doc_id", F.posexplode(every).alias("seq", "e")).select("doc_id", F.col("seq").cast("long").alias("seq"), "e.*")
+    return docs.where("text is not null").select("doc_id", F.posexplode(every).alias("seq", "e")).select("doc_id", F.col("seq").cast("long").alias("seq"), "e.*", F.lit(METHOD).alias("method"))
+
+
+def all_entities(docs: DataFrame, tables: DataFrame) -> DataFrame:
+    """Entities of the texts of docs (doc_id, text), and behind them those of their tables (doc_id, tbl, title, rows)."""
+    behind = table_entities(tables).withColumn("seq", F.col("seq") + 2**40)
+    return text_entities(docs).unionByName(behind)

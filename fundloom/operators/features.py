@@ -47,3 +47,15 @@ def text_features(docs: DataFrame) -> DataFrame:
 def boost(entities: DataFrame, means: DataFrame) -> DataFrame:
     """Confidences raised by a twentieth of the document's feature mean, to one at most."""
     return entities.join(means.select("doc_id", "mean"), "doc_id", "left").withColumn("confidence", F.least(F.lit(1.0), F.col("confidence") + F.coalesce("mean", F.lit(0.0)) * 0.05)).drop("mean")
+
+
+def performance_summary(runs: DataFrame) -> DataFrame:
+    """runs (name, device cpu or npu, avg_ms, tokens_per_sec) -> per name the times and rates of both devices and the speedup, 0 where there is none."""
+    of = lambda device, c: F.max(F.when(F.col("device") == device, F.col(c)))
+    both = runs.groupBy("name").agg(of("cpu", "avg_ms").alias("cpu"), of("npu", "avg_ms").alias("npu"), of("cpu", "tokens_per_sec").alias("cpu_rate"), of("npu", "tokens_per_sec").alias("npu_rate"))
+    zero = lambda c, places: F.coalesce(F.bround(c, places), F.lit(0.0))
+    speedup = F.when(F.col("npu") > 0, F.bround(F.col("cpu") / F.col("npu"), 2)).otherwise(F.lit(0.0))
+    return both.where("cpu is not null").select(
+        "name", zero("cpu", 2).alias("cpu_avg_ms"), zero("npu", 2).alias("npu_avg_ms"), F.coalesce(speedup, F.lit(0.0)).alias("speedup"),
+        zero("cpu_rate", 0).alias("cpu_tokens_sec"), zero("npu_rate", 0).alias("npu_tokens_sec"), F.col("npu").isNotNull().alias("npu_available"),
+    )

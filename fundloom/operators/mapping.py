@@ -8,43 +8,72 @@ from pyspark.sql import functions as F
 from fundloom.functions.catalog import ALLOWED, SCHEMA
 
 
-def _convert(name: str, kind: str, longest: int | None, precision: int | None, pattern: str | None, least: int | None, most: int | None) -> tuple[Column, Column]:
-    """The converted value as a string, and what is wrong with it (null: nothing)."""
-    value = F.col(name)
+#: What is said of a value; {} is filled in.
+CUT, NO_MATCH, NOT_ALLOWED, TOO_SMALL, TOO_LARGE, NO_DATE, NO_NUMBER, MISSING = (
+    "Truncated to {} chars", "Does not match pattern {}", "Not in allowed values: {}", "Below minimum {}", "Above maximum {}", "Expected format YYYY-MM-DD", "Conversion error: not a number", "Required field '{}' is missing",
+)
+
+
+def _convert(held: str, name: str, kind: str, longest: int | None, precision: int | None, pattern: str | None, least: int | None, most: int | None) -> tuple[Column, Column, Column]:
+    """The converted value as a string, whether it is valid, and what is said of it (null: nothing). held: the column's type."""
+    value, none = F.col(name), F.lit(None).cast("string")
     if kind == "string":
         text = value.cast("string")
         cut = F.length(text) > (longest or 10**9)
-        bad = F.lit(None).cast("string")
+        bad = none
         if name in ALLOWED:
-            bad = F.when(~text.isin(ALLOWED[name]), "not an allowed value")
+            bad = F.when(~text.isin(ALLOWED[name]), NOT_ALLOWED.format(ALLOWED[name]))
         if pattern:
-            bad = F.when(~text.rlike("(?d)" + pattern), "does not match its pattern")
-        return F.when(cut, F.left(text, F.lit(longest or 0))).otherwise(text), F.when(cut, F.lit(None)).otherwise(bad)
-    if kind == "decimal":
-        return F.bround(value.cast("double"), precision or 4).cast("string"), F.lit(None).cast("string")
-    if kind == "integer":
-        return value.cast("int").cast("string"), F.when((value < least) | (value > most), "out of range")
+            bad = F.coalesce(F.when(~text.rlike("(?d)" + pattern), NO_MATCH.format(pattern)), bad)
+        return F.when(cut, F.left(text, F.lit(longest or 0))).otherwise(text), cut | bad.isNull(), F.when(cut, CUT.format(longest)).otherwise(bad)
+    if kind in ("decimal", "integer"):
+        number = F.regexp_replace(value, "[,$%]", "").try_cast("double") if held == "string" else value.cast("double")
+        if kind == "integer":
+            number = (value.try_cast("double") if held == "string" else value).cast("int")
+        else:
+            number = F.when(number == 0, number).otherwise(F.bround(number, precision or 4))  # rounding would lose the sign of -0.0
+        bad = F.when(number.isNull() & value.isNotNull(), NO_NUMBER)
+        bad = F.coalesce(bad, F.when(number < least, TOO_SMALL.format(least)) if least is not None else none, F.when(number > most, TOO_LARGE.format(most)) if most is not None else none)
+        return F.coalesce(number.cast("string"), value.cast("string")), bad.isNull(), bad
     if kind == "date":
-        return value.cast("string"), F.when(~value.cast("string").rlike("(?d)" + (pattern or "")), "not a date")
-    return value.cast("string"), F.lit(None).cast("string")
+        bad = F.when(~value.cast("string").rlike("(?d)" + (pattern or "")), NO_DATE)
+        return value.cast("string"), bad.isNull(), bad
+    return (F.to_json(name) if held.startswith(("array", "map")) else value.cast("string")), F.lit(True), none
 
 
 def map_long(rows: DataFrame) -> DataFrame:
-    """A row per record and schema field that it has, and per required field that it lacks."""
+    """A row per record and schema field that it has, and per required field that it lacks. Columns of the schema that rows lacks count as missing."""
+    held = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    confidence = F.coalesce("avg_confidence", F.lit(0.8)) if "avg_confidence" in held else F.lit(0.8)
+    rows = rows.select("*", *[F.lit(None).cast("string").alias(f[0]) for f in SCHEMA if f[0] not in held])
     cells = []
     for name, kind, category, required, longest, precision, pattern, least, most in SCHEMA:
-        value, bad = _convert(name, kind, longest, precision, pattern, least, most)
+        value, valid, message = _convert(held.get(name, "string"), name, kind, longest, precision, pattern, least, most)
         missing = F.col(name).isNull()
-        message = F.when(missing, f"Required field '{name}' is missing").otherwise(bad) if required else bad
         cells.append(
             F.when(~missing | F.lit(required), F.struct(
-                F.lit(name).alias("target_field"), F.lit(category).alias("category"), F.lit(kind).alias("data_type"), value.alias("value"), message.isNull().alias("is_valid"),
-                message.alias("message"), F.when(missing, 0.0).otherwise(F.coalesce("avg_confidence", F.lit(0.8))).alias("confidence"),
+                F.lit(name).alias("target_field"), F.lit(category).alias("category"), F.lit(kind).alias("data_type"), value.alias("value"), (valid & ~missing).alias("is_valid"),
+                F.when(missing, MISSING.format(name)).otherwise(message).alias("message"), F.when(missing, 0.0).otherwise(confidence).alias("confidence"),
             ))
         )
     return rows.select("doc_id", "security_id", F.explode(F.array_compact(F.array(*cells))).alias("m")).select("doc_id", "security_id", "m.*")
 
 
+def record_view(mappings: DataFrame, longest: int = 60) -> DataFrame:
+    """(doc_id, security_id, nth_category, category, target_field, value, is_valid): each record's mappings in the schema's order of categories, values cut."""
+    categories = list(dict.fromkeys(f[2] for f in SCHEMA))
+    place = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
+    shown = F.when(F.length("value") > longest, F.concat(F.left("value", F.lit(longest)), F.lit("..."))).otherwise(F.col("value"))
+    return mappings.select("doc_id", "security_id", place.cast("int").alias("nth_category"), "category", "target_field", shown.alias("value"), "is_valid")
+
+
+def first_errors(mappings: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_id, errors): the first messages of a document's invalid fields, by record and the schema's order."""
+    place = F.array_position(F.array(*[F.lit(f[0]) for f in SCHEMA]), F.col("target_field"))
+    bad = mappings.where("not is_valid").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", place.alias("nth"), F.concat("target_field", F.lit(": "), "message").alias("said")))).alias("x"))
+    return bad.select("doc_id", F.transform(F.slice("x", 1, most), lambda e: e["said"]).alias("errors"))
+
+
 def schema_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f[0], f[1], f[2], f[3]) for f in SCHEMA], "field string, data_type string, category string, required boolean")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import DATES, FIELDS, OPTIONAL, POINTS_SET, POINTS_TRUE, RANGES, REQUIRED, SCHEMA
+from fundloom.operators.tables import HOLDINGS
 
 TEXT = {f[0] for f in SCHEMA if f[1] in ("string", "date")}
 COLUMNS = [*FIELDS, "RSquared_3Y"]
@@ -42,34 +43,55 @@ def date_text(value: Column) -> Column:
 
 
 def numeric(value: Column) -> Column:
-    """A number from a string with currency signs, separators or percent signs, to four places."""
-    return F.bround(F.regexp_replace(value, r"[$, %]", "").try_cast("double"), 4)
+    """A number from a string with currency signs, separators, blanks or percent signs, to four places; null where it is none."""
+    return _places(F.regexp_replace(value, r"[$, %]", "").try_cast("double"))
+
+
+def percentage(value: Column) -> Column:
+    """A number from a string with separators or percent signs, blank around it or not, to four places."""
+    return _places(F.regexp_replace(F.regexp_replace(value, "[,%]", ""), r"^\s+|\s+$", "").try_cast("double"))
+
+
+def _places(num: Column) -> Column:
+    return F.when(num == 0, num).otherwise(F.bround(num, 4))  # rounding would lose the sign of -0.0
 
 
 def stars(value: Column) -> Column:
-    """One to five, from stars drawn or a number."""
-    drawn = F.length(value) - F.length(F.regexp_replace(value, "[★*]", ""))
-    return F.greatest(F.lit(1), F.least(F.lit(5), F.when(drawn > 0, drawn).otherwise(value.try_cast("double").cast("int"))))
+    """One to five, from stars drawn, or asterisks where there are none, or a number cut at its point."""
+    count = lambda sign: F.length(value) - F.length(F.replace(value, F.lit(sign), F.lit("")))
+    drawn = F.when(count("★") > 0, count("★")).otherwise(count("*"))
+    number = F.coalesce(F.when(drawn > 0, drawn), F.trim(value).try_cast("double").cast("int"))
+    return F.when(number.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), number)))
 
 
 def records(entities: DataFrame) -> DataFrame:
-    """entities with security_id -> a row per security: its fields, entity_count, avg_confidence and fields_present."""
-    meta = [F.count("*").alias("entity_count"), F.avg("confidence").alias("avg_confidence")]
-    picks = [F.max_by(F.when(F.col("mapped_field") == f, F.struct("value_str", "value_num")), F.when(F.col("mapped_field") == f, F.struct(F.col("confidence"), -F.col("seq")))).alias(f) for f in COLUMNS]
-    wide = entities.groupBy("doc_id", "security_id").agg(*meta, *picks)
-    out = ["doc_id", "security_id", "entity_count", F.round("avg_confidence", 6).alias("avg_confidence")]
+    """entities with security_id -> a row per security: its fields, entity_count, methods, avg_confidence and fields_present.
+
+    Of a field the most confident value stands, the first of equals. Fields are grouped narrow before they become columns.
+    """
+    value = F.max_by(F.struct("value_str", "value_num"), F.struct(F.col("confidence"), -F.col("seq")))
+    best = entities.groupBy("doc_id", "security_id", "mapped_field").agg(value.alias("v"), F.count("*").alias("n"), F.sum("confidence").alias("c"), F.collect_set("method").alias("m"))
+    wide = best.groupBy("doc_id", "security_id").agg(
+        F.sum("n").alias("entity_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("m")))).alias("methods"), (F.sum("c") / F.sum("n")).alias("avg_confidence"), F.map_from_entries(F.collect_list(F.struct("mapped_field", "v"))).alias("held")
+    )
+    out = ["doc_id", "security_id", "entity_count", "methods", F.round("avg_confidence", 6).alias("avg_confidence")]
     for f in COLUMNS:
-        text, num = F.col(f"{f}.value_str"), F.col(f"{f}.value_num")
+        held = F.try_element_at("held", F.lit(f))
+        text, num = held["value_str"], held["value_num"]
         if f == "InceptionDate":
             value = date_text(text)
         elif f == "BaseCurrency":
             value = F.coalesce(F.left(F.upper(text), F.lit(3)), F.lit("USD"))
         elif f == "StarRating":
-            value = F.greatest(F.lit(1), F.least(F.lit(5), num.cast("int")))
+            value = F.coalesce(F.when(num.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), num.cast("int")))), stars(text))
         elif f in TEXT:
             value = text
+        elif f == "TopHoldings":
+            value = F.from_json(text, HOLDINGS)
+        elif f == "SectorWeights":
+            value = F.from_json(text, "map<string,double>")
         else:
-            value = F.when(num == 0, num).otherwise(F.bround(num, 4))  # rounding would lose the sign of -0.0
+            value = F.coalesce(_places(num), percentage(text) if f.startswith("Return_") else numeric(text))
         out.append(value.alias(f))
     wide = wide.select(*out)
     parts = F.concat_ws("|", "ISIN", "CUSIP", "Ticker", "LegalName")

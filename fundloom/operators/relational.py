@@ -23,6 +23,18 @@ def entity_counts(entities: DataFrame) -> DataFrame:
     return entities.groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
+def ranked_counts(counts: DataFrame) -> DataFrame:
+    """counts (entity_type, n) with place, the most frequent first; a row per type, so one window holds them."""
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "entity_type")).cast("long"))
+
+
+def totals(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, text_length, total_entities, n_types) of docs (doc_id, text) and their entities."""
+    found = entities.groupBy("doc_id").agg(F.count("*").alias("total_entities"), F.count_distinct("entity_type").alias("n_types"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return docs.select("doc_id", F.length("text").cast("long").alias("text_length")).join(found, "doc_id", "left").select("doc_id", "text_length", zero("total_entities"), zero("n_types"))
+
+
 def histogram(entities: DataFrame, bins: int = 20) -> DataFrame:
     slot = F.least(F.width_bucket("confidence", F.lit(0.0), F.lit(1.0), F.lit(bins)), F.lit(bins))
     return entities.groupBy(slot.cast("long").alias("bin")).agg(F.count("*").alias("n"))

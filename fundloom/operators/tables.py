@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import NOT_TICKERS, PERIODS
 
-NUMBER = r"^-?[0-9]*\.?[0-9]+([eE][-+]?[0-9]+)?$|^[0-9]+\.$"
+_DIGITS = r"[0-9]+(?:_[0-9]+)*"
+#: What reads as a number: digits with single underscores between them, a point, an exponent, or a word for infinity or no number.
+NUMBER = rf"(?i)^(?:(?:{_DIGITS}\.?(?:{_DIGITS})?|\.{_DIGITS})(?:e{_DIGITS})?|inf|infinity|nan)$"
 
 
 def is_number(token: Column) -> Column:
@@ -51,37 +53,105 @@ def text_tables(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", "tbl", headers.alias("headers"), F.when(head, F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows")).alias("rows"))
 
 
-def table_entities(tables: DataFrame) -> DataFrame:
-    """tables (doc_id, tbl, title, rows array<array<string>>) -> entities (doc_id, tbl, row, entity_type, mapped_field, value_str, value_num, confidence)."""
-    title = F.lower("title")
-    has = lambda *words: F.greatest(*[F.contains(title, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(title, F.lit(words[0]))
-    kind = F.when(has("performance", "return"), "performance").when(has("holding", "portfolio", "top"), "holdings").when(has("risk", "metric", "statistic"), "risk").when(has("sector", "allocation", "weight"), "sectors").otherwise("generic")
-    rows = tables.withColumn("kind", kind).select("doc_id", "tbl", "kind", F.posexplode("rows").alias("row", "cells"))
-    rows = rows.withColumn("cells", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("None"))))).withColumn("low", F.lower(F.array_join("cells", " ")))
-    first = lambda pattern: F.get(F.filter("cells", lambda c: c.rlike(pattern)), 0)
-    figure = F.regexp_extract(first(r"^-?[\d.]+\s*%?$"), r"^(-?[\d.]+)", 1).try_cast("double")
-    plain = first(r"^-?[\d.]+$").try_cast("double")
-    metrics = {"standard deviation": ("standard_deviation", "StandardDeviation_3Y"), "sharpe ratio": ("sharpe_ratio", "SharpeRatio_3Y"), "beta": ("beta", "Beta_3Y"), "alpha": ("alpha", "Alpha_3Y"), "r-squared": ("r_squared", "RSquared_3Y")}
-    item = lambda t, f, v, s, c: F.struct(F.lit(t).alias("entity_type"), F.lit(f).alias("mapped_field"), s.alias("value_str"), v.cast("double").alias("value_num"), F.lit(c).alias("confidence"))
-    found = [F.when((F.col("kind") == "performance") & F.contains("low", F.lit(key)) & figure.isNotNull(), item(f"return_{p}", f"Return_{p}", figure, figure.cast("string"), 0.90)) for key, p in PERIODS]
-    found += [F.when((F.col("kind") == "risk") & F.contains("low", F.lit(key)) & plain.isNotNull(), item(t, f, plain, plain.cast("string"), 0.90)) for key, (t, f) in metrics.items()]
-    isin = first(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$")
-    found.append(F.when((F.col("kind") == "generic") & isin.isNotNull(), item("isin", "ISIN", F.lit(None), isin, 0.90)))
-    return rows.select("doc_id", "tbl", "row", F.explode(F.array_compact(F.array(*found))).alias("e")).select("doc_id", "tbl", "row", "e.*")
+METRICS = {
+    "standard deviation": ("standard_deviation", "StandardDeviation_3Y"), "sharpe ratio": ("sharpe_ratio", "SharpeRatio_3Y"), "beta": ("beta", "Beta_3Y"), "alpha": ("alpha", "Alpha_3Y"), "r-squared": ("r_squared", "RSquared_3Y"),
+}
+#: Kinds of tables and the words of a title that tell them, in order; other tables are generic.
+ROUTES = {"performance": ("performance", "return"), "holdings": ("holding", "portfolio", "top"), "risk": ("risk", "metric", "statistic"), "sectors": ("sector", "allocation", "weight")}
+HOLDINGS = "array<struct<SecurityName:string,Ticker:string,Weight:double,Sector:string>>"
+
+
+def routed(tables: DataFrame) -> DataFrame:
+    """tables (doc_id, tbl, title, rows) with kind; a table without a title is Table and its number."""
+    title = F.coalesce("title", F.concat(F.lit("Table "), (F.col("tbl") + 1).cast("string")))
+    kind = F.lit(None).cast("string")
+    for name, words in ROUTES.items():
+        held = F.lit(False)
+        for w in words:
+            held = held | F.contains(F.lower(title), F.lit(w))
+        kind = F.coalesce(kind, F.when(held, name))
+    return tables.select("doc_id", "tbl", title.alias("title"), "rows", F.coalesce(kind, F.lit("generic")).alias("kind"))
+
+
+def _cells(tables: DataFrame) -> DataFrame:
+    rows = tables.select("doc_id", "tbl", "title", "kind", F.posexplode("rows").alias("row", "cells"))
+    return rows.withColumn("cells", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("None")))))
+
+
+def _figure_entities(rows: DataFrame) -> DataFrame:
+    """Returns, risk figures and ids, an entity each."""
+    low = F.lower(F.array_join("cells", " "))
+    first = lambda pattern: F.regexp_extract(F.get(F.filter("cells", lambda c: c.rlike(pattern)), 0), pattern, 1)
+    share, plain = first(r"^(-?[0-9.]+)\s*%?$"), first(r"^(-?[0-9.]+)$")
+    source = F.concat(F.col("title"), F.lit(": "), F.array_join("cells", " | "))
+
+    def item(kind: str, field: str, category: str, value: Column, shown: Column, num: Column, source: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("entity_type"), F.lit(field).alias("mapped_field"), F.lit(category).alias("category"), F.lit(0.90).alias("confidence"),
+            value.alias("value"), shown.alias("value_str"), num.cast("double").alias("value_num"), source.alias("source_text"),
+        )
+
+    def figure(kind: str, field: str, category: str, text: Column, value: Column, on: Column) -> Column:
+        num = text.try_cast("double")
+        return F.when(on & num.isNotNull(), item(kind, field, category, value, num.cast("string"), num, source))
+
+    percent = F.concat(share, F.lit("%"))
+    found = [figure(f"return_{p.lower()}", f"Return_{p}", "performance", share, percent, (F.col("kind") == "performance") & F.contains(low, F.lit(key))) for key, p in PERIODS]
+    found += [figure(t, f, "risk", plain, plain, (F.col("kind") == "risk") & F.contains(low, F.lit(key))) for key, (t, f) in METRICS.items()]
+    ids = F.when(F.col("kind") == "generic", F.filter("cells", lambda c: c.rlike(r"^[A-Z]{2}[A-Z0-9]{9}[0-9]$"))).otherwise(F.array().cast("array<string>"))
+    ids = F.transform(ids, lambda c: item("isin", "ISIN", "identifiers", c, c, F.lit(None), F.array_join("cells", " ")))
+    every = F.array_compact(F.concat(F.array(*found), ids))
+    return rows.select("doc_id", "tbl", "row", F.posexplode(every).alias("nth", "e")).select("doc_id", "tbl", "row", "nth", "e.*")
 
 
 def holdings(tables: DataFrame) -> DataFrame:
-    """(doc_id, tbl, holdings, sectors): the list of a holdings table's rows, and the name and weight of a sector table's rows."""
-    title = F.lower("title")
-    rows = tables.select("doc_id", "tbl", title.alias("title"), F.posexplode("rows").alias("row", "cells"))
-    weight = F.get(F.filter("cells", lambda c: c.rlike(r"^[\d.]+$") & (c.try_cast("double") < 100)), 0).try_cast("double")
-    names = F.filter("cells", lambda c: (F.length(c) > 5) & c.rlike("[a-z]"))
-    read = rows.select(
-        "doc_id", "tbl", "title", "row", F.get(names, 0).alias("name"), F.try_element_at(F.filter("cells", lambda c: c.rlike("^[A-Z]{1,5}$") & ~c.isin(NOT_TICKERS)), F.lit(-1)).alias("ticker"), weight.alias("weight"),
-        F.when(F.size(names) > 1, F.try_element_at(names, F.lit(-1))).alias("sector"), F.get(F.filter("cells", lambda c: (F.length(c) > 2) & c.rlike("[A-Za-z]")), 0).alias("label"),
-        F.regexp_extract(F.get(F.filter("cells", lambda c: c.rlike(r"^-?[\d.]+\s*%?$")), 0), r"^(-?[\d.]+)", 1).try_cast("double").alias("share"),
+    """(doc_id, tbl, title, holdings) of the holdings tables: the rows with a name and a weight.
+
+    A row's ticker is its last cell of one to five capitals, its weight the first number below 100, its name the
+    first longer cell with a small letter, its sector the last such cell behind the name.
+    """
+    rows = _cells(routed(tables).where("kind = 'holdings'"))
+    ticker = lambda c: c.rlike("^[A-Z]{1,5}$") & ~c.isin(NOT_TICKERS)
+    weight = lambda c: c.rlike(r"^[0-9.]+$") & (c.try_cast("double") < 100)
+    names = F.filter("cells", lambda c: ~ticker(c) & ~F.coalesce(weight(c), F.lit(False)) & (F.length(c) > 5) & c.rlike("[a-z]"))
+    held = F.struct(
+        F.get(names, 0).alias("SecurityName"), F.coalesce(F.try_element_at(F.filter("cells", ticker), F.lit(-1)), F.lit("")).alias("Ticker"), F.get(F.filter("cells", weight), 0).try_cast("double").alias("Weight"),
+        F.when(F.size(names) > 1, F.try_element_at(names, F.lit(-1))).otherwise("").alias("Sector"),
     )
-    sector_table = F.contains("title", F.lit("sector")) | F.contains("title", F.lit("allocation"))
-    kept = F.when(F.col("name").isNotNull() & (F.col("weight") != 0) & ~sector_table, F.struct("row", F.col("name").alias("SecurityName"), F.coalesce("ticker", F.lit("")).alias("Ticker"), F.col("weight").alias("Weight"), F.coalesce("sector", F.lit("")).alias("Sector")))
-    part = F.when(F.col("label").isNotNull() & F.col("share").isNotNull() & sector_table, F.struct("row", F.col("label").alias("name"), F.col("share").alias("weight")))
-    return read.groupBy("doc_id", "tbl").agg(F.array_sort(F.collect_list(kept)).alias("holdings"), F.array_sort(F.collect_list(part)).alias("sectors"))
+    read = rows.select("doc_id", "tbl", "title", "row", held.alias("h")).where("h.SecurityName is not null and h.Weight <> 0")
+    grouped = read.groupBy("doc_id", "tbl", "title").agg(F.array_sort(F.collect_list(F.struct("row", "h"))).alias("x"))
+    return grouped.select("doc_id", "tbl", "title", F.transform("x", lambda r: r["h"]).alias("holdings"))
+
+
+def sectors(tables: DataFrame) -> DataFrame:
+    """(doc_id, tbl, title, sectors array of (name, weight)) of the sector tables; a repeated name keeps its place and takes the later weight."""
+    rows = _cells(routed(tables).where("kind = 'sectors'"))
+    number = lambda c: c.rlike(r"^[0-9.]+$")
+    name = F.get(F.filter("cells", lambda c: ~number(c) & (F.length(c) > 2) & c.rlike(r"\p{L}")), 0)
+    read = rows.select("doc_id", "tbl", "title", "row", name.alias("name"), F.get(F.filter("cells", number), 0).try_cast("double").alias("weight")).where("name is not null and weight <> 0")
+    once = read.groupBy("doc_id", "tbl", "title", "name").agg(F.min("row").alias("row"), F.max_by("weight", "row").alias("weight"))
+    grouped = once.groupBy("doc_id", "tbl", "title").agg(F.array_sort(F.collect_list(F.struct("row", "name", "weight"))).alias("x"))
+    return grouped.select("doc_id", "tbl", "title", F.transform("x", lambda r: F.struct(r["name"].alias("name"), r["weight"].alias("weight"))).alias("sectors"))
+
+
+def table_entities(tables: DataFrame) -> DataFrame:
+    """tables (doc_id, tbl, title, rows array<array<string>>) -> entities like those of text, seq by table, row and place in it.
+
+    Lists of holdings and maps of sectors have their JSON form as value_str.
+    """
+    found = _figure_entities(_cells(routed(tables)))
+
+    def listed(rows: DataFrame, column: str, kind: str, field: str, category: str, confidence: float, shown: Column) -> DataFrame:
+        n = F.concat(F.size(column).cast("string"), F.lit(f" {column}"))
+        return rows.select(
+            "doc_id", "tbl", F.lit(0).alias("row"), F.lit(0).alias("nth"), F.lit(kind).alias("entity_type"), F.lit(field).alias("mapped_field"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"),
+            n.alias("value"), shown.alias("value_str"), F.lit(None).cast("double").alias("value_num"), F.concat("title", F.lit(": "), n).alias("source_text"),
+        )
+
+    found = found.unionByName(listed(holdings(tables), "holdings", "top_holdings", "TopHoldings", "holdings", 0.88, F.to_json("holdings")))
+    pairs = F.to_json(F.map_from_entries("sectors"))
+    found = found.unionByName(listed(sectors(tables), "sectors", "sector_allocation", "SectorWeights", "allocation", 0.87, pairs))
+    order = F.col("tbl").cast("long") * 2**32 + F.col("row").cast("long") * 2**12 + F.col("nth")
+    return found.select(
+        "doc_id", order.alias("seq"), "entity_type", "mapped_field", "category", "confidence", "value", "value_str", "value_num", "source_text", F.lit(0).alias("start"), F.lit(0).alias("end"), F.lit("table_extraction").alias("method")
+    )

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundloom.functions.catalog import ASSET_CLASSES, EXTRA_PATTERNS, FIELDS, OPTIONAL, PATTERNS, POINTS_SET, POINTS_TRUE, REQUIRED, SCHEMA
+from fundloom.functions.catalog import ASSET_CLASSES, CATEGORIES, EXTRA_PATTERNS, FAMILIES, FIELDS, NAME_WORDS, OPTIONAL, PATTERNS, POINTS_SET, POINTS_TRUE, REQUIRED, SCHEMA
 from fundloom.operators import export, extract, features, mapping, normalize, relational, tables
 from fundloom.sources import html
-from fundloom.sources.carrier import DUCKDB, DUCKDB_PAIRS, fund_docs, fund_pairs
+from fundloom.sources.carrier import DUCKDB, DUCKDB_PAGES, DUCKDB_PAIRS, fund_docs, fund_pages, fund_pairs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,9 +44,27 @@ def records(spark: SparkSession, sf_dir: str, pairs: bool = False) -> DataFrame:
     return normalize.records(normalize.segment(entities(spark, sf_dir, pairs)))
 
 
+def page_tables(parsed: DataFrame) -> DataFrame:
+    """(doc_id, tbl, title, headers, rows) of parsed pages."""
+    return parsed.select(F.col("page_id").alias("doc_id"), F.posexplode("tables").alias("tbl", "t")).select("doc_id", "tbl", "t.*")
+
+
+def page_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of the text and the tables of the fund pages."""
+    parsed = html.parse_pages(fund_pages(spark, sf_dir))
+    return extract.all_entities(parsed.select(F.col("page_id").alias("doc_id"), "text"), page_tables(parsed))
+
+
+def records_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = relational.confident(relational.keep_best(page_entities(spark, sf_dir)))
+    return normalize.records(normalize.segment(found))
+
+
 def _entity_query(kind: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = extract.text_entities(fund_docs(spark, sf_dir), {kind})
+        if kind == "ticker":
+            found = found.where("confidence = 0.9")  # those in parentheses
         return found.select("doc_id", "value_str" if kind not in extract.NUMERIC and kind != "star_rating" else F.col("value_num").alias("value_str"))
 
     group = 2 if kind == "star_rating" else 1
@@ -65,18 +83,39 @@ def _entity_query(kind: str) -> None:
     QUERIES[f"ent_{kind}"] = run
 
 
-for _kind in ("isin", "cusip", "ticker", "nav", "expense_ratio", "yield", "total_assets", "star_rating", "analyst_rating", "inception_date", "currency", "beta", "alpha"):
+for _kind in ("isin", "cusip", "ticker", "nav", "expense_ratio", "yield", "total_assets", "star_rating", "analyst_rating", "inception_date", "currency", "standard_deviation", "sharpe_ratio", "beta", "alpha"):
     _entity_query(_kind)
 
 
-@query("ent_category", f"select doc_id, 'Large Blend' as value_str, trim(unnest(regexp_extract_all(text, {quoted(PATTERN['category'])}, 1))) as value from ({DUCKDB}) d")
+def listed(words: list[str]) -> str:
+    return "[" + ", ".join(map(quoted, words)) + "]"
+
+
+#: The word of a list that a labelled category stands for, and the names of a text, in SQL.
+_LABEL = f"trim(regexp_extract(text, {quoted(PATTERN['category'])}, 1))"
+_KNOWN = f"list_filter({listed(CATEGORIES)}, lambda c: {_LABEL} <> '' and (contains(lower({_LABEL}), lower(c)) or contains(lower(c), lower({_LABEL}))))[1]"
+_held = lambda words: f"list_filter({listed(words)}, lambda w: contains(lower(text), lower(w)))"
+_NAME = f"trim(regexp_extract(r, '(?s)^([A-Z].+(?:{NAME_WORDS})(?:\\s+[A-Z][a-z]+)*)', 1))"
+_NAMES = f"list_filter(list_transform(regexp_extract_all(text, '(?:^|\\n)([A-Z][A-Za-z\\s&.'']+)', 1), lambda r: {_NAME}), lambda n: length(n) > 10)"
+
+
+@query("ent_category", f"select doc_id, {_KNOWN} as value_str, {_LABEL} as value from ({DUCKDB}) d where {_KNOWN} is not null")
 def ent_category(spark, sf_dir):
     return extract.text_entities(fund_docs(spark, sf_dir), {"category"}).select("doc_id", "value_str", "value")
 
 
-@query("ent_fund_name", f"select doc_id, 'Acme Index Fund' as name, cast(0 as integer) as \"start\" from ({DUCKDB}) d")
+@query("ent_ticker_keyword", f"select doc_id, unnest(regexp_extract_all(text, {quoted(PATTERNS[3][-1])}, 1)) as value from ({DUCKDB}) d")
+def ent_ticker_keyword(spark, sf_dir):
+    return extract.text_entities(fund_docs(spark, sf_dir), {"ticker"}).where("confidence = 0.92").select("doc_id", "value")
+
+
+@query(
+    "ent_fund_name",
+    f"""select doc_id, name, cast(case when starts_with(text, name) then 0 else instr(text, chr(10) || name) - 1 end as integer) as "start"
+        from (select doc_id, text, unnest({_NAMES}) as name from ({DUCKDB_PAIRS}) d) x""",
+)
 def ent_fund_name(spark, sf_dir):
-    return extract.text_entities(fund_docs(spark, sf_dir), {"fund_name"}).select("doc_id", F.col("value").alias("name"), "start")
+    return extract.text_entities(fund_pairs(spark, sf_dir), {"fund_name"}).select("doc_id", F.col("value").alias("name"), "start")
 
 
 @query(
@@ -90,13 +129,15 @@ def ent_positions(spark, sf_dir):
 
 
 _CLASS_SQL = " union all ".join(
-    f"select doc_id, {quoted(n)} as value from d where " + " or ".join(f"contains(lower(text), {quoted(w)})" for w in words) for n, words in ASSET_CLASSES.items()
+    f"select doc_id, 'asset_class' as kind, {quoted(n)} as value, instr(lower(text), {_held(words)}[1]) - 1 as \"start\" from d where len({_held(words)}) > 0" for n, words in ASSET_CLASSES.items()
 )
+_WORD_SQL = " union all ".join(f"select doc_id, '{kind}', v, instr(lower(text), lower(v)) - 1 from (select doc_id, text, unnest({_held(words)}) as v from d) x" for kind, words in (("category", CATEGORIES), ("fund_family", FAMILIES)))
 
 
-@query("ent_dictionaries", f"with d as ({DUCKDB}) {_CLASS_SQL}")
+@query("ent_dictionaries", f"with d as ({DUCKDB}) select doc_id, kind, value, cast(\"start\" as integer) as \"start\" from ({_CLASS_SQL} union all {_WORD_SQL}) x")
 def ent_dictionaries(spark, sf_dir):
-    return extract.text_entities(fund_docs(spark, sf_dir), {"asset_class"}).where("entity_type = 'asset_class'").select("doc_id", F.col("value_str").alias("value"))
+    found = extract.text_entities(fund_docs(spark, sf_dir), {"asset_class"})
+    return found.select("doc_id", F.col("entity_type").alias("kind"), F.col("value_str").alias("value"), "start")
 
 
 @query("expense_ratio_documents", f"select doc_id, cast(v as double) as value from (select doc_id, unnest(regexp_extract_all(text, {quoted(PATTERN['expense_ratio'])}, 1)) as v from documents) x where try_cast(v as double) is not null")
@@ -111,10 +152,26 @@ def pattern_catalog(spark, sf_dir):
     return docs.agg(*sizes).unpivot([], list(EXTRA_PATTERNS), "pattern", "n")
 
 
-@query("dedup_keep_best", f"select doc_id, entity_type, n from (select doc_id, 'isin' as entity_type, count(distinct v) as n from (select doc_id, unnest(regexp_extract_all(text, {quoted(PATTERN['isin'])}, 1)) as v from ({DUCKDB_PAIRS}) d) x group by 1 union all select doc_id, 'fund_name', 1 from ({DUCKDB_PAIRS}) d) y")
+@query(
+    "dedup_keep_best",
+    f"""select doc_id, kind as entity_type, v as value, min(nth) as place, count(*) as n from (
+          select doc_id, 'isin' as kind, unnest(l) as v, unnest(range(len(l))) as nth from (select doc_id, regexp_extract_all(text || chr(10) || text, {quoted(PATTERN["isin"])}, 1) as l from ({DUCKDB_PAIRS}) d) x
+          union all select doc_id, 'currency', unnest(l), unnest(range(len(l))) from (select doc_id, list_transform(regexp_extract_all(text || chr(10) || text, {quoted(PATTERN["currency"])}, 1), lambda x: upper(x)) as l from ({DUCKDB_PAIRS}) d) x) y group by 1, 2, 3""",
+)
 def dedup_keep_best(spark, sf_dir):
-    found = relational.keep_best(extract.text_entities(fund_pairs(spark, sf_dir), {"isin", "fund_name"}))
-    return found.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    """Every document twice over: what stays of equal values, at which place, and of how many."""
+    docs = fund_pairs(spark, sf_dir).select("doc_id", F.concat_ws("\n", "text", "text").alias("text"))
+    found = extract.text_entities(docs, {"isin", "currency"})
+    own = found.groupBy("doc_id", "entity_type").agg(F.min("seq").alias("first"))
+    sizes = found.groupBy("doc_id", "entity_type", F.col("value_str").alias("value")).agg(F.count("*").alias("n"))
+    kept = relational.keep_best(found).join(own, ["doc_id", "entity_type"])
+    return kept.select("doc_id", "entity_type", F.col("value_str").alias("value"), (F.col("seq") - F.col("first")).alias("place")).join(sizes, ["doc_id", "entity_type", "value"])
+
+
+@query("threshold", f"select doc_id, kind, count(*) as n from (select doc_id, 'isin' as kind, unnest(regexp_extract_all(text, {quoted(PATTERN['isin'])}, 1)) from ({DUCKDB}) d union all select doc_id, 'nav', unnest(regexp_extract_all(text, {quoted(PATTERN['nav'])}, 1)) from ({DUCKDB}) d) x group by 1, 2")
+def threshold(spark, sf_dir):
+    found = extract.text_entities(fund_docs(spark, sf_dir), {"isin", "nav", "cusip", "beta", "category"})
+    return relational.confident(found, 0.92).groupBy("doc_id", F.col("entity_type").alias("kind")).agg(F.count("*").alias("n"))
 
 
 _COUNTED = ("isin", "cusip", "nav", "expense_ratio", "inception_date")
@@ -125,35 +182,65 @@ def entity_counts(spark, sf_dir):
     return relational.entity_counts(extract.text_entities(fund_docs(spark, sf_dir), set(_COUNTED)))
 
 
-@query("confidence_histogram", f"select cast(bin as bigint) as bin, count(*) as n from (select unnest([19, 17]) as bin from ({DUCKDB}) d) x group by 1")
+@query("entity_ranking", f"select entity_type, n, row_number() over (order by n desc, entity_type) as place from ({SQL['entity_counts']}) x")
+def entity_ranking(spark, sf_dir):
+    return relational.ranked_counts(entity_counts(spark, sf_dir))
+
+
+@query("entity_totals", "select doc_id, length(text) as text_length, " + " + ".join(f"len(regexp_extract_all(text, {quoted(PATTERN[k])}, 1))" for k in _COUNTED) + f" as total_entities from ({DUCKDB}) d")
+def entity_totals(spark, sf_dir):
+    docs = fund_docs(spark, sf_dir)
+    return relational.totals(docs, extract.text_entities(docs, set(_COUNTED))).select("doc_id", "text_length", "total_entities")
+
+
+_CONFIDENT = {k: c for k, _, _, c, *_ in PATTERNS if k != "ticker"}
+
+
+@query("confidence_histogram", "select least(cast(floor(confidence * 20) as bigint) + 1, 20) as bin, count(*) as n from (" + " union all ".join(f"select cast({_CONFIDENT[k]} as double) as confidence from (select unnest(regexp_extract_all(text, {quoted(PATTERN[k])}, 1)) from ({DUCKDB}) d) x" for k in _COUNTED) + ") y group by 1")
 def confidence_histogram(spark, sf_dir):
-    found = extract.text_entities(fund_docs(spark, sf_dir), {"nav", "cusip"})
-    return relational.histogram(found.withColumn("confidence", F.when(F.col("entity_type") == "cusip", 0.84).otherwise(F.col("confidence"))))
+    return relational.histogram(extract.text_entities(fund_docs(spark, sf_dir), set(_COUNTED)))
 
 
-@query("entity_display")
+@query("entity_display", f"select doc_id, 'isin' as entity_type, v as value, '95%' as confidence from (select doc_id, unnest(regexp_extract_all(text, {quoted(PATTERN['isin'])}, 1)) as v from ({DUCKDB_PAIRS}) d) x union all select doc_id, 'fund_name', case when length(v) > 20 then left(v, 20) || '...' else v end, '85%' from (select doc_id, unnest({_NAMES}) as v from ({DUCKDB_PAIRS}) d) x")
 def entity_display(spark, sf_dir):
-    return relational.display(entities(spark, sf_dir))
+    return relational.display(extract.text_entities(fund_pairs(spark, sf_dir), {"isin", "fund_name"}), 20).drop("seq")
+
 
+_SEGMENTS = "select doc_id, printf('security_%03d', cast(unnest(range(greatest(len(l), 1))) + 1 as integer)) as security_id, unnest(l) as value from ({}) x where len(l) > 0"
 
-@query("segment_securities", f"select doc_id, 'security_001' as security_id, 1 as isins from ({DUCKDB_PAIRS}) d union all select doc_id, 'security_002', 1 from ({DUCKDB_PAIRS}) d where length(regexp_replace(text, 'ISIN', '', 'g')) = length(text) - 8")
+
+@query("segment_securities", _SEGMENTS.format(f"select doc_id, regexp_extract_all(text, {quoted(PATTERN['isin'])}, 1) as l from ({DUCKDB_PAIRS}) d"))
 def segment_securities(spark, sf_dir):
-    found = normalize.segment(entities(spark, sf_dir, True))
-    return found.where("entity_type = 'isin'").groupBy("doc_id", "security_id").agg(F.count("*").cast("int").alias("isins"))
+    return normalize.segment(entities(spark, sf_dir, True)).where("entity_type = 'isin'").select("doc_id", "security_id", F.col("value_str").alias("value"))
+
 
+@query("segment_by_ticker", _SEGMENTS.format(f"select doc_id, list_concat(regexp_extract_all(text, '\\(([A-Z]{{2,5}})\\)', 1), regexp_extract_all(text, {quoted(PATTERNS[3][-1])}, 1)) as l from ({DUCKDB_PAIRS}) d"))
+def segment_by_ticker(spark, sf_dir):
+    found = normalize.segment(extract.text_entities(fund_pairs(spark, sf_dir), {"ticker", "nav"}))
+    return found.where("entity_type = 'ticker'").select("doc_id", "security_id", F.col("value_str").alias("value"))
 
-#: A record per fact sheet, in SQL.
-_ONE = lambda p, g=1: f"regexp_extract(text, {quoted(p)}, {g})"
+
+@query("segment_by_name", _SEGMENTS.format(f"select doc_id, {_NAMES} as l from ({DUCKDB_PAIRS}) d"))
+def segment_by_name(spark, sf_dir):
+    found = normalize.segment(extract.text_entities(fund_pairs(spark, sf_dir), {"fund_name", "beta"}))
+    return found.where("entity_type = 'fund_name'").select("doc_id", "security_id", F.col("value_str").alias("value"))
+
+
+#: A record per fact sheet, in SQL, computed from its text.
+_ONE = lambda p, g=1: f"nullif(regexp_extract(text, {quoted(p)}, {g}), '')"
+_NUM = lambda p: f"cast(replace({_ONE(p)}, ',', '') as double)"
+_CLASS = "case " + " ".join(f"when len({_held(words)}) > 0 then {quoted(n)}" for n, words in ASSET_CLASSES.items()) + " end"
 _RECORDS = f"""
-    select doc_id, {_ONE(PATTERN["isin"])} as ISIN, {_ONE(PATTERN["cusip"])} as CUSIP, {_ONE(PATTERN["ticker"])} as Ticker, 'Acme Index Fund' as LegalName, 'Large Blend' as CategoryName,
-      strftime(strptime({_ONE(PATTERN["inception_date"])}, '%m/%d/%Y'), '%Y-%m-%d') as InceptionDate, upper({_ONE(PATTERN["currency"])}) as BaseCurrency,
-      cast(replace({_ONE(PATTERN["nav"])}, ',', '') as double) as NAV,
-      cast({_ONE(PATTERN["total_assets"])} as double) * case when {_ONE(PATTERN["total_assets"], 2)} = 'Billion' then 1000 else 1 end as TotalNetAssets,
-      cast({_ONE(PATTERN["expense_ratio"])} as double) as ExpenseRatio, cast({_ONE(PATTERN["yield"])} as double) as Yield, cast({_ONE(PATTERN["beta"])} as double) as Beta_3Y, cast({_ONE(PATTERN["alpha"])} as double) as Alpha_3Y,
-      length({_ONE(PATTERN["star_rating"], 2)}) as StarRating, {_ONE(PATTERN["analyst_rating"])} as AnalystRating, 'Equity' as GlobalAssetClassId,
-      concat('F', upper(left(md5(concat_ws('|', {_ONE(PATTERN["isin"])}, {_ONE(PATTERN["cusip"])}, {_ONE(PATTERN["ticker"])}, 'Acme Index Fund')), 8)), '0') as SecId
-    from ({DUCKDB}) d"""
-_HELD = "SecId ISIN CUSIP Ticker LegalName CategoryName GlobalAssetClassId InceptionDate BaseCurrency NAV TotalNetAssets ExpenseRatio Yield Beta_3Y Alpha_3Y StarRating AnalystRating".split()
+    select *, case when parts = '' then 'F00000000' else concat('F', upper(left(md5(parts), 8)), '0') end as SecId from (
+    select *, concat_ws('|', ISIN, CUSIP, Ticker, LegalName) as parts from (
+    select doc_id, {_ONE(PATTERN["isin"])} as ISIN, {_ONE(PATTERN["cusip"])} as CUSIP, coalesce({_ONE(PATTERNS[3][-1])}, {_ONE("\\(([A-Z]{2,5})\\)")}) as Ticker, {_NAMES}[1] as LegalName,
+      {_held(FAMILIES)}[1] as FundFamily, coalesce({_KNOWN}, {_held(CATEGORIES)}[1]) as CategoryName, {_CLASS} as GlobalAssetClassId,
+      strftime(strptime({_ONE(PATTERN["inception_date"])}, '%m/%d/%Y'), '%Y-%m-%d') as InceptionDate, coalesce(upper({_ONE(PATTERN["currency"])}), 'USD') as BaseCurrency,
+      {_NUM(PATTERN["nav"])} as NAV, {_NUM(PATTERN["total_assets"])} * case when {_ONE(PATTERN["total_assets"], 2)} = 'Billion' then 1000 else 1 end as TotalNetAssets,
+      {_NUM(PATTERN["expense_ratio"])} as ExpenseRatio, {_NUM(PATTERN["yield"])} as Yield, {_NUM(PATTERN["standard_deviation"])} as StandardDeviation_3Y, {_NUM(PATTERN["sharpe_ratio"])} as SharpeRatio_3Y,
+      {_NUM(PATTERN["beta"])} as Beta_3Y, {_NUM(PATTERN["alpha"])} as Alpha_3Y, nullif(length(regexp_extract(text, {quoted(PATTERN["star_rating"])}, 2)), 0) as StarRating, {_ONE(PATTERN["analyst_rating"])} as AnalystRating
+    from ({DUCKDB}) d) a) b"""
+_HELD = "SecId ISIN CUSIP Ticker LegalName FundFamily CategoryName GlobalAssetClassId InceptionDate BaseCurrency NAV TotalNetAssets ExpenseRatio Yield StandardDeviation_3Y SharpeRatio_3Y Beta_3Y Alpha_3Y StarRating AnalystRating".split()
 
 
 @query("records_pivot", f"select doc_id, {', '.join(_HELD)} from ({_RECORDS}) r")
@@ -189,7 +276,7 @@ _SCORE = " + ".join([f"case when {_truthy(f)} then {p} else 0.0 end" for f, p in
 _MOST = sum(POINTS_TRUE.values()) + sum(POINTS_SET.values())
 
 
-@query("quality_score", f"select doc_id, round(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as quality_score from ({_RECORDS}) r")
+@query("quality_score", f"select doc_id, round_even(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as quality_score from ({_RECORDS}) r")
 def quality_score(spark, sf_dir):
     return normalize.quality(records(spark, sf_dir)).select("doc_id", "quality_score")
 
@@ -197,55 +284,150 @@ def quality_score(spark, sf_dir):
 _FILLED = " + ".join([f"cast({_truthy(f)} as int)" for f in REQUIRED] + [f"cast({f} is not null as int)" for f in OPTIONAL if f in _HELD])
 
 
-@query("completeness", f"select doc_id, round(({_FILLED}) / 18.0 * 100, 1) as completeness, 100.0 as accuracy from ({_RECORDS}) r")
+_KEYS = " + ".join(f"cast({f} is not null as int)" for f in _HELD)
+
+
+@query("completeness", f"select doc_id, round_even(({_FILLED}) / 18.0 * 100, 1) as completeness, round_even(greatest(0, (1 - cast(LegalName is null and Ticker is null as int) / cast({_KEYS} as double)) * 100), 1) as accuracy from ({_RECORDS}) r")
 def completeness(spark, sf_dir):
     return normalize.doc_scores(records(spark, sf_dir)).select("doc_id", "completeness", "accuracy")
 
 
-@query("field_coverage", " union all ".join(f"select '{f}' as field, cast(count(*) * {int(f in _HELD)} as bigint) as n_records from part" for f in FIELDS))
+_FIELD_COUNTS = " union all ".join(f"select '{f}' as field, count({f}) as n_records from r" if f in _HELD else f"select '{f}', 0" for f in FIELDS)
+
+
+@query("field_coverage", f"with r as ({_RECORDS}) {_FIELD_COUNTS}")
 def field_coverage(spark, sf_dir):
     return normalize.field_coverage(records(spark, sf_dir))
 
 
 _BY = {f[0]: f for f in SCHEMA}
+_MAPPED = " union all ".join(
+    f"select doc_id, '{f}' as target_field, '{_BY[f][2]}' as category, cast({f} as varchar) as value, {f} is not null as is_valid, case when {f} is null then 'Required field ''{f}'' is missing' end as message from r" + ("" if _BY[f][3] else f" where {f} is not null")
+    for f in _HELD
+)
 
 
-@query("schema_map_long", " union all ".join(f"select doc_id, '{f}' as target_field, '{_BY[f][2]}' as category, true as is_valid from ({_RECORDS}) r" for f in _HELD))
+@query("schema_map_long", f"with r as ({_RECORDS}) {_MAPPED}")
 def schema_map_long(spark, sf_dir):
-    return mapping.map_long(records(spark, sf_dir)).select("doc_id", "target_field", "category", "is_valid")
+    return mapping.map_long(records(spark, sf_dir)).select("doc_id", "target_field", "category", "value", "is_valid", "message")
 
 
-@query("schema_coverage", f"select p_partkey as doc_id, cast({len(_HELD)} as bigint) as mapped_fields, round({len(_HELD)} / 31.0 * 100, 1) as coverage_pct, true as passed from part")
+@query("schema_coverage", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, count(distinct target_field) as mapped_fields, round_even(count(distinct target_field) / 31.0 * 100, 1) as coverage_pct, bool_and(is_valid) as passed from m group by 1")
 def schema_coverage(spark, sf_dir):
     return mapping.coverage(mapping.map_long(records(spark, sf_dir))).select("doc_id", "mapped_fields", "coverage_pct", "passed")
 
 
-@query("unmapped_fields", "select * from (values " + ", ".join(f"('{f}', '{_BY[f][2]}')" for f in FIELDS if f not in _HELD) + ") t(target_field, category)")
-def unmapped_fields(spark, sf_dir):
-    return mapping.unmapped(mapping.map_long(records(spark, sf_dir)))
+_FIELD_ROWS = ", ".join(f"('{f[0]}', '{f[2]}', {str(f[3]).lower()})" for f in SCHEMA)
 
 
-_FIELD_ROWS = ", ".join(f"('{f[0]}', '{f[2]}', {str(f[3]).lower()}, {int(f[0] in _HELD)})" for f in SCHEMA)
+@query("unmapped_fields", f"with r as ({_RECORDS}), m as ({_MAPPED}) select field as target_field, category from (values {_FIELD_ROWS}) t(field, category, required) where field not in (select target_field from m)")
+def unmapped_fields(spark, sf_dir):
+    return mapping.unmapped(mapping.map_long(records(spark, sf_dir)))
 
 
-@query("category_coverage", f"select category, count(*) as n_fields, cast(sum(held) as bigint) as n_covered from (values {_FIELD_ROWS}) t(field, category, required, held) group by 1")
+@query("category_coverage", f"with r as ({_RECORDS}), m as ({_MAPPED}) select category, count(*) as n_fields, count(*) filter (where field in (select target_field from m)) as n_covered from (values {_FIELD_ROWS}) t(field, category, required) group by 1")
 def category_coverage(spark, sf_dir):
     return mapping.category_coverage(mapping.map_long(records(spark, sf_dir)))
 
 
-@query("export_coverage", f"select p_partkey as doc_id, cast({len(_HELD)} as bigint) as populated, cast(31 as bigint) as total, {quoted(','.join(sorted(_HELD)))} as fields from part")
+@query("schema_errors", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, string_agg(target_field || ': ' || message, ' | ') as errors from m where not is_valid group by 1")
+def schema_errors(spark, sf_dir):
+    found = mapping.first_errors(mapping.map_long(records(spark, sf_dir)))
+    return found.select("doc_id", F.array_join("errors", " | ").alias("errors"))
+
+
+@query("record_view", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, c.nth_category, m.category, target_field, case when length(value) > 60 then left(value, 60) || '...' else value end as value, is_valid from m join (select category, cast(row_number() over (order by min(nth)) as integer) as nth_category from (select unnest([{', '.join(quoted(f[2]) for f in SCHEMA)}]) as category, unnest(range({len(SCHEMA)})) as nth) x group by 1) c on c.category = m.category")
+def record_view(spark, sf_dir):
+    return mapping.record_view(mapping.map_long(records(spark, sf_dir))).drop("security_id")
+
+
+@query("schema_summary", f"with s as (select * from (values {_FIELD_ROWS}) t(field, category, required)), p as (select count(*) as n_parts from part) select category, count(*) as n_fields, count(*) filter (where required) as n_required, string_agg(field, ',' order by field) as fields, any_value(n_parts) as n_parts from s, p group by 1")
+def schema_summary(spark, sf_dir):
+    parts = read(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
+    return mapping.summary(spark).crossJoin(F.broadcast(parts))  # one row
+
+
+_RAW = {
+    "SecId": "cast(p_partkey as {s})", "LegalName": "case when p_partkey % 5 = 0 then repeat(p_name, 20) else p_name end", "BaseCurrency": "case when p_partkey % 4 = 0 then 'EURO' else 'EUR' end",
+    "ISIN": "case when p_partkey % 3 = 0 then 'bad' else concat('US', lpad(cast(p_partkey as {s}), 10, '0')) end", "NAV": "case when p_partkey % 6 = 0 then 'n/a' else concat('$1,', lpad(cast(p_size as {s}), 3, '0'), '.25') end",
+    "StarRating": "case when p_partkey % 7 = 0 then 'x' else cast(p_size as {s}) end", "AnalystRating": "case when p_size % 2 = 0 then 'Gold' else 'Great' end", "InceptionDate": "case when p_size % 3 = 0 then '2001-02-03' else 'soon' end",
+}
+_raw = lambda text, table: "select p_partkey as doc_id, 'security_001' as security_id, " + ", ".join(f"{e.format(s=text)} as {f}" for f, e in _RAW.items()) + f" from {table}"
+_NAV = "try_cast(replace(replace(NAV, ',', ''), '$', '') as double)"
+_STARS = "cast(trunc(try_cast(StarRating as double)) as integer)"
+
+
+@query(
+    "conversion_errors",
+    f"""with r as ({_raw("varchar", "part")})
+        select doc_id, 'LegalName' as target_field, left(LegalName, 256) as value, true as is_valid, case when length(LegalName) > 256 then 'Truncated to 256 chars' end as message from r
+        union all select doc_id, 'BaseCurrency', left(BaseCurrency, 3), true, case when length(BaseCurrency) > 3 then 'Truncated to 3 chars' end from r
+        union all select doc_id, 'ISIN', ISIN, regexp_matches(ISIN, '^[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]$'), case when not regexp_matches(ISIN, '^[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]$') then 'Does not match pattern ^[A-Z]{{2}}[A-Z0-9]{{9}}[0-9]$' end from r
+        union all select doc_id, 'NAV', coalesce(cast({_NAV} as varchar), NAV), {_NAV} is not null, case when {_NAV} is null then 'Conversion error: not a number' end from r
+        union all select doc_id, 'StarRating', coalesce(cast({_STARS} as varchar), StarRating), coalesce({_STARS} between 1 and 5, false),
+          case when {_STARS} is null then 'Conversion error: not a number' when {_STARS} < 1 then 'Below minimum 1' when {_STARS} > 5 then 'Above maximum 5' end from r
+        union all select doc_id, 'AnalystRating', AnalystRating, AnalystRating = 'Gold', case when AnalystRating <> 'Gold' then 'Not in allowed values: [''Gold'', ''Silver'', ''Bronze'', ''Neutral'', ''Negative'']' end from r
+        union all select doc_id, 'InceptionDate', InceptionDate, InceptionDate <> 'soon', case when InceptionDate = 'soon' then 'Expected format YYYY-MM-DD' end from r""",
+)
+def conversion_errors(spark, sf_dir):
+    rows = spark.sql(_raw("string", "{part}"), part=read(spark, sf_dir, "part"))
+    return mapping.map_long(rows).where("target_field <> 'SecId'").select("doc_id", "target_field", "value", "is_valid", "message")
+
+
+@query(
+    "clean_numbers",
+    """select p_partkey, try_cast(regexp_replace(n, '[$, %]', '', 'g') as double) as num, try_cast(trim(regexp_replace(p, '[,%]', '', 'g')) as double) as pct,
+         case when s in ('', '?') then null else greatest(1, least(5, case when contains(s, '★') then length(s) - length(replace(s, '★', '')) when contains(s, '*') then length(s) - length(replace(s, '*', '')) else cast(trunc(try_cast(s as double)) as integer) end)) end as stars
+       from (select p_partkey, case when p_size % 5 = 0 then 'none' else concat('$ 1,', lpad(cast(p_size as varchar), 3, '0'), '.5 %') end as n, concat(' -', p_size, '.125% ') as p,
+               case p_size % 6 when 0 then repeat('★', cast(p_size % 8 as int)) when 1 then '***' when 2 then concat(cast(p_size % 9 as varchar), '.7') when 3 then '?' when 4 then '★*' else '9' end as s from part) x""",
+)
+def clean_numbers(spark, sf_dir):
+    size = F.col("p_size")
+    n = F.when(size % 5 == 0, "none").otherwise(F.concat(F.lit("$ 1,"), F.lpad(size.cast("string"), 3, "0"), F.lit(".5 %")))
+    p = F.concat(F.lit(" -"), size.cast("string"), F.lit(".125% "))
+    drawn = F.when(size % 6 == 0, F.repeat(F.lit("★"), (size % 8).cast("int"))).when(size % 6 == 1, "***").when(size % 6 == 2, F.concat((size % 9).cast("string"), F.lit(".7"))).when(size % 6 == 3, "?").when(size % 6 == 4, "★*").otherwise("9")
+    return read(spark, sf_dir, "part").select("p_partkey", normalize.numeric(n).alias("num"), normalize.percentage(p).alias("pct"), normalize.stars(drawn).alias("stars"))
+
+
+_POPULATED = [f for f in sorted(_HELD)]
+
+
+@query("export_coverage", f"select doc_id, {_KEYS} as populated, 31 as total, concat_ws(',', {', '.join(f"case when {f} is not null then '{f}' end" for f in _POPULATED)}) as fields from ({_RECORDS}) r")
 def export_coverage(spark, sf_dir):
     return export.coverage(records(spark, sf_dir))
 
 
-@query("export_csv_rows", f"select doc_id, ISIN, Ticker, coalesce(InceptionDate, '') as InceptionDate, '' as StyleBox from ({_RECORDS}) r")
+@query("export_csv_rows", "select doc_id, " + ", ".join(f"coalesce(cast({f} as varchar), '') as {f}" if f in _HELD else f"'' as {f}" for f in FIELDS) + f" from ({_RECORDS}) r")
 def export_csv_rows(spark, sf_dir):
-    return export.csv_rows(records(spark, sf_dir)).select("doc_id", "ISIN", "Ticker", "InceptionDate", "StyleBox")
+    return export.csv_rows(records(spark, sf_dir)).drop("security_id")
+
+
+_JSON = lambda f: f"case when {f} is not null then '\"{f}\": ' || " + (f"cast({f} as varchar)" if _BY[f][1] in ("decimal", "integer") else f"'\"' || {f} || '\"'") + " end"
 
 
-@query("export_packages")
+@query(
+    "export_packages",
+    f"""select doc_id, '1.0' as format_version, 1 as record_count, round_even(({_KEYS}) / 31.0 * 100, 1) as coverage_pct, sha256('[{{' || concat_ws(', ', {', '.join(_JSON(f) for f in _POPULATED)}) || '}}]') as content_hash
+        from ({_RECORDS}) r""",
+)
 def export_packages(spark, sf_dir):
-    return export.packages(records(spark, sf_dir, True))
+    made = export.packages(records(spark, sf_dir), stamp=F.lit("2025-01-01T00:00:00Z"))
+    of = lambda path: F.get_json_object("package", path)
+    return made.select("doc_id", of("$.data_import.format_version").alias("format_version"), of("$.data_import.record_count").cast("int").alias("record_count"), of("$.quality_metrics.field_coverage.coverage_pct").cast("double").alias("coverage_pct"), "content_hash")
+
+
+@query("key_union", "select s_suppkey as k, s_name as name, s_acctbal as balance, cast(null as varchar) as segment from supplier union all select c_custkey, c_name, c_acctbal, c_mktsegment from customer")
+def key_union(spark, sf_dir):
+    one = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+    two = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"))
+    return export.key_union(one, two)
+
+
+@query("text_preview", "select doc_id, left(text, 3000) as preview, format('{:,}', len(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\f]+'))) as words, case when length(text) > 40 then left(text, 40) || '...' else text end as label from documents")
+def text_preview(spark, sf_dir):
+    words = F.size(F.filter(F.split("text", r"[ \t\n\r\x0b\f]+"), lambda w: w != ""))
+    label = F.when(F.length("text") > 40, F.concat(F.left("text", F.lit(40)), F.lit("..."))).otherwise(F.col("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(3000)).alias("preview"), F.format_number(words, 0).alias("words"), label.alias("label"))
 
 
 @query("page_title", "select page_id, trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&')) as title from pages")
@@ -258,19 +440,93 @@ def page_hash(spark, sf_dir):
     return html.parse_pages(read(spark, sf_dir, "pages")).select("page_id", "content_hash")
 
 
+_PAGE_LINES = "list_filter(list_transform(regexp_extract_all(html, '<(?:h1|h2|h3|h4|p|td|th)>([^<]*)<', 1), lambda x: trim(x)), lambda x: length(x) > 1)"
+
+
+@query("fund_page_text", f"select page_id, text, cast(len(string_split_regex(text, '\\s+')) as bigint) as word_count from (select page_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), chr(10)) as text from (select page_id, {_PAGE_LINES} as l from ({DUCKDB_PAGES}) p) a) b")
+def fund_page_text(spark, sf_dir):
+    return html.parse_pages(fund_pages(spark, sf_dir)).select("page_id", "text", "word_count")
+
+
 @query("page_text")
 def page_text(spark, sf_dir):
     return html.parse_pages(read(spark, sf_dir, "pages")).select("page_id", "text", "word_count")
 
 
-@query("page_links")
+@query(
+    "page_links",
+    """select page_id, cast(i as integer) as nth, left(texts[i + 1], 128) as text, regexp_extract(url, '^(https?://[^/]+)', 1) || refs[i + 1] as url from (
+         select page_id, url, refs, texts, unnest(range(least(len(refs), 50))) as i from (
+           select page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) as refs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) as texts from pages) a) b""",
+)
 def page_links(spark, sf_dir):
     return html.parse_pages(read(spark, sf_dir, "pages")).select("page_id", F.posexplode("links").alias("nth", "link")).select("page_id", "nth", "link.*")
 
 
-@query("page_meta")
+@query("page_meta", f"""select page_id, name, regexp_extract_all(html, '<meta (?:name|property)="' || name || '" content="([^"]*)"', 1)[-1] as content from ({DUCKDB_PAGES}) p, (values ('author'), ('og:type')) n(name)""".replace("'<meta (?:name|property)=\"' || name || '\" content=\"([^\"]*)\"'", "case name when 'author' then '<meta name=\"author\" content=\"([^\"]*)\"' else '<meta property=\"og:type\" content=\"([^\"]*)\"' end"))
 def page_meta(spark, sf_dir):
-    return html.parse_pages(read(spark, sf_dir, "pages")).select("page_id", F.explode("meta").alias("m")).select("page_id", "m.*")
+    return html.parse_pages(fund_pages(spark, sf_dir)).select("page_id", F.explode("meta").alias("m")).select("page_id", "m.*")
+
+
+#: The tables of the fund pages in SQL: what stands between <table> and </table>, and the last heading before it.
+_TABLES = f"""select page_id, i, parts[i + 2] as body, regexp_extract_all(parts[i + 1], '<h[1-5]>([^<]*)</h[1-5]>', 1)[-1] as title from (
+    select page_id, parts, unnest(range(len(parts) - 1)) as i from (select page_id, string_split(html, '<table>') as parts from ({DUCKDB_PAGES}) p) a) b"""
+
+
+@query(
+    "html_tables",
+    f"""select page_id, cast(i as integer) as tbl, title, case when contains(body, '<th>') then array_to_string(regexp_extract_all(split_part(body, '</table>', 1), '<th>([^<]*)</th>', 1), '|') else '0|1' end as headers,
+          cast(len(regexp_extract_all(split_part(body, '</table>', 1), '<tr><td>', 0)) as integer) as n_rows, regexp_extract(body, '<td>([^<]*)</td>', 1) as first_cell from ({_TABLES}) t""",
+)
+def html_tables(spark, sf_dir):
+    found = page_tables(html.parse_pages(fund_pages(spark, sf_dir)))
+    return found.select(F.col("doc_id").alias("page_id"), "tbl", "title", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"), F.get(F.get("rows", 0), 0).alias("first_cell"))
+
+
+_CELL = lambda label: f"nullif(regexp_extract(html, '<td>{label}</td><td>(-?[0-9.]+)%?</td>', 1), '')"
+
+
+@query(
+    "table_entities",
+    f"""select page_id as doc_id, f as mapped_field, v as value_str from (
+          select page_id, unnest(['Return_1Y', 'Return_3Y', 'Return_YTD', 'StandardDeviation_3Y', 'SharpeRatio_3Y', 'RSquared_3Y']) as f,
+            unnest([cast(cast({_CELL("1 Year")} as double) as varchar), cast(cast({_CELL("3 Year")} as double) as varchar), cast(cast({_CELL("YTD")} as double) as varchar), cast(cast({_CELL("Standard Deviation")} as double) as varchar), cast(cast({_CELL("Sharpe Ratio")} as double) as varchar), cast(cast({_CELL("R-Squared")} as double) as varchar)]) as v from ({DUCKDB_PAGES}) p
+          union all select page_id, 'ISIN', regexp_extract(html, '<td>([A-Z]{{2}}[A-Z0-9]{{9}}[0-9])</td>', 1) from ({DUCKDB_PAGES}) p) x where v is not null""",
+)
+def table_entities(spark, sf_dir):
+    found = tables.table_entities(page_tables(html.parse_pages(fund_pages(spark, sf_dir))))
+    return found.where("mapped_field not in ('TopHoldings', 'SectorWeights')").select("doc_id", "mapped_field", "value_str")
+
+
+_HOLDING = """select page_id as doc_id, cast(row_number() over (partition by page_id order by i) - 1 as integer) as nth, c[2] as name, case when regexp_matches(c[3], '^[A-Z]{1,5}$') then c[3] else '' end as ticker,
+    coalesce(case when cast(c[1] as double) < 100 then cast(c[1] as double) end, try_cast(c[5] as double)) as weight, c[4] as sector from (
+      select page_id, i, list_transform(range(5), lambda k: regexp_extract_all(rows[i + 1], '<td>([^<]*)</td>', 1)[k + 1]) as c from (
+        select page_id, rows, unnest(range(len(rows))) as i from (select page_id, regexp_extract_all(split_part(body, '</table>', 1), '<tr>(?:<td>[^<]*</td>)+</tr>', 0) as rows from ({tables}) t where title = 'Top Holdings') a) b) d where length(c[2]) > 5"""
+
+
+@query("table_holdings", _HOLDING.replace("{tables}", _TABLES))
+def table_holdings(spark, sf_dir):
+    found = tables.holdings(page_tables(html.parse_pages(fund_pages(spark, sf_dir))))
+    rows = found.select("doc_id", F.posexplode("holdings").alias("nth", "h"))
+    return rows.select("doc_id", "nth", F.col("h.SecurityName").alias("name"), F.col("h.Ticker").alias("ticker"), F.col("h.Weight").alias("weight"), F.col("h.Sector").alias("sector"))
+
+
+@query("table_sectors", f"""select page_id as doc_id, name, cast(regexp_extract_all(body, '<td>' || name || '</td><td>([0-9.]+)</td>', 1)[-1] as double) as weight from ({_TABLES}) t, (values ('Energy'), ('Health')) n(name) where title = 'Sector Allocation'""".replace("'<td>' || name || '</td><td>([0-9.]+)</td>'", "case name when 'Energy' then '<td>Energy</td><td>([0-9.]+)</td>' else '<td>Health</td><td>([0-9.]+)</td>' end"))
+def table_sectors(spark, sf_dir):
+    found = tables.sectors(page_tables(html.parse_pages(fund_pages(spark, sf_dir))))
+    return found.select("doc_id", F.explode("sectors").alias("s")).select("doc_id", "s.*")
+
+
+@query(
+    "page_records",
+    f"""select page_id as doc_id, 'security_001' as security_id, regexp_extract(html, 'ISIN: ([A-Z0-9]{{12}})', 1) as ISIN, null::double as Return_1Y, null::double as Return_3Y, null::double as RSquared_3Y, null::double as StandardDeviation_3Y, 0 as n_holdings, null::double as energy from ({DUCKDB_PAGES}) p
+        union all select page_id, 'security_002', regexp_extract(html, '<td>([A-Z]{{2}}[A-Z0-9]{{9}}[0-9])</td>', 1), cast({_CELL("1 Year")} as double), cast({_CELL("3 Year")} as double), cast({_CELL("R-Squared")} as double), cast({_CELL("Standard Deviation")} as double),
+          2, cast(regexp_extract_all(html, '<td>Energy</td><td>([0-9.]+)</td>', 1)[-1] as double) from ({DUCKDB_PAGES}) p""",
+)
+def page_records(spark, sf_dir):
+    rows = records_of_pages(spark, sf_dir)
+    held = F.coalesce(F.size("TopHoldings"), F.lit(0))
+    return rows.select("doc_id", "security_id", "ISIN", "Return_1Y", "Return_3Y", "RSquared_3Y", "StandardDeviation_3Y", F.greatest(held, F.lit(0)).alias("n_holdings"), F.try_element_at("SectorWeights", F.lit("Energy")).alias("energy"))
 
 
 @query("line_dedup", "select doc_id, array_to_string(list_transform(list_sort(list_distinct(string_split(text, chr(10)))), lambda x: x), chr(10)) as lines from documents")
@@ -283,32 +539,37 @@ def word_count(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r\x0b\f]+"), lambda w: w != "")).cast("long").alias("words"))
 
 
-@query("pdf_tables")
-def pdf_tables(spark, sf_dir):
-    """Orders of a customer laid out as page text, read back as tables."""
+def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page, text): the orders of each customer laid out as page text, ten a page."""
     orders = read(spark, sf_dir, "orders").where("o_custkey is not null")
     line = F.concat_ws("   ", "o_orderkey", F.format_string("%.2f", "o_totalprice"), "o_orderstatus")
-    pages = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("x"))
-    text = F.concat(F.lit("Order   Total   Status\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"))
-    return tables.text_tables(pages.select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page"), text.alias("text")))
+    nth = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1
+    dealt = orders.select("o_custkey", "o_orderkey", line.alias("line"), F.floor(nth / 10).cast("int").alias("page"))
+    pages = dealt.groupBy("o_custkey", "page").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "line"))).alias("x"))
+    text = F.concat(F.lit("Orders of a customer\nOrder   Total   Status\n"), F.array_join(F.transform("x", lambda r: r["line"]), "\n"))
+    return pages.select(F.col("o_custkey").alias("doc_id"), "page", text.alias("text"))
 
 
-def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A performance table per part."""
-    size = F.col("p_size").cast("string")
-    rows = F.array(F.array(F.lit("1 Year"), F.concat(size, F.lit(".5%"))), F.array(F.lit("3 Year"), F.concat(F.lit("-"), size, F.lit(".25"))))
-    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("tbl"), F.lit("Performance Returns").alias("title"), rows.alias("rows"))
+_ORDER_LINES = "select o_custkey, cast((row_number() over (partition by o_custkey order by o_orderkey) - 1) // 10 as integer) as page, o_orderkey, cast(o_orderkey as varchar) as k, printf('%.2f', o_totalprice) as t, o_orderstatus as s from orders where o_custkey is not null"
 
 
-@query("table_entities", "select p_partkey as doc_id, 'Return_1Y' as mapped_field, p_size + 0.5 as value_num from part union all select p_partkey, 'Return_3Y', -(p_size + 0.25) from part")
-def table_entities(spark, sf_dir):
-    return tables.table_entities(_returns(spark, sf_dir)).select("doc_id", "mapped_field", "value_num")
+@query(
+    "pdf_tables",
+    f"""select o_custkey as doc_id, page, case when count(*) = 1 then null else 0 end as tbl, string_agg(k || '|' || t || '|' || s, ' ' order by o_orderkey) as rows, '0|1|2' as headers from ({_ORDER_LINES}) x group by 1, 2 having count(*) > 1""",
+)
+def pdf_tables(spark, sf_dir):
+    """The tables found in the page text: runs of at least two order lines."""
+    found = tables.text_tables(_order_pages(spark, sf_dir))
+    return found.select("doc_id", "page", "tbl", F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), " ").alias("rows"), F.array_join("headers", "|").alias("headers"))
 
 
-@query("table_holdings")
-def table_holdings(spark, sf_dir):
-    rows = F.array(F.array(F.lit("1"), F.col("p_name"), F.lit("ABCD"), F.lit("Technology"), F.col("p_size").cast("string")))
-    return tables.holdings(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("tbl"), F.lit("Top Holdings").alias("title"), rows.alias("rows")))
+@query(
+    "page_concat",
+    f"""select doc_id, count(*) as n_pages, string_agg(text, chr(10) || chr(10) order by page) as text, cast(sum(words) as bigint) as word_count from (
+          select o_custkey as doc_id, page, 'Orders of a customer' || chr(10) || 'Order   Total   Status' || chr(10) || string_agg(k || '   ' || t || '   ' || s, chr(10) order by o_orderkey) as text, 7 + 3 * count(*) as words from ({_ORDER_LINES}) x group by 1, 2) y group by 1""",
+)
+def page_concat(spark, sf_dir):
+    return html.concat_pages(_order_pages(spark, sf_dir)).withColumn("n_pages", F.col("n_pages").cast("long"))
 
 
 @query("text_features")
@@ -322,35 +583,98 @@ def confidence_boost(spark, sf_dir):
     return features.boost(extract.text_entities(docs, {"nav", "isin"}), features.text_features(docs)).select("doc_id", "seq", "entity_type", "confidence")
 
 
-@query("provenance_rollup", "select user_id as job, count(*) as n_steps, sum(cast(event_id % 100 as bigint)) as total_duration_ms, sum(case when event_type = 'purchase' then event_id % 7 else 0 end) as entities from events group by 1")
-def provenance_rollup(spark, sf_dir):
-    out = export.provenance_rollup(_jobs(spark, sf_dir))
-    return out.select("job", "n_steps", "total_duration_ms", "entities")
+#: Operations by which an event's kind is shown in a job of events.
+_OPERATIONS = ["web_capture", "entity_extraction", "normalization", "schema_mapping"]
 
 
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as steps of a job per user."""
+    kind = F.get(F.array(*map(F.lit, _OPERATIONS)), F.pmod("event_id", F.lit(4)).cast("int"))
     return read(spark, sf_dir, "events").select(
-        F.col("user_id").alias("job"), F.col("event_id").alias("id"), "ts", F.col("event_type").alias("operation"), (F.col("event_id") % 100).alias("duration_ms"), (F.col("event_id") % 7).alias("records_out")
-    )
+        F.col("user_id").alias("job"), F.col("event_id").alias("id"), "ts", kind.alias("operation"), (F.col("event_id") % 100).alias("duration_ms"), (F.col("event_id") % 7).alias("records_out"),
+        F.concat_ws("|", "event_type", "event_id").alias("content"),
+    )
 
 
-SQL["provenance_rollup"] = "select user_id as job, count(*) as n_steps, cast(sum(event_id % 100) as bigint) as total_duration_ms, cast(sum(case when event_type = 'purchase' then event_id % 7 else 0 end) as bigint) as entities from events group by 1"
+_JOBS = f"select user_id as job, event_id as id, ts, {listed(_OPERATIONS)}[event_id % 4 + 1] as operation, event_id % 100 as duration_ms, event_id % 7 as records_out, concat_ws('|', event_type, event_id) as content from events"
 
 
-@query(
-    "provenance_steps",
-    """select job, cast(step_number as integer) as step_number, id, operation, lag(output_hash) over w as input_hash, output_hash from
-       (select user_id as job, row_number() over (partition by user_id order by ts, event_id) as step_number, event_id as id, event_type as operation, ts, sha256(concat_ws('|', user_id, event_id)) as output_hash from events) x
-       window w as (partition by job order by step_number)""",
-)
+@query("provenance_rollup", f"select job, count(*) as n_steps, cast(sum(duration_ms) as bigint) as total_duration_ms, cast(coalesce(sum(records_out) filter (where operation = 'entity_extraction'), 0) as bigint) as entities from ({_JOBS}) j group by 1")
+def provenance_rollup(spark, sf_dir):
+    return export.provenance_rollup(_jobs(spark, sf_dir))
+
+
+@query("provenance_steps", f"select job, cast(row_number() over w as integer) as step_number, id, operation, lag(sha256(content)) over w as input_hash, sha256(content) as output_hash from ({_JOBS}) j window w as (partition by job order by ts, id)")
 def provenance_steps(spark, sf_dir):
     return export.provenance_steps(_jobs(spark, sf_dir))
 
 
+_COUNT_LIST = ", ".join(f"case when len(regexp_extract_all(text, {quoted(PATTERN[k])}, 1)) > 0 then '{k}:' || len(regexp_extract_all(text, {quoted(PATTERN[k])}, 1)) end" for k in sorted(_COUNTED))
+_SUM = " + ".join(f"len(regexp_extract_all(text, {quoted(PATTERN[k])}, 1))" for k in _COUNTED)
+
+
+@query(
+    "provenance_trails",
+    f"""select doc_id, concat('MSDP_20250101_000000_', left(md5(concat('sheet ', doc_id, '_20250101_000000')), 8)) as job_id, sha256(text) as source_hash, sha256(concat_ws(',', {_COUNT_LIST})) as extraction_hash,
+          cast({_SUM} as bigint) as total_entities, 4 as n_steps, cast(10 + 2 * ({_SUM}) as bigint) as total_duration_ms from ({DUCKDB}) d""",
+)
+def provenance_trails(spark, sf_dir):
+    """A job per fact sheet: capture, extraction, normalization and mapping, as JSON read back."""
+    docs = fund_docs(spark, sf_dir).withColumn("source_hash", F.sha2("text", 256))
+    started = docs.select("doc_id", F.concat(F.lit("sheet "), F.col("doc_id").cast("string")).alias("source"), "source_hash", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("started"))
+    found = extract.text_entities(docs, set(_COUNTED))
+    counts = found.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    said = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "entity_type", "n"))), ",")
+    told = docs.select("doc_id", "source_hash").join(counts.groupBy("doc_id").agg(said.alias("said"), F.sum("n").alias("n")), "doc_id", "left").select("doc_id", "source_hash", F.coalesce("said", F.lit("")).alias("said"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    none = F.lit(0).cast("long")
+    step = lambda k, name, given, made, n_in, n_out, ms: F.struct(F.lit(k).alias("step_number"), F.lit(name).alias("operation"), given.alias("input_hash"), made.alias("output_hash"), n_in.alias("records_in"), n_out.alias("records_out"), ms.cast("long").alias("duration_ms"))
+    n, one, blank, source = F.col("n"), F.lit(1).cast("long"), F.lit(""), F.col("source_hash")
+    steps = told.select("doc_id", F.explode(F.array(
+        step(1, "web_capture", blank, source, none, one, F.lit(10)), step(2, "entity_extraction", source, F.sha2("said", 256), one, n, n),
+        step(3, "normalization", blank, blank, n, one, n), step(4, "schema_mapping", blank, blank, one, one, none),
+    )).alias("s")).select("doc_id", "s.*")
+    jobs = export.start_jobs(started).select("doc_id", "job_id", "created_at", "source", "source_hash", F.lit(50.0).alias("quality_score"), one.alias("n_records"))
+    trail = export.trails(jobs, steps)
+    of = lambda path: F.get_json_object("trail", path)
+    return trail.select(
+        "doc_id", of("$.job_id").alias("job_id"), of("$.source_hash").alias("source_hash"), of("$.steps[1].output_hash").alias("extraction_hash"), of("$.total_entities").cast("long").alias("total_entities"),
+        F.json_array_length(of("$.steps")).alias("n_steps"), of("$.total_duration_ms").cast("long").alias("total_duration_ms"),
+    )
+
+
+@query(
+    "pipeline_state",
+    f"""select id, case operation when 'web_capture' then 'capture' when 'entity_extraction' then 'extract' when 'normalization' then 'normal' else 'map' end as icon,
+          case when bool_or(operation = 'schema_mapping') over w then 3 when bool_or(operation = 'normalization') over w then 2 when bool_or(operation = 'web_capture') over w then 1 else 0 end as step
+        from ({_JOBS}) j window w as (partition by job order by ts, id rows unbounded preceding)""",
+)
+def pipeline_state(spark, sf_dir):
+    """How far a job has come at each of its steps, and the sign that a step is shown with."""
+    upto = Window.partitionBy("job").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = lambda name: F.bool_or(F.col("operation") == name).over(upto)
+    icon = F.lit("map")
+    for word, shown in reversed((("capture", "capture"), ("pdf", "pdf"), ("extract", "extract"), ("normal", "normal"))):
+        icon = F.when(F.contains("operation", F.lit(word)), shown).otherwise(icon)
+    step = F.when(seen("schema_mapping"), 3).when(seen("normalization"), 2).when(seen("web_capture"), 1).otherwise(0)
+    return _jobs(spark, sf_dir).select("id", icon.alias("icon"), step.alias("step"))
+
+
+@query(
+    "performance_summary",
+    """select name, round_even(cpu, 2) as cpu_avg_ms, coalesce(round_even(npu, 2), 0) as npu_avg_ms, coalesce(case when npu > 0 then round_even(cpu / npu, 2) end, 0) as speedup, round_even(cr, 0) as cpu_tokens_sec, coalesce(round_even(nr, 0), 0) as npu_tokens_sec, npu is not null as npu_available
+       from (select event_type as name, max(event_id % 1000 + 0.25::double) filter (where event_id % 3 = 0) as cpu, max(event_id % 100 + 0.5::double) filter (where event_id % 3 = 1 and event_type <> 'click') as npu,
+               max(event_id % 77 + 0.25::double) filter (where event_id % 3 = 0) as cr, max(event_id % 777 + 0.25::double) filter (where event_id % 3 = 1 and event_type <> 'click') as nr from events group by 1) x where cpu is not null""",
+)
+def performance_summary(spark, sf_dir):
+    at, cpu = F.col("event_id"), F.col("event_id") % 3 == 0
+    runs = read(spark, sf_dir, "events").where("event_id % 3 < 2 and (event_id % 3 = 0 or event_type <> 'click')")
+    return features.performance_summary(runs.select(
+        F.col("event_type").alias("name"), F.when(cpu, "cpu").otherwise("npu").alias("device"), F.when(cpu, at % 1000 + 0.25).otherwise(at % 100 + 0.5).alias("avg_ms"), F.when(cpu, at % 77 + 0.25).otherwise(at % 777 + 0.25).alias("tokens_per_sec")
+    ))
+
+
 @query("inference_counter", "select event_id, user_id, 12 + count(*) over (partition by user_id order by ts, event_id rows unbounded preceding) as counter from events")
 def inference_counter(spark, sf_dir):
-    from pyspark.sql import Window
-
     order = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return read(spark, sf_dir, "events").select("event_id", "user_id", (F.count("*").over(order) + 12).alias("counter"))
 
@@ -361,7 +685,7 @@ def savings_projection(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(n.alias("n"), F.round(n * (F.lit(0.0035) - F.lit(0.000005)), 6).alias("kwh"), F.round(n * F.lit(0.006), 6).alias("usd"))
 
 
-@query("quality_band", f"select doc_id, case when q >= 70 then 'high' when q >= 40 then 'medium' else 'low' end as band from (select doc_id, round(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as q from ({_RECORDS}) r) x")
+@query("quality_band", f"select doc_id, case when q >= 70 then 'high' when q >= 40 then 'medium' else 'low' end as band from (select doc_id, round_even(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as q from ({_RECORDS}) r) x")
 def quality_band(spark, sf_dir):
     q = F.col("quality_score")
     return normalize.quality(records(spark, sf_dir)).select("doc_id", F.when(q >= 70, "high").when(q >= 40, "medium").otherwise("low").alias("band"))

@@ -23,12 +23,12 @@ class _Node:
     def __init__(self, tag: str, attrs: dict, parent: _Node | None) -> None:
         self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
 
-    def walk(self):
-        """This node's elements in document order, without recursion: markup may be nested deeply."""
+    def walk(self, skip: frozenset | set = frozenset()):
+        """This node's elements in document order, without those of the tags to skip and what is in them; no recursion: markup may be nested deeply."""
         stack = list(reversed(self.children))
         while stack:
             x = stack.pop()
-            if isinstance(x, _Node):
+            if isinstance(x, _Node) and x.tag not in skip:
                 yield x
                 stack.extend(reversed(x.children))
 
@@ -105,7 +105,7 @@ def parse(html: str, url: str) -> dict:
     tree.close()
     root = tree.root
     title = root.first("title")
-    shown = [n for n in root.walk() if not _hidden(n)]
+    shown = list(root.walk(HIDDEN))
     links = []
     for a in (n for n in root.walk() if n.tag == "a" and "href" in n.attrs):
         href, text = a.attrs["href"], a.text()
@@ -130,14 +130,6 @@ def parse(html: str, url: str) -> dict:
     }
 
 
-def _hidden(node: _Node) -> bool:
-    while node is not None:
-        if node.tag in HIDDEN:
-            return True
-        node = node.parent
-    return False
-
-
 def _frames(html: pd.Series, url: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([parse(h or "", u or "") for h, u in zip(html, url, strict=True)], columns=["title", "lines", "tables", "links", "meta"])
 
@@ -149,3 +141,11 @@ def parse_pages(pages: DataFrame) -> DataFrame:
     text = F.array_join(F.array_distinct("d.lines"), "\n")
     words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
     return parsed.select("page_id", "url", "d.title", text.alias("text"), words.cast("long").alias("word_count"), "d.tables", "d.links", "d.meta", "content_hash")
+
+
+def concat_pages(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, text) -> (doc_id, n_pages, text, word_count): a document's pages in order with an empty line between them."""
+    held = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))).alias("x"))
+    text = F.array_join(F.transform("x", lambda p: p["text"]), "\n\n")
+    words = F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+    return held.select("doc_id", F.size("x").alias("n_pages"), text.alias("text"), words.cast("long").alias("word_count"))
