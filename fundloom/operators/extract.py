@@ -19,25 +19,25 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("double")
 
 
-def places(text: Column, pattern: str, groups: list[int]) -> Column:
-    """Matches with their offsets in characters: array of (m, g1, g2, start, end), from the gaps that splitting leaves.
+def words_array(words: list[str] | tuple[str, ...]) -> Column:
+    """An array of words, by one expression rather than one for each of them."""
+    return F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
 
-    The matches, gaps and groups of a text are found once and bound; lengths are added up in one pass over them.
-    """
-    p = F.lit(pattern)
-    found = F.struct(F.regexp_extract_all(text, p, F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap"), *[F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{k + 1}") for k, g in enumerate(groups)])
-
-    def rows(all_: Column) -> Column:
-        lengths = F.zip_with(F.slice(all_["gap"], F.lit(1), F.size(all_["m"])), all_["m"], lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("m")))
-        ends = F.aggregate(lengths, F.array(F.lit(0)), lambda at, x: F.concat(at, F.array(F.element_at(at, -1) + x["gap"] + x["m"])))
 
-        def row(bound: Column) -> Column:
-            groups_of = lambda i: [F.get(all_[f"g{k + 1}"], i).alias(f"g{k + 1}") for k in range(len(groups))]
-            return F.transform(all_["m"], lambda m, i: F.struct(m.alias("m"), *groups_of(i), (F.get(bound, i + 1) - F.length(m)).alias("start"), F.get(bound, i + 1).alias("end")))
+def places(pattern: str, groups: list[int]) -> Column:
+    """Matches in the column text with their offsets in characters: array of (m, g1, g2, start, end), from the gaps that splitting leaves.
 
-        return F.transform(F.array(ends), row)[0]
-
-    return F.transform(F.array(found), rows)[0]
+    The matches, gaps and groups of a text are found once and bound; lengths are added up in one pass over them. It is
+    written in SQL, as one expression: a call for each of its parts would take longer than the matching of small tables.
+    """
+    p = f'r"{pattern}"'
+    names = [f"g{k + 1}" for k in range(len(groups))]
+    found = ", ".join(f"regexp_extract_all(text, {p}, {g}) as {n}" for n, g in zip(names, groups, strict=True))
+    own = "".join(f"get(a.{n}, i) as {n}, " for n in names)
+    return F.expr(f"""
+        transform(array(struct(regexp_extract_all(text, {p}, 0) as m, split(text, {p}, -1) as gap, {found})), a ->
+          transform(array(aggregate(zip_with(slice(a.gap, 1, size(a.m)), a.m, (g, m) -> length(g) + length(m)), array(0), (ends, n) -> concat(ends, array(element_at(ends, -1) + n)))), ends ->
+            transform(a.m, (m, i) -> struct(m as m, {own}get(ends, i + 1) - length(m) as start, get(ends, i + 1) as end)))[0])[0]""")
 
 
 def _entity(text: Column, kind: str, field: str, category: str, confidence: float, before: int, after: int, value: Column, shown: Column, num: Column, start: Column, end: Column) -> Column:
@@ -69,15 +69,15 @@ def pattern_entities(text: Column, kind: str, field: str, category: str, confide
         elif kind == "currency":
             shown = F.upper(g)
         elif kind == "category":
-            known = F.array(*map(F.lit, CATEGORIES))
+            known = words_array(CATEGORIES)
             trimmed = F.trim(g)
             shown = F.get(F.filter(known, lambda c: F.contains(F.lower(trimmed), F.lower(c)) | F.contains(F.lower(c), F.lower(trimmed))), 0)
             value = trimmed
         return _entity(text, kind, field, category, confidence, before, after, value, shown, num, m["start"], m["end"])
 
-    found = places(text, pattern, [1, 2] if two else [1])
+    found = places(pattern, [1, 2] if two else [1])
     if kind == "ticker" and pattern.startswith(r"\("):
-        found = F.filter(found, lambda m: ~m["g1"].isin(NOT_TICKERS))
+        found = F.filter(found, lambda m: ~F.array_contains(words_array(NOT_TICKERS), m["g1"]))
     if kind == "star_rating":
         found = F.filter(found, lambda m: m["g2"] != "")  # numerals give no entity, only stars do
     out = F.transform(found, build)
@@ -86,7 +86,7 @@ def pattern_entities(text: Column, kind: str, field: str, category: str, confide
 
 def fund_names(text: Column) -> Column:
     """Names in linear time: runs of name characters from a line's start, up to the last name word, and the capitalised words behind it."""
-    runs = places(text, r"(?dm)(?:^|\n)([A-Z][A-Za-z\s&.']++)", [1])
+    runs = places(r"(?dm)(?:^|\n)([A-Z][A-Za-z\s&.']++)", [1])
 
     def cut(m: Column) -> Column:
         upto = F.regexp_extract(m["g1"], f"(?s)^([A-Z].+(?:{NAME_WORDS}))", 1)
@@ -102,13 +102,13 @@ def word_entities(text: Column) -> Column:
     low = F.lower(text)
 
     def lists(words: list[str], kind: str, field: str, category: str, confidence: float, before: int) -> Column:
-        held = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, F.lower(w)))
+        held = F.filter(words_array(words), lambda w: F.contains(low, F.lower(w)))
         at = lambda w: F.instr(low, F.lower(w)) - 1
         return F.transform(held, lambda w: _entity(text, kind, field, category, confidence, before, before, w, w, F.lit(None), at(w), at(w) + F.length(w)))
 
     classes = []
     for name, words in ASSET_CLASSES.items():
-        held = F.slice(F.filter(F.array(*map(F.lit, words)), lambda w: F.contains(low, w)), 1, 1)
+        held = F.slice(F.filter(words_array(words), lambda w: F.contains(low, w)), 1, 1)
         classes.append(_class(text, low, held, name))
     return F.concat(
         lists(CATEGORIES, "category", "CategoryName", "classification", 0.85, 20), lists(FAMILIES, "fund_family", "FundFamily", "descriptive", 0.92, 10), *classes
@@ -131,7 +131,7 @@ def text_entities(docs: DataFrame, kinds: set[str] | None = None) -> DataFrame:
             found = fund_names(text) if kind == "fund_name" else pattern_entities(text, kind, field, category, confidence, before, after, pattern)
             # Patterns that need a certain word are tried only where it occurs.
             words = TRIGGERS.get(kind, ())
-            held = F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(text), w)) if words else F.lit(True)
+            held = F.exists(words_array(words), lambda w: F.contains(F.lower(text), w)) if words else F.lit(True)
             arrays.append(F.when(held, found.cast(ENTITY)).otherwise(F.array().cast(ENTITY)))
     if kinds is None or kinds & {"fund_family", "asset_class"}:
         arrays.append(word_entities(text))
