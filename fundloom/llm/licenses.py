@@ -9,6 +9,7 @@ one pass without a shuffle.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -163,9 +164,10 @@ class Index:
         # Of overlapping matches the one with most matched words stays.
         kept: list[tuple[str, int, int, int, float]] = []
         for m in sorted((m for m in found if m and m[4] >= coverage), key=lambda m: (-m[3], -m[4], m[1], m[0])):
-            if all(m[2] <= x[1] or x[2] <= m[1] for x in kept):
-                kept.append(m)
-        return sorted(kept, key=lambda m: (m[1], m[0]))
+            at = bisect.bisect_left(kept, m[1], key=lambda x: x[1])  # kept ones lie apart, in order: only its neighbours can overlap it
+            if (at == 0 or kept[at - 1][2] <= m[1]) and (at == len(kept) or m[2] <= kept[at][1]):
+                kept.insert(at, m)
+        return kept
 
     def _align(self, name: str, own: list[bytes], words: list[bytes], low: int, high: int) -> tuple[str, int, int, int, float] | None:
         """The template against the words on diagonals low to high: match 2, else -1; the text's ends are free."""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 32 << 20
 
 _own_folders: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -30,10 +31,23 @@ def scratch_dir(spark: SparkSession) -> str:
 def saved(df: DataFrame, name: str) -> str:
     """Writes df as a table in the shared folder; its path."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return path
 
 
+def clear_scratch(spark: SparkSession) -> int:
+    """Deletes the tables that the operators of this application have left in the shared folder, and says how many.
+
+    To be called when their results have been written elsewhere: a result that is still to be computed reads them.
+    """
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return len(paths)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(saved(df, name))

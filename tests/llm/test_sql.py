@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from fundloom.llm import shared
 from fundloom.llm.queries import QUERIES, SQL
 from tests.test_queries import TABLES, plain
 
@@ -16,3 +17,20 @@ def test_same_as_sql(spark, name, sf):
     df, want = QUERIES[name](spark, f"/root/testdata/sf{sf}"), con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert plain(df.collect(), df.columns) == plain(want.fetchall(), want.columns)
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = shared.saved(spark.range(3), "numbers")
+    assert spark.read.parquet(kept).count() == 3 and shared.clear_scratch(spark) > 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(kept)
+
+
+@pytest.mark.parametrize("size", [10, 10**9])
+def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch, size):
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", size)
+    narrow = shared.materialize(spark.range(50).selectExpr("id", "array(id, id) as xs", "cast(id as string) as s"), "narrow")
+    big = spark.range(100)
+    plan = shared.attach(big, narrow, ["id"])
+    assert plan.count() == 50
+    assert ("ResolvedHint (strategy=broadcast)" in plan._jdf.queryExecution().analyzed().toString()) == (size > 10)
