@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,25 @@ def schema_fields(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f[0], f[1], f[2], f[3]) for f in SCHEMA], "field string, data_type string, category string, required boolean")
 
 
+def load_schema(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """(field, data_type, category, required) of a schema file, JSON with a list of fields; the built-in schema without one or where it isn't found."""
+    if path is None:
+        return schema_fields(spark)
+    try:
+        listed = spark.read.option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return schema_fields(spark)
+    held = listed.select(F.explode("fields").alias("f"))
+    names = held.schema["f"].dataType.names
+
+    def of(name: str, default: object) -> Column:
+        return (F.coalesce(F.col(f"f.{name}"), F.lit(default)) if name in names else F.lit(default)).alias(name)
+
+    return held.select(F.col("f.field_name").alias("field"), of("data_type", "string"), of("category", "other"), of("required", False))
+
+
 def coverage(mappings: DataFrame) -> DataFrame:
     """(doc_id, mapped_fields, coverage_pct, n_errors, passed) per document."""
     return mappings.groupBy("doc_id").agg(F.count_distinct("target_field").alias("mapped_fields"), F.count_if(~F.col("is_valid")).alias("n_errors")).select(

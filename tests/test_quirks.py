@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fundloom.operators import extract, normalize, relational, tables
+from fundloom.operators import extract, mapping, normalize, relational, tables
 from fundloom.sources.html import parse
 
 
@@ -54,3 +54,27 @@ def test_links_and_tables_of_a_page():
     page = parse("<title> T </title><h2>Top Holdings</h2><table><tr><th>A<th></tr></table>" + "<a href='/x'>y</a>" * 60 + "<table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>", "http://h/p")
     assert page["title"] == "T" and len(page["links"]) == 50 and page["links"][0] == {"text": "y", "url": "http://h/x"}
     assert page["tables"][-1]["rows"][-1] == ["3", "None"]
+
+
+def test_schema_files(spark, tmp_path):
+    (tmp_path / "schema.json").write_text('{"fields": [{"field_name": "A", "data_type": "decimal", "required": true}, {"field_name": "B", "category": "fees"}]}')
+    got = {tuple(r) for r in mapping.load_schema(spark, str(tmp_path / "schema.json")).collect()}
+    assert got == {("A", "decimal", "other", True), ("B", "string", "fees", False)}
+    built_in = mapping.load_schema(spark).collect()
+    assert mapping.load_schema(spark, str(tmp_path / "none.json")).collect() == built_in and len(built_in) == 31
+
+
+def test_numbers_in_page_text(spark):
+    tokens = {"1,000": True, "nan": True, "inf": True, "1_000": True, "1__0": False, "1e5": True, "(3.5)": True, "$": False, "12d": False, ".5": True, "5.": True, "1.2.3": False, "": False, "Infinity": True}
+    df = spark.createDataFrame(list(tokens.items()), "t string, want boolean")
+    assert all(r.want == r.got for r in df.select("t", "want", tables.is_number(F.col("t")).alias("got")).collect())
+
+
+def test_missing_values_stay_missing(spark):
+    rows = [(1, 0, "nav", "NAV", "5.0", 5.0, 0.9, "rule_based"), (1, 1, "r", "Return_1Y", "3.25%", None, 0.9, "table_extraction"), (1, 2, "s", "StarRating", "★★", None, 0.9, "rule_based")]
+    found = spark.createDataFrame(rows, "doc_id long, seq long, entity_type string, mapped_field string, value_str string, value_num double, confidence double, method string")
+    (r,) = normalize.records(normalize.segment(found)).collect()
+    assert (r.NAV, r.Return_1Y, r.StarRating, r.BaseCurrency, r.SecId, r.ISIN) == (5.0, 3.25, 2, "USD", "F00000000", None)
+    assert r.methods == ["rule_based", "table_extraction"] and r.fields_present == ["SecId", "BaseCurrency", "NAV", "Return_1Y", "StarRating"]
+    (r,) = normalize.records(normalize.segment(found.where("entity_type = 'nav'"))).collect()
+    assert r.StarRating is None and r.entity_count == 1
