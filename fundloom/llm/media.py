@@ -102,12 +102,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "n_bytes", "payload_bytes", "media_id", "chunks"])
 
 
-def train(docs: DataFrame) -> bytes:
-    """A dictionary for the compression of chunks, from a bounded sample of docs (doc_id, text binary); empty where there is too little to learn from.
+def train(docs: DataFrame, n: int) -> bytes:
+    """A dictionary for the compression of chunks, from a random sample of about SAMPLE of n rows of docs (text binary), twice as many at most; empty where there is too little to learn from.
 
     It only makes the stored form smaller; what is read back doesn't depend on it.
     """
-    sample = docs.where("text is not null").select(F.xxhash64("text", "doc_id").alias("h"), F.substring("text", 1, SAMPLED_BYTES).alias("text")).orderBy("h", "text").limit(SAMPLE).collect()
+    drawn = docs.where("text is not null").where(F.rand(7) < SAMPLE / max(1, n))
+    sample = drawn.select(F.substring("text", 1, SAMPLED_BYTES).alias("text")).limit(2 * SAMPLE).collect()
     chunks = [part for r in sample for _, part in _chunks(bytes(r["text"]))]
     size = min(DICTIONARY, sum(map(len, chunks)) // 8)
     if size < 1024 or len(chunks) < 100:
@@ -198,7 +199,7 @@ class Store:
         at = F.struct("media_id", "nth")
         self.borrowed = materialize(attach(placed, self.shared, ["digest"]).where(at != F.col("owner")).select("media_id", "nth", "digest"), "borrowed")
         skip = self.borrowed.groupBy("media_id").agg(F.collect_set("nth").alias("skip"))
-        self.dictionary = dictionary = train(docs.select("doc_id", text.alias("text")))
+        self.dictionary = dictionary = train(docs.select(text.alias("text")), self.lists.count())
         materialize(spark.createDataFrame([(dictionary,)], "dictionary binary"), "dictionary")
         whole = docs.select(text).mapInArrow(lambda it: _whole(it, dictionary), "media_id binary, head binary, data array<binary>").dropDuplicates(["media_id"])
         kept = F.when(F.col("skip").isNull(), F.col("data")).otherwise(F.transform("data", lambda x, i: F.when(~F.array_contains("skip", i), x)))
