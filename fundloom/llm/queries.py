@@ -90,4 +90,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
-SQL: dict[str, str] = {"op5_mixing": mixing.SQL}
+#: Of payloads of 1,000 bytes or more that are equal, the largest page_id is the response.
+_OP4 = """
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+sized as (select page_id, cast(octet_length(payload) as bigint) as payload_bytes, sha1(payload) as payload_digest from p),
+marked as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest, payload_bytes) end as top from sized)
+select page_id, payload_bytes, payload_digest, case when top <> page_id then 'revisit' else 'response' end as record_type, case when top <> page_id then top end as refers_to from marked"""
+
+_ESCAPED = r"""regexp_replace(regexp_replace({}, '<(\\*/?s>)', '<\\\1', 'g'), '\[(\\*/?INST\])', '[\\\1', 'g')"""
+_OP6 = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, t, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(t, r)),
+told as (
+  select conv_id, count(*) as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text) as turns,
+    coalesce(string_agg(case when role = 'assistant' then text end, '' order by turn nulls last, role, text), '') as loss,
+    cast(sum(length('<s>[INST] ' || {_ESCAPED.format("role")} || ' [/INST]' || {_ESCAPED.format("text")} || '</s>')) as bigint) as formatted_chars
+  from said group by conv_id)
+select conv_id, n_turns, sha256(turns) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, formatted_chars from told"""
+
+#: A word goes if it is in a window of 50 words that also starts in a document with a smaller id.
+_OP8 = r"""
+with lists as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as l from documents),
+words as (select doc_id, unnest(l) as word, unnest(range(len(l))) as p from lists),
+windows as (
+  select doc_id, p, md5(string_agg(word, ' ') over f) as k, count(*) over f as n
+  from words window f as (partition by doc_id order by p rows between current row and 49 following)),
+first as (select k, min(doc_id) as first_id from windows where n = 50 group by k),
+gone as (select distinct doc_id, unnest(range(p, p + 50)) as p from windows join first using (k) where n = 50 and first_id < doc_id),
+left_over as (
+  select words.doc_id, count(gone.p) as n_removed, string_agg(word, ' ' order by words.p) filter (where gone.p is null) as kept
+  from words left join gone on gone.doc_id = words.doc_id and gone.p = words.p group by words.doc_id)
+select lists.doc_id, cast(len(l) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from lists left join left_over on left_over.doc_id = lists.doc_id"""
+
+SQL: dict[str, str] = {"op4_warc": _OP4, "op5_mixing": mixing.SQL, "op6_chat": _OP6, "op8_substring": _OP8}
