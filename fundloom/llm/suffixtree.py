@@ -13,7 +13,11 @@ Counting and scoring walk an automaton of the candidates: the longest candidate
 one before and the byte. Since no state needs more than DEPTH bytes, a stretch of texts is cut into columns that are
 walked side by side, each from DEPTH bytes before its beginning.
 
-The words' counts, for the base scores, are a table of the whole vocabulary. Words of at least SHARE of all tokens,
+A token, a word with its blank or the end, has the mean of two probabilities: the product of its bytes' and that of its
+count, with one added, among all tokens. To the counts all words that training lacks are one event, to which the tree
+adds the spelling of the one at hand, so the sum over all events is one at most.
+
+The words' counts are a table of the whole vocabulary. Words of at least SHARE of all tokens,
 which are 1 / SHARE at most, are looked up in the tasks; all others are joined.
 """
 
@@ -208,12 +212,14 @@ class Tree:
     row: np.ndarray
     logs: np.ndarray
 
-    def scores(self, text: bytes, parts: list[bytes]) -> np.ndarray:
-        """Log10 probability of each of the texts that the stretch is made of."""
+    def token_logs(self, text: bytes) -> np.ndarray:
+        """Log10 probability of each token of a stretch of texts: the sum over its bytes."""
         width = self.known.width()
         places = walk(text, self.known.codes(), _flat(self.known), width)
         found = self.logs[self.row[places // width], places % width].astype(np.float64)
-        return np.add.reduceat(found, np.cumsum([0, *[len(p) for p in parts[:-1]]]))
+        raw = np.frombuffer(text, np.uint8)
+        ends = np.flatnonzero((raw == BLANK) | (raw == END))
+        return np.add.reduceat(found, np.concatenate(([0], ends[:-1] + 1)))
 
 
 def tree(texts: DataFrame, pairs: np.ndarray, depth: int = DEPTH, share: float = SHARE, nats: float = NATS) -> Tree:
@@ -264,7 +270,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, nats:
 
     Documents whose crc32 of the id, as text, leaves 2 when divided by 7 are held out, all others are learnt from; a row
     without doc_id has the empty text as its id and is learnt from. A null or empty text is its end alone. Repeated rows
-    count each. Where nothing is learnt, all bytes are alike and each token has the probability 1. An empty table gives
+    count each. Where nothing is learnt, all bytes are alike and each token's base probability is 1. An empty table gives
     an empty result. Other columns are ignored, whatever their names.
     """
     remainder = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7
@@ -276,7 +282,8 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, nats:
         pairs[divmod(r["pair"], 256)] = r["n"]
     vocabulary = counted.where("word is not null").select("word", "n")
     n_tokens, n_words = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    hot = {bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in vocabulary.where(F.col("n") >= share * n_tokens).collect()}  # 1 / share rows at most
+    total = float(n_tokens + n_words + 1)
+    hot = {bytes(r["word"]): (r["n"] + 1) / total for r in vocabulary.where(F.col("n") >= share * n_tokens).collect()}  # 1 / share rows at most
     model = tree(training, pairs, depth, share, nats)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,35 +296,31 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, share: float = SHARE, nats:
                     size, at = 0, k + 1
 
     def scored(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts, tokens, known, logs, rare, times, ends = [], [], [], [], [], [], [0]
-        for text in batch.column(1):
-            words = words_of(text.as_py())
-            parts.append(letters(words))
-            tokens.append(len(words) + 1)
-            seen, found = 0, 0.0
-            for word, n in [*Counter(words).items(), (b"\n", 1)]:
-                own = hot.get(word)
-                if own is None:
-                    rare.append(word)
-                    times.append(n)
-                else:
-                    seen += n
-                    found += n * own
-            known.append(seen)
-            logs.append(found)
-            ends.append(len(rare))
-        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int64())], ["word", "times"]))
-        columns = [batch.column(2), batch.column(3), batch.column(4), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(model.scores(b"".join(parts), parts), pa.float64()), words]
-        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"])
-
-    shape = "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<struct<word binary, times long>>"
+        """The tokens' sums by text, as far as they are known here, and the rare words with what the tree says of them."""
+        texts = [words_of(t.as_py()) for t in batch.column(1)]
+        tokens = [t for words in texts for t in (*words, b"\n")]
+        sizes = np.array([len(words) + 1 for words in texts])
+        starts = np.cumsum(sizes) - sizes
+        by_tree, by_count = model.token_logs(b"".join(map(letters, texts))), np.array([hot.get(t, 0.0) for t in tokens])
+        known = by_count > 0
+        base, both = np.zeros(len(tokens)), np.zeros(len(tokens))
+        base[known] = np.log10(by_count[known])
+        both[known] = np.log10((by_count[known] + 10.0 ** by_tree[known]) / 2)
+        rare = np.flatnonzero(~known)
+        offsets = np.searchsorted(rare, np.append(starts, len(tokens)))
+        words = pa.StructArray.from_arrays([pa.array([tokens[k] for k in rare], pa.binary()), pa.array(by_tree[rare].astype(np.float32))], ["word", "tree"])
+        sums = [pa.array(np.add.reduceat(x, starts)) for x in (known.astype(np.int64), base, both)]
+        columns = [batch.column(2), batch.column(3), batch.column(4), pa.array(sizes), *sums, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "both", "rare"])
+
+    shape = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, both double, rare array<struct<word binary, tree float>>"
     texts = rows.select(F.octet_length("text").alias("size"), "text", F.monotonically_increasing_id().alias("row"), "doc_id", "held_out")
     out = materialize(texts.mapInArrow(score, shape), "scores")
     # The number of a row is written with it, so that it stays the same whatever is computed anew.
-    asked = out.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.times")
-    met = asked.join(small(vocabulary), "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rest"))
-    total = n_tokens + n_words + 1
+    asked = out.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.tree").join(small(vocabulary), "word", "left")
+    by_count = (F.coalesce("n", F.lit(0)) + 1) / F.lit(total)
+    met = asked.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10(by_count)).alias("rest"), F.sum(F.log10((by_count + F.pow(F.lit(10.0), F.col("tree").cast("double"))) / 2)).alias("mixed"))
+    of = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     return out.drop("rare").join(met, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("logs") + F.coalesce("rest", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total)))).alias("base_score"), "score",
-    )
+        "doc_id", "held_out", "n_tokens", of("known", "more").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), of("base", "rest").alias("base_score"), of("both", "mixed").alias("score")
+    )
