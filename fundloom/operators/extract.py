@@ -1,17 +1,38 @@
-"""Entities from text: patterns, names and word lists, as arrays in one projection, exploded once.
+"""Entities from text: places of patterns, names and listed words, found in one pass over each text, and their values.
 
-The order of the arrays is the order in which entities count (`seq`), on which later steps depend.
+The finding is a small helper in Arrow batches: it gives each place with its offsets, groups and surroundings, so that
+no text goes further and the work is linear in text and matches. What a place means, its value and number, is made of
+columns, a row per place. The order of finding is the order in which entities count (`seq`), on which later steps depend.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import ASSET_CLASSES, CATEGORIES, FAMILIES, METHOD, NAME_WORDS, NOT_TICKERS, NUMERIC, PATTERNS, TRIGGERS
 from fundloom.operators.tables import table_entities
 
-ENTITY = "array<struct<entity_type:string,mapped_field:string,category:string,confidence:double,value:string,value_str:string,value_num:double,source_text:string,start:int,end:int>>"
+#: Places that are passed on at once.
+PLACES = 20_000
+#: A run of name characters from a line's start, the part of it up to the last name word, and the capitalised words behind that.
+_RUN = re.compile(r"(?:^|\n)([A-Z][A-Za-z\s&.']++)", re.ASCII | re.MULTILINE)
+_UPTO = re.compile(rf"[A-Z].+(?:{NAME_WORDS})", re.ASCII | re.DOTALL)
+_MORE = re.compile(r"(?:\s++[A-Z][a-z]++)*+", re.ASCII)
+
+#: Fixed values: (entity type, field, category, confidence, characters before and behind) of the words of a list.
+LISTS = {
+    "category": ("category", "CategoryName", "classification", 0.85, 20, 20),
+    "fund_family": ("fund_family", "FundFamily", "descriptive", 0.92, 10, 10),
+    "asset_class": ("asset_class", "GlobalAssetClassId", "classification", 0.75, 20, 20),
+}
+#: What a place is found by: each pattern, then each list.
+RULES = [p[:6] for p in PATTERNS] + list(LISTS.values())
+_LISTED = [[(w, w.lower()) for w in words] for words in (CATEGORIES, FAMILIES)]
 
 
 def number(text: Column) -> Column:
@@ -19,124 +40,107 @@ def number(text: Column) -> Column:
     return F.regexp_replace(text, ",", "").try_cast("double")
 
 
-def words_array(words: list[str] | tuple[str, ...]) -> Column:
-    """An array of words, by one expression rather than one for each of them."""
-    return F.expr("array(" + ", ".join("'" + w.replace("'", "\\'") + "'" for w in words) + ")")
-
-
-def places(pattern: str, groups: list[int]) -> Column:
-    """Matches in the column text with their offsets in characters: array of (m, g1, g2, start, end), from the gaps that splitting leaves.
-
-    The matches, gaps and groups of a text are found once and bound; lengths are added up in one pass over them. It is
-    written in SQL, as one expression: a call for each of its parts would take longer than the matching of small tables.
-    """
-    p = f'r"{pattern}"'
-    names = [f"g{k + 1}" for k in range(len(groups))]
-    found = ", ".join(f"regexp_extract_all(text, {p}, {g}) as {n}" for n, g in zip(names, groups, strict=True))
-    own = "".join(f"get(a.{n}, i) as {n}, " for n in names)
-    return F.expr(f"""
-        transform(array(struct(regexp_extract_all(text, {p}, 0) as m, split(text, {p}, -1) as gap, {found})), a ->
-          transform(array(aggregate(zip_with(slice(a.gap, 1, size(a.m)), a.m, (g, m) -> length(g) + length(m)), array(0), (ends, n) -> concat(ends, array(element_at(ends, -1) + n)))), ends ->
-            transform(a.m, (m, i) -> struct(m as m, {own}get(ends, i + 1) - length(m) as start, get(ends, i + 1) as end)))[0])[0]""")
-
-
-def _entity(text: Column, kind: str, field: str, category: str, confidence: float, before: int, after: int, value: Column, shown: Column, num: Column, start: Column, end: Column) -> Column:
-    begin = F.greatest(start - before, F.lit(0))
-    return F.struct(
-        F.lit(kind).alias("entity_type"), F.lit(field).alias("mapped_field"), F.lit(category).alias("category"), F.lit(confidence).alias("confidence"), value.alias("value"), shown.alias("value_str"),
-        num.cast("double").alias("value_num"), F.substring(text, begin + 1, end + after - begin).alias("source_text"), start.cast("int").alias("start"), end.cast("int").alias("end"),
-    )
+def _names(text: str) -> Iterator[tuple]:
+    for run in _RUN.finditer(text):
+        if upto := _UPTO.match(run[1]):
+            name = run[1][: _MORE.match(run[1], upto.end()).end()]
+            yield run.start(), run.start(1) + len(name), name, None
 
 
-def pattern_entities(text: Column, kind: str, field: str, category: str, confidence: float, before: int, after: int, pattern: str) -> Column:
-    """Entities of one pattern; a number that can't be read gives none."""
-    two = kind in ("total_assets", "star_rating")
-    none = F.lit(None)
-
-    def build(m: Column) -> Column:
-        g = m["g1"]
-        value, shown, num = g, g, none
-        if kind in NUMERIC:
-            num = number(g)
-            if kind == "total_assets":
-                num = F.when(F.upper(F.left(m["g2"], F.lit(1))) == "B", num * 1000).otherwise(num)
-                value = F.concat(F.lit("$"), g, F.lit(" "), m["g2"])
-            value = F.concat(F.lit("$"), g) if kind == "nav" else F.concat(g, F.lit("%")) if kind in ("expense_ratio", "yield") else value
-            shown = num.cast("string")
-        elif kind == "star_rating":
-            num, value = F.length(m["g2"]), m["g2"]
-            shown = num.cast("string")
-        elif kind == "currency":
-            shown = F.upper(g)
-        elif kind == "category":
-            known = words_array(CATEGORIES)
-            trimmed = F.trim(g)
-            shown = F.get(F.filter(known, lambda c: F.contains(F.lower(trimmed), F.lower(c)) | F.contains(F.lower(c), F.lower(trimmed))), 0)
-            value = trimmed
-        return _entity(text, kind, field, category, confidence, before, after, value, shown, num, m["start"], m["end"])
-
-    found = places(pattern, [1, 2] if two else [1])
-    if kind == "ticker" and pattern.startswith(r"\("):
-        found = F.filter(found, lambda m: ~F.array_contains(words_array(NOT_TICKERS), m["g1"]))
-    if kind == "star_rating":
-        found = F.filter(found, lambda m: m["g2"] != "")  # numerals give no entity, only stars do
-    out = F.transform(found, build)
-    return F.filter(out, lambda e: e["value_num"].isNotNull()) if kind in NUMERIC else F.filter(out, lambda e: e["value_str"].isNotNull())
-
-
-def fund_names(text: Column) -> Column:
-    """Names in linear time: runs of name characters from a line's start, up to the last name word, and the capitalised words behind it."""
-    runs = places(r"(?dm)(?:^|\n)([A-Z][A-Za-z\s&.']++)", [1])
-
-    def cut(m: Column) -> Column:
-        upto = F.regexp_extract(m["g1"], f"(?s)^([A-Z].+(?:{NAME_WORDS}))", 1)
-        rest = F.substring(m["g1"], F.length(upto) + 1, F.length(m["g1"]))
-        return F.struct(upto.alias("upto"), F.concat(upto, F.regexp_extract(rest, r"^((?:\s++[A-Z][a-z]++)*+)", 1)).alias("name"), m["start"].alias("start"), (m["start"] + F.length(m["m"]) - F.length(m["g1"])).alias("at"))
-
-    named = F.filter(F.transform(runs, cut), lambda m: (m["upto"] != "") & (F.length(F.trim(m["name"])) > 10))
-    return F.transform(named, lambda m: _entity(text, "fund_name", "LegalName", "descriptive", 0.85, 10, 10, F.trim(m["name"]), F.trim(m["name"]), F.lit(None), m["start"], m["at"] + F.length(m["name"])))
-
-
-def word_entities(text: Column) -> Column:
-    """Entities of the word lists: the first place of each word that the text holds."""
-    low = F.lower(text)
-
-    def lists(words: list[str], kind: str, field: str, category: str, confidence: float, before: int) -> Column:
-        held = F.filter(words_array(words), lambda w: F.contains(low, F.lower(w)))
-        at = lambda w: F.instr(low, F.lower(w)) - 1
-        return F.transform(held, lambda w: _entity(text, kind, field, category, confidence, before, before, w, w, F.lit(None), at(w), at(w) + F.length(w)))
-
-    classes = []
+def _words(text: str, low: str) -> Iterator[tuple]:
+    """(rule, start, end, word) of the listed words that the text holds, each at its first place; of a class the first of its words."""
+    first = len(PATTERNS)
+    for k, words in enumerate(_LISTED):
+        for word, own in words:
+            if (at := low.find(own)) >= 0:
+                yield first + k, at, at + len(word), word
     for name, words in ASSET_CLASSES.items():
-        held = F.slice(F.filter(words_array(words), lambda w: F.contains(low, w)), 1, 1)
-        classes.append(_class(text, low, held, name))
-    return F.concat(
-        lists(CATEGORIES, "category", "CategoryName", "classification", 0.85, 20), lists(FAMILIES, "fund_family", "FundFamily", "descriptive", 0.92, 10), *classes
-    )
-
-
-def _class(text: Column, low: Column, held: Column, name: str) -> Column:
-    return F.transform(
-        held,
-        lambda w: _entity(text, "asset_class", "GlobalAssetClassId", "classification", 0.75, 20, 20, F.lit(name), F.lit(name), F.lit(None), F.instr(low, w) - 1, F.instr(low, w) - 1 + F.length(w)),
-    )
+        for own in words:
+            if (at := low.find(own)) >= 0:
+                yield first + 2, at, at + len(own), name
+                break
+
+
+def finder(kinds: set[str] | None) -> list[tuple[int, re.Pattern | None, tuple[str, ...]]]:
+    """(rule, pattern, words of which a text must hold one) of the kinds; all by default. Names have no single pattern."""
+    return [(k, re.compile(p[-1], re.ASCII) if p[-1] else None, TRIGGERS.get(p[0], ())) for k, p in enumerate(PATTERNS) if kinds is None or p[0] in kinds]
+
+
+def places(text: str, rules: list[tuple[int, re.Pattern | None, tuple[str, ...]]], listed: bool) -> Iterator[tuple]:
+    """(rule, start, end, first group, second group) in the order in which entities count; offsets in characters."""
+    low = text.lower()
+    for k, pattern, words in rules:
+        if words and not any(w in low for w in words):
+            continue
+        if pattern is None:
+            yield from ((k, *found) for found in _names(text))
+            continue
+        second = pattern.groups > 1
+        for m in pattern.finditer(text):
+            yield k, m.start(), m.end(), m[1], m[2] if second else None
+    if listed:
+        # A letter whose lower-case form is longer moves what stands behind it: offsets are then those of the lowered text.
+        yield from ((*found, None) for found in _words(text, low))
+
+
+def find(docs: DataFrame, kinds: set[str] | None = None) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, seq, rule, start, end, g1, g2, source_text): a row per place."""
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    listed = kinds is None or bool(kinds & {"fund_family", "asset_class"})
+    shape = f"doc_id {id_type}, seq long, rule int, start int, end int, g1 string, g2 string, source_text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = finder(kinds)
+        columns: list[list] = [[] for _ in range(8)]
+
+        def told(own: pa.DataType) -> pa.RecordBatch:
+            types = (own, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "seq", "rule", "start", "end", "g1", "g2", "source_text"])
+
+        for batch in batches:
+            own = batch.column(0).type
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                for seq, (rule, start, end, g1, g2) in enumerate(places(text, rules, listed)):
+                    begin = max(0, start - RULES[rule][4])
+                    for column, value in zip(columns, (doc_id, seq, rule, start, end, g1, g2, text[begin : end + RULES[rule][5]]), strict=True):
+                        column.append(value)
+                    if len(columns[0]) >= PLACES:
+                        yield told(own)
+                        columns = [[] for _ in range(8)]
+            if columns[0]:
+                yield told(own)
+                columns = [[] for _ in range(8)]
+
+    return docs.where("text is not null").select("doc_id", "text").mapInArrow(run, shape)
+
+
+def _of_rule(k: int) -> Column:
+    """A rule's value by its number."""
+    return F.element_at(F.array(*[F.lit(r[k]) for r in RULES]), F.col("rule") + 1)
 
 
 def text_entities(docs: DataFrame, kinds: set[str] | None = None) -> DataFrame:
-    """docs (doc_id, text) -> a row per entity with seq; kinds: only these patterns."""
-    text = F.col("text")
-    arrays = []
-    for kind, field, category, confidence, before, after, pattern in PATTERNS:
-        if kinds is None or kind in kinds:
-            found = fund_names(text) if kind == "fund_name" else pattern_entities(text, kind, field, category, confidence, before, after, pattern)
-            # Patterns that need a certain word are tried only where it occurs.
-            words = TRIGGERS.get(kind, ())
-            held = F.exists(words_array(words), lambda w: F.contains(F.lower(text), w)) if words else F.lit(True)
-            arrays.append(F.when(held, found.cast(ENTITY)).otherwise(F.array().cast(ENTITY)))
-    if kinds is None or kinds & {"fund_family", "asset_class"}:
-        arrays.append(word_entities(text))
-    every = F.concat(*[a.cast(ENTITY) for a in arrays])
-    return docs.where("text is not null").select("doc_id", F.posexplode(every).alias("seq", "e")).select("doc_id", F.col("seq").cast("long").alias("seq"), "e.*", F.lit(METHOD).alias("method"))
+    """docs (doc_id, text) -> a row per entity with seq; kinds: only these patterns. Numbers that can't be read, words that are no tickers and ratings in numerals give none."""
+    found = find(docs, kinds).withColumn("entity_type", _of_rule(0))
+    kind, g1, g2, listed = F.col("entity_type"), F.col("g1"), F.col("g2"), F.col("rule") >= len(PATTERNS)
+    num = F.when(kind.isin(*NUMERIC), number(g1) * F.when((kind == "total_assets") & (F.upper(F.left(g2, F.lit(1))) == "B"), 1000.0).otherwise(1.0)).when(kind == "star_rating", F.length(g2).cast("double"))
+    known = F.array(*[F.lit(c) for c in CATEGORIES])
+    labelled = (kind == "category") & ~listed
+    label = F.trim(g1)
+    near = F.get(F.filter(known, lambda c: F.contains(F.lower(label), F.lower(c)) | F.contains(F.lower(c), F.lower(label))), 0)
+    shown = F.when(kind.isin(*NUMERIC), F.col("value_num").cast("string")).when(kind == "star_rating", F.length(g2).cast("string")).when(kind == "currency", F.upper(g1)).when(labelled, near).when(kind == "fund_name", F.trim(g1)).otherwise(g1)
+    value = (
+        F.when(kind == "total_assets", F.concat(F.lit("$"), g1, F.lit(" "), g2)).when(kind == "nav", F.concat(F.lit("$"), g1)).when(kind.isin("expense_ratio", "yield"), F.concat(g1, F.lit("%")))
+        .when(kind == "star_rating", g2).when(labelled, label).when(kind == "fund_name", F.trim(g1)).otherwise(g1)
+    )
+    found = found.withColumn("value_num", num).withColumn("value_str", shown)
+    kept = F.when(kind.isin(*NUMERIC), F.col("value_num").isNotNull()).when(kind == "star_rating", F.coalesce(g2 != "", F.lit(False))).when(kind == "fund_name", F.length(F.trim(g1)) > 10).otherwise(F.col("value_str").isNotNull())
+    in_brackets = F.col("rule") == next(k for k, p in enumerate(PATTERNS) if p[0] == "ticker")
+    kept = kept & ~(in_brackets & g1.isin(*NOT_TICKERS))
+    return found.where(kept).select(
+        "doc_id", "seq", "entity_type", _of_rule(1).alias("mapped_field"), _of_rule(2).alias("category"), _of_rule(3).cast("double").alias("confidence"), value.alias("value"), "value_str", "value_num", "source_text", "start", "end", F.lit(METHOD).alias("method")
+    )
 
 
 def all_entities(docs: DataFrame, tables: DataFrame) -> DataFrame:

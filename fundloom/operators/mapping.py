@@ -1,121 +1,171 @@
-"""Records to the target schema: long form with conversion and validation, coverage, summaries."""
+"""Records to a target schema: rules as rows, cells joined with them, converted and validated; coverage, errors, summaries.
+
+A schema is a table, one row per field, from a JSON file or built in. Records are unpivoted to cells, which meet their
+field's rule; so the plan is the same whatever the schema. What is wrong with a required field is an error, and only
+errors make a mapping fail; what is wrong with another field is a warning.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import ALLOWED, SCHEMA
 
-
 #: What is said of a value; {} is filled in.
 CUT, NO_MATCH, NOT_ALLOWED, TOO_SMALL, TOO_LARGE, NO_DATE, NO_NUMBER, MISSING = (
-    "Truncated to {} chars", "Does not match pattern {}", "Not in allowed values: {}", "Below minimum {}", "Above maximum {}", "Expected format YYYY-MM-DD", "Conversion error: not a number", "Required field '{}' is missing",
+    "Truncated to {} chars", "Does not match pattern {}", "Not in allowed values: {}", "Below minimum {}", "Above maximum {}", "Expected format YYYY-MM-DD", "Conversion error: not a number", "Required field missing",
 )
+#: The texts of errors.
+LACKS, FAILS = "Required field '{}' is missing", "Required field '{}': {}"
+DATE = "YYYY-MM-DD"
+#: Columns of records that are none of their fields.
+META = {"doc_id", "security_id", "entity_count", "methods", "avg_confidence", "fields_present", "quality_score"}
+RULES = "nth int, field string, display_name string, data_type string, category string, required boolean, max_length int, precision int, pattern string, format string, allowed array<string>, min_value double, max_value double"
+#: Places to which decimals can be rounded, at most.
+PLACES = 12
 
 
-def _convert(held: str, name: str, kind: str, longest: int | None, precision: int | None, pattern: str | None, least: int | None, most: int | None) -> tuple[Column, Column, Column]:
-    """The converted value as a string, whether it is valid, and what is said of it (null: nothing). held: the column's type."""
-    value, none = F.col(name), F.lit(None).cast("string")
-    if kind == "string":
-        text = value.cast("string")
-        cut = F.length(text) > (longest or 10**9)
-        bad = none
-        if name in ALLOWED:
-            bad = F.when(~text.isin(ALLOWED[name]), NOT_ALLOWED.format(ALLOWED[name]))
-        if pattern:
-            bad = F.coalesce(F.when(~text.rlike("(?d)" + pattern), NO_MATCH.format(pattern)), bad)
-        return F.when(cut, F.left(text, F.lit(longest or 0))).otherwise(text), cut | bad.isNull(), F.when(cut, CUT.format(longest)).otherwise(bad)
-    if kind in ("decimal", "integer"):
-        number = F.regexp_replace(value, "[,$%]", "").try_cast("double") if held == "string" else value.cast("double")
-        if kind == "integer":
-            number = (value.try_cast("double") if held == "string" else value).cast("int")
-        else:
-            number = F.when(number == 0, number).otherwise(F.bround(number, precision or 4))  # rounding would lose the sign of -0.0
-        bad = F.when(number.isNull() & value.isNotNull(), NO_NUMBER)
-        bad = F.coalesce(bad, F.when(number < least, TOO_SMALL.format(least)) if least is not None else none, F.when(number > most, TOO_LARGE.format(most)) if most is not None else none)
-        return F.coalesce(number.cast("string"), value.cast("string")), bad.isNull(), bad
-    if kind == "date":
-        bad = F.when(~value.cast("string").rlike("(?d)" + (pattern or "")), NO_DATE)
-        return value.cast("string"), bad.isNull(), bad
-    return (F.to_json(name) if held.startswith(("array", "map")) else value.cast("string")), F.lit(True), none
-
-
-def map_long(rows: DataFrame) -> DataFrame:
-    """A row per record and schema field that it has, and per required field that it lacks. Columns of the schema that rows lacks count as missing."""
-    held = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    confidence = F.coalesce("avg_confidence", F.lit(0.8)) if "avg_confidence" in held else F.lit(0.8)
-    rows = rows.select("*", *[F.lit(None).cast("string").alias(f[0]) for f in SCHEMA if f[0] not in held])
-    cells = []
-    for name, kind, category, required, longest, precision, pattern, least, most in SCHEMA:
-        value, valid, message = _convert(held.get(name, "string"), name, kind, longest, precision, pattern, least, most)
-        missing = F.col(name).isNull()
-        cells.append(
-            F.when(~missing | F.lit(required), F.struct(
-                F.lit(name).alias("target_field"), F.lit(category).alias("category"), F.lit(kind).alias("data_type"), value.alias("value"), (valid & ~missing).alias("is_valid"),
-                F.when(missing, MISSING.format(name)).otherwise(message).alias("message"), F.when(missing, 0.0).otherwise(confidence).alias("confidence"),
-            ))
-        )
-    return rows.select("doc_id", "security_id", F.explode(F.array_compact(F.array(*cells))).alias("m")).select("doc_id", "security_id", "m.*")
-
-
-def record_view(mappings: DataFrame, longest: int = 60) -> DataFrame:
-    """(doc_id, security_id, nth_category, category, target_field, value, is_valid): each record's mappings in the schema's order of categories, values cut."""
-    categories = list(dict.fromkeys(f[2] for f in SCHEMA))
-    place = F.array_position(F.array(*map(F.lit, categories)), F.col("category"))
-    shown = F.when(F.length("value") > longest, F.concat(F.left("value", F.lit(longest)), F.lit("..."))).otherwise(F.col("value"))
-    return mappings.select("doc_id", "security_id", place.cast("int").alias("nth_category"), "category", "target_field", shown.alias("value"), "is_valid")
-
-
-def first_errors(mappings: DataFrame, most: int = 5) -> DataFrame:
-    """(doc_id, errors): the first messages of a document's invalid fields, by record and the schema's order."""
-    place = F.array_position(F.array(*[F.lit(f[0]) for f in SCHEMA]), F.col("target_field"))
-    bad = mappings.where("not is_valid").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", place.alias("nth"), F.concat("target_field", F.lit(": "), "message").alias("said")))).alias("x"))
-    return bad.select("doc_id", F.transform(F.slice("x", 1, most), lambda e: e["said"]).alias("errors"))
+def parse_schema(spark: SparkSession, text: str) -> DataFrame:
+    """The rules of a schema, JSON with a list of fields; what a field doesn't say is as for the built-in one: a string, not required, of four places."""
+    rows = []
+    for nth, f in enumerate(json.loads(text).get("fields", [])):
+        number = lambda k, f=f: None if f.get(k) is None else float(f[k])
+        rows.append((
+            nth, f["field_name"], f.get("display_name", f["field_name"]), f.get("data_type", "string"), f.get("category", "other"), bool(f.get("required", False)), f.get("max_length"), f.get("precision", 4),
+            f.get("pattern"), f.get("format", DATE), f.get("allowed_values"), number("min_value"), number("max_value"),
+        ))
+    return spark.createDataFrame(rows, RULES)
 
 
-def schema_fields(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(f[0], f[1], f[2], f[3]) for f in SCHEMA], "field string, data_type string, category string, required boolean")
+def built_in(spark: SparkSession) -> DataFrame:
+    rows = [(nth, f, f, kind, category, required, longest, 4 if places is None else places, None if kind == "date" else pattern, DATE, ALLOWED.get(f), least, most) for nth, (f, kind, category, required, longest, places, pattern, least, most) in enumerate(SCHEMA)]
+    return spark.createDataFrame([(*r[:11], *(None if x is None else float(x) for x in r[11:])) for r in rows], RULES)
 
 
 def load_schema(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """(field, data_type, category, required) of a schema file, JSON with a list of fields; the built-in schema without one or where it isn't found."""
+    """The rules of a schema file; the built-in schema without one or where it isn't found."""
     if path is None:
-        return schema_fields(spark)
+        return built_in(spark)
     try:
-        listed = spark.read.option("multiLine", True).json(path)
+        return parse_schema(spark, spark.read.option("wholetext", True).text(path).first()["value"])
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return schema_fields(spark)
-    held = listed.select(F.explode("fields").alias("f"))
-    names = held.schema["f"].dataType.names
+        return built_in(spark)
+
+
+def cells(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """(doc_id, security_id, confidence, field, value): the fields that a record has, as strings, and those required that it lacks, without a value."""
+    held = {f.name: f.dataType.simpleString() for f in rows.schema.fields if f.name not in META}
+    shown = lambda n, t: F.to_json(n) if t.startswith(("array", "map", "struct")) else F.col(n).cast("string")
+    confidence = F.coalesce("avg_confidence", F.lit(0.8)) if "avg_confidence" in rows.columns else F.lit(0.8)
+    own = F.filter(F.array(*[F.struct(F.lit(n).alias("field"), shown(n, t).alias("value")) for n, t in held.items()]), lambda c: c["value"].isNotNull())
+    needed = rules.where("required").agg(F.collect_list("field").alias("needed"))  # one row, as long as the schema
+    there = rows.select("doc_id", "security_id", confidence.alias("confidence"), own.alias("own")).crossJoin(F.broadcast(needed))
+    lacking = F.transform(F.array_except("needed", F.transform("own", lambda c: c["field"])), lambda f: F.struct(f.alias("field"), F.lit(None).cast("string").alias("value")))
+    return there.select("doc_id", "security_id", "confidence", F.explode(F.concat("own", lacking)).alias("c")).select("doc_id", "security_id", "confidence", "c.*")
+
+
+def _said(text: str, *parts: Column) -> Column:
+    """The text with its {} filled in."""
+    pieces = text.split("{}")
+    return F.concat(*[x for k, p in enumerate(pieces) for x in ((F.lit(p), parts[k]) if k < len(parts) else (F.lit(p),))])
+
+
+def _bound(value: Column) -> Column:
+    """A bound as it is said: whole numbers without a point."""
+    return F.when(value == F.floor(value), F.floor(value).cast("string")).otherwise(value.cast("string"))
+
+
+def _checked(kind: Column, value: Column) -> tuple[Column, Column]:
+    """The converted value as a string, and what is wrong with it (null: nothing)."""
+    text = kind == "string"
+    longest, pattern = F.col("max_length"), F.col("pattern")
+    cut = text & (F.length(value) > longest)
+    number = F.regexp_replace(value, "[,$%]", "").try_cast("double")
+    rounded = F.lit(None).cast("double")
+    for places in range(PLACES + 1):
+        rounded = F.when(F.col("precision") == places, F.bround(number, places)).otherwise(rounded)
+    rounded = F.when(number == 0, number).otherwise(F.coalesce(rounded, number))  # rounding would lose the sign of -0.0
+    whole = value.try_cast("double").try_cast("int")
+    decimal, integer = kind == "decimal", kind == "integer"
+    num = F.when(decimal, rounded).when(integer, whole.cast("double"))
+    allowed = F.concat(F.lit("['"), F.array_join("allowed", "', '"), F.lit("']"))
+    wrong = (
+        F.when(cut, F.lit(None).cast("string"))
+        .when(text & pattern.isNotNull() & ~F.rlike(value, F.concat(F.lit("(?d)^(?:"), pattern, F.lit(")"))), _said(NO_MATCH, pattern))
+        .when(text & ~F.array_contains("allowed", value), _said(NOT_ALLOWED, allowed))
+        .when((decimal | integer) & num.isNull(), F.lit(NO_NUMBER))
+        .when(num < F.col("min_value"), _said(TOO_SMALL, _bound(F.col("min_value"))))
+        .when(num > F.col("max_value"), _said(TOO_LARGE, _bound(F.col("max_value"))))
+        .when((kind == "date") & (F.col("format") == DATE) & ~value.rlike(r"(?d)^\d{4}-\d{2}-\d{2}$"), F.lit(NO_DATE))
+    )
+    shown = F.when(cut, F.left(value, longest)).when(decimal, F.coalesce(rounded.cast("string"), value)).when(integer, F.coalesce(whole.cast("string"), value)).otherwise(value)
+    return shown, wrong
 
-    def of(name: str, default: object) -> Column:
-        return (F.coalesce(F.col(f"f.{name}"), F.lit(default)) if name in names else F.lit(default)).alias(name)
 
-    return held.select(F.col("f.field_name").alias("field"), of("data_type", "string"), of("category", "other"), of("required", False))
+def map_long(rows: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """(doc_id, security_id, nth, target_field, display_name, category, data_type, value, is_valid, message, error, warning, confidence): a row per record and field of the schema that it has, and per required field that it lacks.
 
+    error: what makes the mapping fail, of required fields only; warning: what is wrong with another field's value.
+    """
+    rules = built_in(rows.sparkSession) if schema is None else schema
+    met = cells(rows, rules).join(rules, "field")
+    value, wrong = _checked(F.col("data_type"), F.col("value"))
+    met = met.select("*", value.alias("shown"), wrong.alias("wrong"))
+    missing = F.col("value").isNull()
+    said = F.when(missing, MISSING).when(F.col("wrong").isNotNull(), F.col("wrong")).when((F.col("data_type") == "string") & (F.length("value") > F.col("max_length")), _said(CUT, F.col("max_length").cast("string")))
+    error = F.when(missing, _said(LACKS, F.col("field"))).when(F.col("required") & F.col("wrong").isNotNull(), _said(FAILS, F.col("field"), F.col("wrong")))
+    return met.select(
+        "doc_id", "security_id", "nth", F.col("field").alias("target_field"), "display_name", "category", "data_type", F.col("shown").alias("value"), (~missing & F.col("wrong").isNull()).alias("is_valid"),
+        said.alias("message"), error.alias("error"), F.when(~F.col("required"), F.col("wrong")).alias("warning"), F.when(missing, 0.0).otherwise(F.col("confidence")).alias("confidence"),
+    )
 
-def coverage(mappings: DataFrame) -> DataFrame:
-    """(doc_id, mapped_fields, coverage_pct, n_errors, passed) per document."""
-    return mappings.groupBy("doc_id").agg(F.count_distinct("target_field").alias("mapped_fields"), F.count_if(~F.col("is_valid")).alias("n_errors")).select(
-        "doc_id", "mapped_fields", F.bround(F.col("mapped_fields") / len(SCHEMA) * 100, 1).alias("coverage_pct"), "n_errors", (F.col("n_errors") == 0).alias("passed")
-    )
+
+def _categories(rules: DataFrame) -> DataFrame:
+    """(category, nth_category) in the order of the schema, from 1."""
+    first = rules.groupBy("category").agg(F.min("nth").alias("first"))
+    listed = first.agg(F.array_sort(F.collect_list(F.struct("first", "category"))).alias("x"))  # as long as the schema
+    return listed.select(F.posexplode("x").alias("k", "c")).select("c.category", (F.col("k") + 1).alias("nth_category"))
+
+
+def record_view(mappings: DataFrame, longest: int = 60, schema: DataFrame | None = None) -> DataFrame:
+    """(doc_id, security_id, nth_category, category, target_field, value, is_valid): each record's mappings in the schema's order of categories, values cut."""
+    rules = built_in(mappings.sparkSession) if schema is None else schema
+    shown = F.when(F.length("value") > longest, F.concat(F.left("value", F.lit(longest)), F.lit("..."))).otherwise(F.col("value"))
+    return mappings.join(_categories(rules), "category").select("doc_id", "security_id", "nth_category", "category", "target_field", shown.alias("value"), "is_valid")
+
+
+def first_errors(mappings: DataFrame, most: int = 5) -> DataFrame:
+    """(doc_id, errors): the first errors of a document, by record and the schema's order."""
+    bad = mappings.where("error is not null").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", "nth", "error"))).alias("x"))
+    return bad.select("doc_id", F.transform(F.slice("x", 1, most), lambda e: e["error"]).alias("errors"))
+
+
+def coverage(mappings: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """(doc_id, mapped_fields, coverage_pct, n_errors, n_warnings, passed) per document; errors alone make it fail."""
+    rules = built_in(mappings.sparkSession) if schema is None else schema
+    sizes = mappings.groupBy("doc_id").agg(F.count_distinct("target_field").alias("mapped_fields"), F.count("error").alias("n_errors"), F.count("warning").alias("n_warnings"))
+    sizes = sizes.crossJoin(F.broadcast(rules.agg(F.count("*").alias("n"))))  # one row
+    return sizes.select("doc_id", "mapped_fields", F.bround(F.col("mapped_fields") / F.col("n") * 100, 1).alias("coverage_pct"), "n_errors", "n_warnings", (F.col("n_errors") == 0).alias("passed"))
 
 
-def unmapped(mappings: DataFrame) -> DataFrame:
-    """Schema fields that no record has."""
-    fields = schema_fields(mappings.sparkSession).select(F.col("field").alias("target_field"), "category")
-    return fields.join(mappings.select("target_field").distinct(), "target_field", "left_anti")
+def unmapped(mappings: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    """(target_field, category): schema fields that no record has."""
+    rules = built_in(mappings.sparkSession) if schema is None else schema
+    return rules.select(F.col("field").alias("target_field"), "category").join(mappings.select("target_field").distinct(), "target_field", "left_anti")
 
 
-def category_coverage(mappings: DataFrame) -> DataFrame:
-    fields = schema_fields(mappings.sparkSession)
+def category_coverage(mappings: DataFrame, schema: DataFrame | None = None) -> DataFrame:
+    rules = built_in(mappings.sparkSession) if schema is None else schema
     mapped = mappings.select(F.col("target_field").alias("field")).distinct().withColumn("there", F.lit(1))
-    return fields.join(mapped, "field", "left").groupBy("category").agg(F.count("*").alias("n_fields"), F.count("there").alias("n_covered"))
+    return rules.join(mapped, "field", "left").groupBy("category").agg(F.count("*").alias("n_fields"), F.count("there").alias("n_covered"))
 
 
-def summary(spark: SparkSession) -> DataFrame:
-    return schema_fields(spark).groupBy("category").agg(F.count("*").alias("n_fields"), F.count_if("required").alias("n_required"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))
+def summary(rules: DataFrame) -> DataFrame:
+    """(category, n_fields, n_required, fields) of a schema."""
+    return rules.groupBy("category").agg(F.count("*").alias("n_fields"), F.count_if("required").alias("n_required"), F.array_join(F.array_sort(F.collect_list("field")), ",").alias("fields"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import NOT_TICKERS, PERIODS
@@ -53,6 +53,13 @@ def text_tables(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", "tbl", headers.alias("headers"), F.when(head, F.slice("rows", 2, F.size("rows"))).otherwise(F.col("rows")).alias("rows"))
 
 
+def document_tables(pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page, text) -> (doc_id, page, tbl, title, headers, rows): the tables of a document's pages, numbered through all of them. Page text gives them no title."""
+    found = text_tables(pages)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "tbl")) - 1
+    return found.select("doc_id", "page", nth.cast("int").alias("tbl"), F.lit(None).cast("string").alias("title"), "headers", "rows")
+
+
 METRICS = {
     "standard deviation": ("standard_deviation", "StandardDeviation_3Y"), "sharpe ratio": ("sharpe_ratio", "SharpeRatio_3Y"), "beta": ("beta", "Beta_3Y"), "alpha": ("alpha", "Alpha_3Y"), "r-squared": ("r_squared", "RSquared_3Y"),
 }

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import datetime
+import importlib.resources
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fundloom.functions.catalog import ASSET_CLASSES, CATEGORIES, EXTRA_PATTERNS, FAMILIES, FIELDS, NAME_WORDS, OPTIONAL, PATTERNS, POINTS_SET, POINTS_TRUE, REQUIRED, SCHEMA
-from fundloom.operators import export, extract, features, mapping, normalize, relational, tables
+from fundloom.functions.scratch import new_folder
+from fundloom.operators import export, extract, features, incremental, mapping, normalize, relational, tables
 from fundloom.sources import html
 from fundloom.sources.carrier import DUCKDB, DUCKDB_PAGES, DUCKDB_PAIRS, fund_docs, fund_pages, fund_pairs
+from fundloom.streaming import entities as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -235,7 +240,7 @@ _RECORDS = f"""
     select *, concat_ws('|', ISIN, CUSIP, Ticker, LegalName) as parts from (
     select doc_id, {_ONE(PATTERN["isin"])} as ISIN, {_ONE(PATTERN["cusip"])} as CUSIP, coalesce({_ONE(PATTERNS[3][-1])}, {_ONE("\\(([A-Z]{2,5})\\)")}) as Ticker, {_NAMES}[1] as LegalName,
       {_held(FAMILIES)}[1] as FundFamily, coalesce({_KNOWN}, {_held(CATEGORIES)}[1]) as CategoryName, {_CLASS} as GlobalAssetClassId,
-      strftime(strptime({_ONE(PATTERN["inception_date"])}, '%m/%d/%Y'), '%Y-%m-%d') as InceptionDate, coalesce(upper({_ONE(PATTERN["currency"])}), 'USD') as BaseCurrency,
+      coalesce(strftime(try_strptime({_ONE(PATTERN["inception_date"])}, '%m/%d/%Y'), '%Y-%m-%d'), {_ONE(PATTERN["inception_date"])}) as InceptionDate, coalesce(upper({_ONE(PATTERN["currency"])}), 'USD') as BaseCurrency,
       {_NUM(PATTERN["nav"])} as NAV, {_NUM(PATTERN["total_assets"])} * case when {_ONE(PATTERN["total_assets"], 2)} = 'Billion' then 1000 else 1 end as TotalNetAssets,
       {_NUM(PATTERN["expense_ratio"])} as ExpenseRatio, {_NUM(PATTERN["yield"])} as Yield, {_NUM(PATTERN["standard_deviation"])} as StandardDeviation_3Y, {_NUM(PATTERN["sharpe_ratio"])} as SharpeRatio_3Y,
       {_NUM(PATTERN["beta"])} as Beta_3Y, {_NUM(PATTERN["alpha"])} as Alpha_3Y, nullif(length(regexp_extract(text, {quoted(PATTERN["star_rating"])}, 2)), 0) as StarRating, {_ONE(PATTERN["analyst_rating"])} as AnalystRating
@@ -287,9 +292,9 @@ _FILLED = " + ".join([f"cast({_truthy(f)} as int)" for f in REQUIRED] + [f"cast(
 _KEYS = " + ".join(f"cast({f} is not null as int)" for f in _HELD)
 
 
-@query("completeness", f"select doc_id, round_even(({_FILLED}) / 18.0 * 100, 1) as completeness, round_even(greatest(0, (1 - cast(LegalName is null and Ticker is null as int) / cast({_KEYS} as double)) * 100), 1) as accuracy from ({_RECORDS}) r")
+@query("completeness", f"select doc_id, round_even(({_FILLED}) / 18.0 * 100, 1) as completeness, round_even(greatest(0, (1 - cast(LegalName is null and Ticker is null as int) / cast({_KEYS} as double)) * 100), 1) as accuracy, round_even(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as overall_quality from ({_RECORDS}) r")
 def completeness(spark, sf_dir):
-    return normalize.doc_scores(records(spark, sf_dir)).select("doc_id", "completeness", "accuracy")
+    return normalize.doc_scores(records(spark, sf_dir)).select("doc_id", "completeness", "accuracy", "overall_quality")
 
 
 _FIELD_COUNTS = " union all ".join(f"select '{f}' as field, count({f}) as n_records from r" if f in _HELD else f"select '{f}', 0" for f in FIELDS)
@@ -301,20 +306,27 @@ def field_coverage(spark, sf_dir):
 
 
 _BY = {f[0]: f for f in SCHEMA}
+#: What is wrong with a value that a sheet may give, in SQL.
+_WRONG = {
+    "InceptionDate": r"case when not regexp_full_match(InceptionDate, '\d{4}-\d{2}-\d{2}') then 'Expected format YYYY-MM-DD' end",
+    "AnalystRating": "case when AnalystRating not in ('Gold', 'Silver', 'Bronze', 'Neutral', 'Negative') then 'Not in allowed values: [''Gold'', ''Silver'', ''Bronze'', ''Neutral'', ''Negative'']' end",
+}
 _MAPPED = " union all ".join(
-    f"select doc_id, '{f}' as target_field, '{_BY[f][2]}' as category, cast({f} as varchar) as value, {f} is not null as is_valid, case when {f} is null then 'Required field ''{f}'' is missing' end as message from r" + ("" if _BY[f][3] else f" where {f} is not null")
+    f"""select doc_id, {FIELDS.index(f)} as nth, '{f}' as target_field, '{_BY[f][2]}' as category, cast({f} as varchar) as value, {f} is not null and {_WRONG.get(f, "null")} is null as is_valid,
+      case when {f} is null then 'Required field missing' else {_WRONG.get(f, "null")} end as message, case when {f} is null then 'Required field ''{f}'' is missing' end as error, {_WRONG.get(f, "cast(null as varchar)")} as warning from r"""
+    + ("" if _BY[f][3] else f" where {f} is not null")
     for f in _HELD
 )
 
 
-@query("schema_map_long", f"with r as ({_RECORDS}) {_MAPPED}")
+@query("schema_map_long", f"with r as ({_RECORDS}), m as ({_MAPPED}) select * exclude (nth) from m")
 def schema_map_long(spark, sf_dir):
-    return mapping.map_long(records(spark, sf_dir)).select("doc_id", "target_field", "category", "value", "is_valid", "message")
+    return mapping.map_long(records(spark, sf_dir)).select("doc_id", "target_field", "category", "value", "is_valid", "message", "error", "warning")
 
 
-@query("schema_coverage", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, count(distinct target_field) as mapped_fields, round_even(count(distinct target_field) / 31.0 * 100, 1) as coverage_pct, bool_and(is_valid) as passed from m group by 1")
+@query("schema_coverage", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, count(distinct target_field) as mapped_fields, round_even(count(distinct target_field) / 31.0 * 100, 1) as coverage_pct, count(error) as n_errors, count(warning) as n_warnings, count(error) = 0 as passed from m group by 1")
 def schema_coverage(spark, sf_dir):
-    return mapping.coverage(mapping.map_long(records(spark, sf_dir))).select("doc_id", "mapped_fields", "coverage_pct", "passed")
+    return mapping.coverage(mapping.map_long(records(spark, sf_dir)))
 
 
 _FIELD_ROWS = ", ".join(f"('{f[0]}', '{f[2]}', {str(f[3]).lower()})" for f in SCHEMA)
@@ -330,7 +342,7 @@ def category_coverage(spark, sf_dir):
     return mapping.category_coverage(mapping.map_long(records(spark, sf_dir)))
 
 
-@query("schema_errors", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, string_agg(target_field || ': ' || message, ' | ') as errors from m where not is_valid group by 1")
+@query("schema_errors", f"with r as ({_RECORDS}), m as ({_MAPPED}) select doc_id, string_agg(error, ' | ' order by nth) as errors from m where error is not null group by 1")
 def schema_errors(spark, sf_dir):
     found = mapping.first_errors(mapping.map_long(records(spark, sf_dir)))
     return found.select("doc_id", F.array_join("errors", " | ").alias("errors"))
@@ -341,10 +353,60 @@ def record_view(spark, sf_dir):
     return mapping.record_view(mapping.map_long(records(spark, sf_dir))).drop("security_id")
 
 
-@query("schema_summary", f"with s as (select * from (values {_FIELD_ROWS}) t(field, category, required)), p as (select count(*) as n_parts from part) select category, count(*) as n_fields, count(*) filter (where required) as n_required, string_agg(field, ',' order by field) as fields, any_value(n_parts) as n_parts from s, p group by 1")
+#: A schema that is none of ours: orders, by a file.
+_ORDERS = importlib.resources.files("fundloom.plans").joinpath("orders_schema.json").read_text()
+_ORDER_RULES = json.loads(_ORDERS)["fields"]
+
+
+def _order_cell(f: dict) -> str:
+    """The mappings of a field of the orders' schema, in SQL."""
+    n, kind, required = f["field_name"], f.get("data_type"), f.get("required", False)
+    if n in ("o_clerk", "o_shop"):
+        return f"select o_orderkey as doc_id, '{n}' as target_field, null as value, false as is_valid, 'Required field missing' as message, 'Required field ''{n}'' is missing' as error, null as warning from o" + ("" if required else " where false")
+    value, wrong, note = f"cast({n} as varchar)", "null", "null"
+    if kind == "date":
+        value = f"strftime({n}, '%Y-%m-%d %H:%M:%S')"
+        wrong = "'Expected format YYYY-MM-DD'"
+    elif n == "o_orderkey":
+        wrong = f"case when {n} < 1 then 'Below minimum 1' when {n} > 40000 then 'Above maximum 40000' end"
+    elif n == "o_totalprice":
+        value, wrong = f"cast(round_even({n}, 1) as varchar)", f"case when round_even({n}, 1) < 1000.5 then 'Below minimum 1000.5' end"
+    elif n == "o_orderstatus":
+        wrong = f"case when {n} not in ('F', 'O') then 'Not in allowed values: [''F'', ''O'']' end"
+    elif n == "o_orderpriority":
+        value, note = f"left({n}, 8)", f"case when length({n}) > 8 then 'Truncated to 8 chars' end"
+        wrong = f"case when length({n}) <= 8 and not regexp_matches({n}, '^[1-5]-') then 'Does not match pattern ^[1-5]-' end"
+    error, warning = (f"case when {wrong} is not null then 'Required field ''{n}'': ' || {wrong} end", "null") if required else ("null", wrong)
+    return f"select o_orderkey, '{n}', {value}, {wrong} is null, coalesce({wrong}, {note}), {error}, {warning} from o where {n} is not null"
+
+
+_ORDER_MAPPED = " union all ".join(map(_order_cell, reversed(_ORDER_RULES)))
+
+
+def _order_mappings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders, rules = read(spark, sf_dir, "orders"), mapping.parse_schema(spark, _ORDERS)
+    rows = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit("security_001").alias("security_id"), *orders.columns)
+    rows = rows.withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"))
+    return mapping.map_long(rows, rules), rules
+
+
+@query("mapping_by_file", f"with o as (select * from orders) {_ORDER_MAPPED}")
+def mapping_by_file(spark, sf_dir):
+    """Orders by a schema file: errors of required fields, warnings of others."""
+    return _order_mappings(spark, sf_dir)[0].select("doc_id", "target_field", "value", "is_valid", "message", "error", "warning")
+
+
+@query(
+    "schema_summary",
+    f"""with o as (select * from orders), m as ({_ORDER_MAPPED}), s as (select * from (values {", ".join(f"('{f['field_name']}', '{f['category']}', {str(f.get('required', False)).lower()})" for f in _ORDER_RULES)}) t(field, category, required))
+        select category, count(distinct field) as n_fields, count(distinct field) filter (where required) as n_required, string_agg(distinct field, ',' order by field) as fields, count(target_field) as n_mapped, count(*) filter (where is_valid) as n_valid
+        from s left join m on target_field = field group by 1""",
+)
 def schema_summary(spark, sf_dir):
-    parts = read(spark, sf_dir, "part").agg(F.count("*").alias("n_parts"))
-    return mapping.summary(spark).crossJoin(F.broadcast(parts))  # one row
+    """The categories of a schema file, and how many values of the orders each has."""
+    mapped, rules = _order_mappings(spark, sf_dir)
+    n = mapped.groupBy("category").agg(F.count("*").alias("n_mapped"), F.count_if("is_valid").alias("n_valid"))
+    return mapping.summary(rules).join(n, "category", "left").fillna(0, ["n_mapped", "n_valid"])
 
 
 _RAW = {
@@ -529,14 +591,30 @@ def page_records(spark, sf_dir):
     return rows.select("doc_id", "security_id", "ISIN", "Return_1Y", "Return_3Y", "RSquared_3Y", "StandardDeviation_3Y", F.greatest(held, F.lit(0)).alias("n_holdings"), F.try_element_at("SectorWeights", F.lit("Energy")).alias("energy"))
 
 
-@query("line_dedup", "select doc_id, array_to_string(list_transform(list_sort(list_distinct(string_split(text, chr(10)))), lambda x: x), chr(10)) as lines from documents")
-def line_dedup(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(F.array_distinct(F.split("text", "\n"))), "\n").alias("lines"))
+#: Kinds whose values all stand once in a sheet, with the confidences of their patterns, in SQL.
+_PLAIN = ("isin", "cusip", "nav", "inception_date")
+_FOUND = " union all ".join(f"select doc_id, {_CONFIDENT[k]}::double as confidence from (select doc_id, unnest(regexp_extract_all(text, {quoted(PATTERN[k])}, 1)) from ({DUCKDB}) d) x" for k in _PLAIN)
 
 
-@query("word_count", "select doc_id, cast(len(regexp_extract_all(text, '[^ \\t\\n\\r\\x0b\\f]+')) as bigint) as words from documents")
-def word_count(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split("text", r"[ \t\n\r\x0b\f]+"), lambda w: w != "")).cast("long").alias("words"))
+def _plain_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return normalize.records(normalize.segment(extract.text_entities(fund_docs(spark, sf_dir), set(_PLAIN))))
+
+
+@query("record_metadata", f"select doc_id, count(*) as entity_count, 'rule_based' as methods, round(avg(confidence), 6) as avg_confidence from ({_FOUND}) x group by 1")
+def record_metadata(spark, sf_dir):
+    """How many entities a record is made of, how they were found, and their mean confidence."""
+    return _plain_records(spark, sf_dir).select("doc_id", "entity_count", F.array_join("methods", ",").alias("methods"), "avg_confidence")
+
+
+@query(
+    "mapping_confidence",
+    f"""with c as (select doc_id, round(avg(confidence), 6) as confidence from ({_FOUND}) x group by 1)
+        select c.doc_id, f as target_field, case when f = 'LegalName' then 0 else confidence end as confidence from c join ({DUCKDB}) d on d.doc_id = c.doc_id,
+          unnest(list_filter(['SecId', 'LegalName', 'BaseCurrency', 'ISIN', 'CUSIP', 'NAV', 'InceptionDate'], lambda f: (f <> 'CUSIP' or regexp_matches(text, {quoted(PATTERN["cusip"])})) and (f <> 'InceptionDate' or regexp_matches(text, {quoted(PATTERN["inception_date"])})))) u(f)""",
+)
+def mapping_confidence(spark, sf_dir):
+    """A mapping is as sure as its record's entities; one that is missing has no confidence."""
+    return mapping.map_long(_plain_records(spark, sf_dir)).select("doc_id", "target_field", "confidence")
 
 
 def _order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -572,6 +650,89 @@ def page_concat(spark, sf_dir):
     return html.concat_pages(_order_pages(spark, sf_dir)).withColumn("n_pages", F.col("n_pages").cast("long"))
 
 
+#: The lines of an order laid out as page text, three a page, each with the ISIN of its part.
+_ISIN = "concat('US', lpad(cast(l_partkey as {s}), 9, '0'), cast(l_partkey % 10 as {s}))"
+_LINE_PAGES = "select l_orderkey, (l_linenumber - 1) {div} 3 as page, l_linenumber as n, concat_ws('   ', l_linenumber, cast(cast(l_quantity as int) as {s}), cast(l_suppkey as {s}), " + _ISIN + ") as line, " + _ISIN + " as isin from {lines}"
+
+
+@query(
+    "page_text_entities",
+    f"""with l as ({_LINE_PAGES.format(s="varchar", div="//", lines="lineitem")}), p as (select l_orderkey, page, count(*) as k from l group by 1, 2 having count(*) > 1),
+        t as (select *, row_number() over (partition by l_orderkey order by page) - 1 as tbl from p)
+        select l.l_orderkey as doc_id, cast(tbl as integer) as tbl, cast(row_number() over (partition by l.l_orderkey, l.page order by n, line) - 1 as integer) as row, isin as value, replace(line, '   ', ' ') as source_text
+        from l join t on t.l_orderkey = l.l_orderkey and t.page = l.page""",
+)
+def page_text_entities(spark, sf_dir):
+    """Page text to tables, numbered through each document's pages, and those to the ids in their cells."""
+    lines = spark.sql(_LINE_PAGES.format(s="string", div="div", lines="{lines}"), lines=read(spark, sf_dir, "lineitem"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    pages = lines.groupBy(F.col("l_orderkey").alias("doc_id"), "page").agg(F.concat(F.lit("Lines of an order\n"), said, F.lit("\n\nThe end")).alias("text"))
+    found = tables.table_entities(tables.document_tables(pages)).where("entity_type = 'isin'")
+    place = lambda bits, width: F.shiftright("seq", bits).bitwiseAND(F.lit(2**width - 1)).cast("int")
+    return found.select("doc_id", place(32, 31).alias("tbl"), place(12, 20).alias("row"), "value", "source_text")
+
+
+_CHANGED = "select p_partkey as doc_id, 'CUSIP: 99999999' || (p_size % 10) || ' and so on' as more from part where p_size % 10 = 0"
+
+
+@query(
+    "incremental_entities",
+    f"""with d as (select s.doc_id, more is not null as redone, text || coalesce(chr(10) || more, '') as text from ({DUCKDB}) s left join ({_CHANGED}) c on c.doc_id = s.doc_id)
+        select doc_id, redone, len(regexp_extract_all(text, {quoted(PATTERN["isin"])}, 1)) as n_isin, len(regexp_extract_all(text, {quoted(PATTERN["cusip"])}, 1)) as n_cusip from d""",
+)
+def incremental_entities(spark, sf_dir):
+    """Two runs over one store: the second, for which a tenth of the sheets have a further line, extracts from those only."""
+    store = new_folder(spark, "store")
+    docs = fund_docs(spark, sf_dir)
+    incremental.update(docs, store, {"isin", "cusip"})
+    more = spark.sql("select p_partkey as doc_id, concat('CUSIP: 99999999', p_size % 10, ' and so on') as more from {part} where p_size % 10 = 0", part=read(spark, sf_dir, "part"))
+    now = docs.join(more, "doc_id", "left").select("doc_id", F.concat_ws("\n", "text", "more").alias("text"))
+    state = incremental.update(now, store, {"isin", "cusip"}).select("doc_id", "redone")
+    n = incremental.entities(now, store).groupBy("doc_id").agg(F.count_if(F.col("entity_type") == "isin").alias("n_isin"), F.count_if(F.col("entity_type") == "cusip").alias("n_cusip"))
+    return state.join(n, "doc_id", "left").fillna(0, ["n_isin", "n_cusip"])
+
+
+@query("streamed_entities", f"""select page_id as doc_id, 'isin' as kind, unnest(list_concat([regexp_extract(html, 'ISIN: ([A-Z0-9]{{12}})', 1)], regexp_extract_all(html, '<td>(IE[A-Z0-9]{{10}})</td>', 1))) as value from ({DUCKDB_PAGES}) p
+    union all select page_id, 'nav', cast(cast(regexp_extract(html, '<p>NAV: .([0-9.]+)<', 1) as double) as varchar) from ({DUCKDB_PAGES}) p""")
+def streamed_entities(spark, sf_dir):
+    """Pages written to a folder in two lots, each taken up by a stream that ends when it has taken what there is."""
+    folder = new_folder(spark, "stream")
+    pages = fund_pages(spark, sf_dir)
+    for lot in range(2):
+        pages.where(F.col("page_id") % 2 == lot).write.mode("append").parquet(f"{folder}/pages")
+        found = streaming.page_entities(streaming.stream_pages(spark, f"{folder}/pages"))
+        streaming.write_available(found, f"{folder}/entities", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/entities").where("entity_type in ('isin', 'nav')").select("doc_id", F.col("entity_type").alias("kind"), F.col("value_str").alias("value"))
+
+
+_TYPES = {f: "double" if _BY[f][1] == "decimal" else "int" if _BY[f][1] == "integer" else "date" if f == "x" else "string" for f in _HELD}
+
+
+@query(
+    "export_round_trip",
+    f"with r as ({_RECORDS}) " + " union all ".join(f"select '{f}' as field, '{_TYPES[f]}' as type, count({f}) as n, {f'coalesce(round(sum({f}), 3), 0)' if _TYPES[f] != 'string' else 'cast(0 as double)'} as total from r" for f in ("ISIN", "LegalName", "NAV", "ExpenseRatio", "StarRating", "Beta_3Y", "BaseCurrency")),
+)
+def export_round_trip(spark, sf_dir):
+    """An export run, its files held against the manifest, and the CSV read back with the types that its values show."""
+    base = export.write_files(records(spark, sf_dir), new_folder(spark, "export"), name=export.run_name(datetime.datetime(2025, 1, 1)))
+    back = export.read_csv(spark, base)
+    kinds = dict(back.dtypes)
+    asked = ["ISIN", "LegalName", "NAV", "ExpenseRatio", "StarRating", "Beta_3Y", "BaseCurrency"]
+    sums = [F.struct(F.lit(f).alias("field"), F.lit(kinds[f]).alias("type"), F.count(f).alias("n"), (F.coalesce(F.round(F.sum(f), 3), F.lit(0.0)) if kinds[f] != "string" else F.lit(0.0)).cast("double").alias("total")) for f in asked]
+    return back.agg(F.array(*sums).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+@query(
+    "export_csv_nested",
+    f"""with h as (select doc_id, '[' || string_agg('{{"SecurityName": "' || name || '", "Ticker": "' || ticker || '", "Weight": ' || weight || ', "Sector": "' || sector || '"}}', ', ' order by nth) || ']' as holdings from ({_HOLDING.replace("{tables}", _TABLES)}) x group by 1)
+        select page_id as doc_id, 'security_001' as security_id, '' as "TopHoldings", '' as "SectorWeights" from ({DUCKDB_PAGES}) p
+        union all select h.doc_id, 'security_002', holdings, '{{"Energy": 7.0, "Health": 20.0}}' from h""",
+)
+def export_csv_nested(spark, sf_dir):
+    """Lists and maps in CSV cells, as JSON with blanks."""
+    return export.csv_rows(records_of_pages(spark, sf_dir)).select("doc_id", "security_id", "TopHoldings", "SectorWeights")
+
+
 @query("text_features")
 def text_features(spark, sf_dir):
     return features.text_features(read(spark, sf_dir, "documents"))
@@ -615,30 +776,46 @@ _SUM = " + ".join(f"len(regexp_extract_all(text, {quoted(PATTERN[k])}, 1))" for
 
 @query(
     "provenance_trails",
-    f"""select doc_id, concat('MSDP_20250101_000000_', left(md5(concat('sheet ', doc_id, '_20250101_000000')), 8)) as job_id, sha256(text) as source_hash, sha256(concat_ws(',', {_COUNT_LIST})) as extraction_hash,
-          cast({_SUM} as bigint) as total_entities, 4 as n_steps, cast(10 + 2 * ({_SUM}) as bigint) as total_duration_ms from ({DUCKDB}) d""",
+    f"""select doc_id, concat('MSDP_20250101_000000_', left(md5(concat('http://funds.test/', doc_id, '_20250101_000000')), 8)) as job_id, 'web_page' as source_type, concat('http://funds.test/', doc_id) as source_url, '' as source_filename,
+          sha256(text) as source_hash, sha256(concat_ws(',', {_COUNT_LIST})) as extraction_hash, cast({_SUM} as bigint) as total_entities, 4 as n_steps, cast(10 + 2 * ({_SUM}) as double) as total_duration_ms,
+          concat('Found ', {_SUM}, ' entities') as description, '2025-01-01T00:00:01Z' as "timestamp", '5' as n_kinds, case when ({_SUM}) < 4 then 'few entities' else '' end as warning, sha256(concat('out ', doc_id)) as output_hash, 'json' as output_format, 'test' as platform,
+          'job_id,created_at,source_type,source_url,source_filename,source_hash,target_schema,target_version,processing_device,processing_engine,steps,output_format,output_hash,total_duration_ms,total_entities_extracted,total_records_produced,quality_score,environment' as "fields"
+        from ({DUCKDB}) d""",
 )
 def provenance_trails(spark, sf_dir):
-    """A job per fact sheet: capture, extraction, normalization and mapping, as JSON read back."""
+    """A job per fact sheet: capture, extraction, normalization and mapping, as JSON with all its fields, read back."""
     docs = fund_docs(spark, sf_dir).withColumn("source_hash", F.sha2("text", 256))
-    started = docs.select("doc_id", F.concat(F.lit("sheet "), F.col("doc_id").cast("string")).alias("source"), "source_hash", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("started"))
+    url = F.concat(F.lit("http://funds.test/"), F.col("doc_id").cast("string"))
+    started = docs.select("doc_id", url.alias("source_url"), F.lit("web_page").alias("source_type"), "source_hash", F.lit("2025-01-01 00:00:00").cast("timestamp").alias("started"))
     found = extract.text_entities(docs, set(_COUNTED))
     counts = found.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
     said = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "entity_type", "n"))), ",")
     told = docs.select("doc_id", "source_hash").join(counts.groupBy("doc_id").agg(said.alias("said"), F.sum("n").alias("n")), "doc_id", "left").select("doc_id", "source_hash", F.coalesce("said", F.lit("")).alias("said"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     none = F.lit(0).cast("long")
-    step = lambda k, name, given, made, n_in, n_out, ms: F.struct(F.lit(k).alias("step_number"), F.lit(name).alias("operation"), given.alias("input_hash"), made.alias("output_hash"), n_in.alias("records_in"), n_out.alias("records_out"), ms.cast("long").alias("duration_ms"))
+    few = F.when(F.col("n") < 4, F.array(F.lit("few entities"))).otherwise(F.expr("cast(array() as array<string>)"))
+
+    def step(k, name, given, made, n_in, n_out, ms):
+        own = name == "entity_extraction"
+        return F.struct(
+            F.lit(k).alias("step_number"), F.lit(name).alias("operation"), (F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(" entities")) if own else F.lit(name)).alias("description"), F.lit(f"2025-01-01T00:00:0{k - 1}Z").alias("timestamp"),
+            given.alias("input_hash"), made.alias("output_hash"), n_in.alias("records_in"), n_out.alias("records_out"), ms.cast("double").alias("duration_ms"),
+            F.create_map(F.lit("kinds"), F.lit(str(len(_COUNTED)))).alias("parameters"), (few if own else F.expr("cast(array() as array<string>)")).alias("warnings"),
+        )
+
     n, one, blank, source = F.col("n"), F.lit(1).cast("long"), F.lit(""), F.col("source_hash")
     steps = told.select("doc_id", F.explode(F.array(
         step(1, "web_capture", blank, source, none, one, F.lit(10)), step(2, "entity_extraction", source, F.sha2("said", 256), one, n, n),
         step(3, "normalization", blank, blank, n, one, n), step(4, "schema_mapping", blank, blank, one, one, none),
     )).alias("s")).select("doc_id", "s.*")
-    jobs = export.start_jobs(started).select("doc_id", "job_id", "created_at", "source", "source_hash", F.lit(50.0).alias("quality_score"), one.alias("n_records"))
+    out = F.sha2(F.concat(F.lit("out "), F.col("doc_id").cast("string")), 256)
+    jobs = export.start_jobs(started, {"platform": "test"}).select("*", F.lit(50.0).alias("quality_score"), one.alias("total_records_produced"), out.alias("output_hash"), F.lit("json").alias("output_format"))
     trail = export.trails(jobs, steps)
     of = lambda path: F.get_json_object("trail", path)
     return trail.select(
-        "doc_id", of("$.job_id").alias("job_id"), of("$.source_hash").alias("source_hash"), of("$.steps[1].output_hash").alias("extraction_hash"), of("$.total_entities").cast("long").alias("total_entities"),
-        F.json_array_length(of("$.steps")).alias("n_steps"), of("$.total_duration_ms").cast("long").alias("total_duration_ms"),
+        "doc_id", *[of(f"$.{c}").alias(c) for c in ("job_id", "source_type", "source_url", "source_filename", "source_hash", "output_hash", "output_format")], of("$.steps[1].output_hash").alias("extraction_hash"),
+        of("$.total_entities_extracted").cast("long").alias("total_entities"), F.json_array_length(of("$.steps")).alias("n_steps"), of("$.total_duration_ms").cast("double").alias("total_duration_ms"),
+        *[of(f"$.steps[1].{c}").alias(c) for c in ("description", "timestamp")], of("$.steps[1].parameters.kinds").alias("n_kinds"), F.coalesce(of("$.steps[1].warnings[0]"), F.lit("")).alias("warning"), of("$.environment.platform").alias("platform"),
+        F.array_join(F.json_object_keys("trail"), ",").alias("fields"),
     )
 
 
@@ -679,10 +856,11 @@ def inference_counter(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", "user_id", (F.count("*").over(order) + 12).alias("counter"))
 
 
-@query("savings_projection", "select event_type, count(*) as n, round(cast(count(*) as double) * (cast(0.0035 as double) - cast(0.000005 as double)), 6) as kwh, round(cast(count(*) as double) * cast(0.006 as double), 6) as usd from events group by 1")
+@query("savings_projection", "select event_type, count(*) as n, round(cast(count(*) as double) * (cast(0.0035 as double) - cast(0.000005 as double)), 6) as kwh, round(cast(count(*) as double) * cast(0.006 as double), 6) as usd, round(cast(count(*) as double) * (cast(0.0035 as double) - cast(0.000005 as double)) * 0.4::double, 6) as co2_kg, round(cast(count(*) as double) * (cast(0.0035 as double) - cast(0.000005 as double)) * 0.4::double / 21, 6) as trees from events group by 1")
 def savings_projection(spark, sf_dir):
     n = F.count("*")
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(n.alias("n"), F.round(n * (F.lit(0.0035) - F.lit(0.000005)), 6).alias("kwh"), F.round(n * F.lit(0.006), 6).alias("usd"))
+    kwh = n * (F.lit(0.0035) - F.lit(0.000005))
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(n.alias("n"), F.round(kwh, 6).alias("kwh"), F.round(n * F.lit(0.006), 6).alias("usd"), F.round(kwh * F.lit(0.4), 6).alias("co2_kg"), F.round(kwh * F.lit(0.4) / 21, 6).alias("trees"))
 
 
 @query("quality_band", f"select doc_id, case when q >= 70 then 'high' when q >= 40 then 'medium' else 'low' end as band from (select doc_id, round_even(cast(({_SCORE}) as double) / {_MOST} * 100, 1) as q from ({_RECORDS}) r) x")

@@ -1,7 +1,7 @@
 """Fact sheets rendered from the part table, the same in Spark and DuckDB: as text, and as web pages with tables.
 
 Names, categories, families and ratings vary, and most fields are missing from some sheets, so that absent values,
-defaults and rejected words occur.
+defaults, rejected words, months that no date has and ratings that the schema doesn't allow occur.
 """
 
 from __future__ import annotations
@@ -26,11 +26,11 @@ def _values(text: str, div: str) -> dict[str, str]:
     return {
         "name": f"concat({_pick('p_partkey % 6', NAMES)}, {some('p_partkey % 11 <> 0', f"concat(' (', {letters}, ')')")})",
         "ids": f"""concat('ISIN: US', lpad({s("p_partkey")},9,'0'), {s("p_partkey % 10")}, {some("p_partkey % 5 <> 0", f"concat(' | CUSIP: ', lpad({s('p_partkey')},9,'0'))")},
-             {some("p_partkey % 7 <> 0", f"concat(' | Inception Date: ', {s('1 + p_partkey % 12')}, '/', {s('1 + p_partkey % 28')}, '/', {s('1980 + p_partkey % 45')})")})""",
+             {some("p_partkey % 7 <> 0", f"concat(' | Inception Date: ', case when p_partkey % 9 = 4 then {s('13 + p_partkey % 15')} else {s('1 + p_partkey % 12')} end, '/', {s('1 + p_partkey % 28')}, '/', {s('1980 + p_partkey % 45')})")})""",
         "nav": f"""concat('NAV: $', {s(f"cents {div} 100")}, '.', lpad({s("cents % 100")},2,'0'))""",
         "size": f"""concat('Total Net Assets: $', {s("1 + p_partkey % 900")}, case when p_partkey % 3 = 0 then ' Billion' else ' Million' end,
              {some("p_partkey % 4 <> 1", f"concat(' | Expense Ratio: 0.', lpad({s('p_partkey % 100')},2,'0'), '%')")}, {some("p_size % 3 <> 0", f"concat(' | SEC Yield: ', {s('p_size % 8')}, '.25%')")})""",
-        "rating": f"""concat('Rating: ', case when p_size % 4 = 3 then '4 stars' else repeat('★', cast(1 + p_size % 5 as int)) end, ' | Analyst Rating: ', {_pick("p_size % 4", ["Gold", "Silver", "Neutral", "pending"])})""",
+        "rating": f"""concat('Rating: ', case when p_size % 4 = 3 then '4 stars' else repeat('★', cast(1 + p_size % 5 as int)) end, ' | Analyst Rating: ', {_pick("p_size % 5", ["Gold", "Silver", "Neutral", "pending", "gold"])})""",
         "style": f"""concat({some("p_partkey % 6 <> 2", f"concat('Base Currency: ', {_pick('p_size % 3', ['EUR', 'usd', 'GBP'])}, ' | ')")}, 'Category: ', {_pick("p_partkey % 7", LABELS)},
              ' | Beta: 1.', {s("p_size % 10")}, ' | Alpha: -0.', {s("p_size % 7")})""",
         "risk": f"""case when p_partkey % 3 = 1 then concat('Std. Dev.: 1', {s("p_size % 9")}, '.', {s("p_partkey % 10")}, ' | Sharpe Ratio: -0.', {s("p_size % 9")}) end""",

@@ -111,7 +111,7 @@ def test_features_and_boost(spark):
 def test_written_files(spark, tmp_path):
     rows = records_of_pages(spark, SF).where("doc_id < 5")
     jobs = rows.select("doc_id").distinct().selectExpr("doc_id", "'{\"job_id\": 1}' as trail", "cast(7.5 as double) as quality_score")
-    export.write_files(rows, str(tmp_path), jobs)
+    tmp_path = export.write_files(rows, str(tmp_path), jobs)
     packages = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/json").collect()]
     assert len(packages) == 5 and len({p["content_hash"] for p in packages}) == 5
     for p in packages:
