@@ -1,15 +1,16 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are fitted: one of target text (labelled good documents, a bounded sample)
-and one of the raw text (counts over all documents). A document's mean log ratio of the two, per n-gram, so that long
-and short texts compare, is brought to the scale of log odds by a logistic regression on the labelled sample: that is
-its log importance weight. Documents are resampled without replacement by Gumbel top-k: the k largest of log weight +
+and one of the raw text (counts over all documents). A document's log ratio of the two, per n-gram, so that long and
+short texts compare, times a temperature, is its log importance weight. The temperature, one number, and what is added
+to all alike are such that on the labelled sample the weights are log odds of being a target; labelled bad documents
+have no other part in it. Documents are resampled without replacement by Gumbel top-k: the k largest of log weight +
 Gumbel noise. k is a given share of the documents, or by default the number of target documents that the weights
 expect among all, the sum of w / (1 + w). Documents far from the border are taken or left whatever their noise; near
 it the noise decides, in proportion to the odds.
 
 The n-grams are byte trigrams, and per word whether it and its predecessor have been seen together before in the
-document, which tells text that repeats itself; each kind has its own mean.
+document, which tells text that repeats itself; each kind has its own mean, and the log ratio is their sum.
 """
 
 from __future__ import annotations
@@ -91,10 +92,10 @@ def log_shares(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Log ratio of target to raw by bucket, and how the two means of a text make its log weight."""
+    """Log ratio of target to raw by bucket, and the temperature that makes a text's mean ratio its log weight."""
 
     ratio: np.ndarray
-    slope: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    temperature: float = 0.0
     base: float = 0.0
     centre: np.ndarray = field(default_factory=lambda: np.zeros(2))
     fitted: bool = False
@@ -107,7 +108,7 @@ class Model:
         return np.array((first, second))
 
     def weight(self, text: bytes | None) -> float:
-        return float(self.base + self.slope @ (self.means(text) - self.centre))
+        return float(self.base + self.temperature * (self.means(text) - self.centre).sum())
 
 
 def regress(x: np.ndarray, good: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
@@ -142,7 +143,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = LABELLED) -> Model:
     if 0 < good.sum() < len(rows):
         x = np.array([r[2:] for r in rows])
         model.centre = x.mean(axis=0)
-        model.slope, model.base = regress(x - model.centre, good)
+        slope, model.base = regress((x - model.centre).sum(axis=1, keepdims=True), good)
+        model.temperature = float(slope[0])
         model.fitted = True
     return model
 
@@ -182,12 +184,12 @@ def top_cut(keys: DataFrame, k: int) -> float | None:
         bins = inside.groupBy(slot.alias("slot")).agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("b")).orderBy(F.desc("slot")).collect()
         for r in bins:
             if above + r["n"] >= k:
-                if (r["a"], r["b"]) == (low, high):  # equal keys but for the last bit
-                    values = inside.groupBy("key").count().orderBy(F.desc("key")).limit(1024).collect()
-                    for v in values:
-                        above += v["count"]
-                        if above >= k:
-                            return v["key"]
+                if (r["a"], r["b"]) == (low, high):  # keys a last bit apart: the highest goes if it isn't the one
+                    n_high = inside.where(F.col("key") == high).count()
+                    if above + n_high >= k:
+                        return high
+                    above, high = above + n_high, inside.where(F.col("key") < high).agg(F.max("key")).first()[0]
+                    break
                 low, high = r["a"], r["b"]
                 break
             above += r["n"]

@@ -257,12 +257,13 @@ def brute_selection(docs, labels):
     mean = {d: [sum(r[k] * v for k, v in c.items()) / max(1, sum(c.values())) for r, c in zip(ratios, counts, strict=True)] for d, counts in seen.items()}
     known = [d for d in seen if d in labels]
     x, y = np.array([mean[d] for d in known]), np.array([labels[d] for d in known])
-    centre, spread = x.mean(axis=0), x.std(axis=0)
-    z, slope, base = (x - centre) / spread, np.zeros(2), 0.0
+    x = x.sum(axis=1)
+    centre, spread = x.mean(), x.std()
+    z, slope, base = (x - centre) / spread, 0.0, 0.0
     for _ in range(60_000):
-        p = 1 / (1 + np.exp(-(z @ slope + base)))
-        slope, base = slope + 0.01 * (z.T @ (y - p) - slope), base + 0.01 * ((y - p).sum() - 1e-6 * base)
-    return {d: float((np.array(m) - centre) / spread @ slope + base) for d, m in mean.items()}
+        p = 1 / (1 + np.exp(-(z * slope + base)))
+        slope, base = slope + 0.01 * (z @ (y - p) - slope), base + 0.01 * ((y - p).sum() - 1e-6 * base)
+    return {d: float((sum(m) - centre) / spread * slope + base) for d, m in mean.items()}
 
 
 def test_classifier_against_brute_force(spark):
