@@ -1,16 +1,19 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment measures them.
 
 Every template's word n-grams are hashed; of each window of neighbouring hashes the least is kept in an inverted
-index. Gram and window follow from the template's length, so that changes within the coverage leave one hash whole. A text's n-grams are looked up in it. Each diagonal on which a template is hit makes a candidate, whose
-region is aligned with the whole template in a band around the diagonal; what is matched is reported with its
-coverage and span. The index is some hundreds of entries, given by the templates and not by the data, so the scan is
+index. Gram and window follow from the template's length, so that changes within the coverage leave one hash whole. A
+text's n-grams are looked up in it. The diagonals on which a template is hit make candidates, neighbouring ones of a
+long template together; one is dropped if its region does not even hold enough of the template's words, in whatever
+order, so no match is lost by that. What is left is aligned with the whole template in a band around its diagonals, as
+wide as words may be put in or left out; what is matched is reported with its coverage and span. The index is some hundreds of entries, given by the templates and not by the data, so the scan is
 one pass without a shuffle.
 """
 
 from __future__ import annotations
 
 import bisect
-from collections import defaultdict
+import itertools
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words in a fingerprint and fingerprints in a winnowing window, at most; words that an alignment may shift.
-GRAM, WINNOW, BAND = 3, 3, 4
+#: Words in a fingerprint and fingerprints in a winnowing window, at most; words that an alignment may shift, at least, and one in how many of the template's.
+GRAM, WINNOW, BAND, SHIFT = 3, 3, 4, 6
+#: Words of a template from which on neighbouring diagonals are one candidate: copies of it are further apart than its band is wide.
+LONG = 64
 COVERAGE = 0.8
 PUNCTUATION = b"\"'`.,;:!?()[]{}<>*#/-_"
 
@@ -160,7 +165,7 @@ class Index:
                         diagonals[own].add(k - at)
         found = []
         for own, seen in diagonals.items():
-            found += [self._align(own[0], self.words[own], words, d - BAND, d + BAND) for d in sorted(seen)]
+            found += [self._align(own[0], self.words[own], words, low, high) for low, high in self._regions(self.words[own], words, sorted(seen), coverage)]
         # Of overlapping matches the one with most matched words stays.
         kept: list[tuple[str, int, int, int, float]] = []
         for m in sorted((m for m in found if m and m[4] >= coverage), key=lambda m: (-m[3], -m[4], m[1], m[0])):
@@ -169,6 +174,29 @@ class Index:
                 kept.insert(at, m)
         return kept
 
+    @staticmethod
+    def _regions(own: list[bytes], words: list[bytes], diagonals: list[int], coverage: float) -> Iterator[tuple[int, int]]:
+        """Bands of diagonals (lowest, highest) to align: hits side by side, whose region holds as many of the template's words as the coverage needs."""
+        n, shift = len(own), max(BAND, len(own) // SHIFT)
+        step = shift if n >= LONG else 1
+        bag, held, inside, a, b = Counter(own), Counter(), 0, 0, 0
+        for _, group in itertools.groupby(diagonals, lambda d: d // step):
+            hits = list(group)
+            low, high = hits[0] - shift, hits[-1] + shift
+            first, last = max(0, low), min(len(words), high + n)
+            if first >= b:
+                held, inside, a, b = Counter(), 0, first, first
+            while b < last:
+                held[words[b]] += 1
+                inside += held[words[b]] <= bag[words[b]]
+                b += 1
+            while a < first:
+                inside -= held[words[a]] <= bag[words[a]]
+                held[words[a]] -= 1
+                a += 1
+            if inside >= coverage * n - 1e-9:
+                yield low, high
+
     def _align(self, name: str, own: list[bytes], words: list[bytes], low: int, high: int) -> tuple[str, int, int, int, float] | None:
         """The template against the words on diagonals low to high: match 2, else -1; the text's ends are free."""
         width = high - low + 1
@@ -189,14 +217,15 @@ class Index:
                     best = (new[b - 1][0] - 1, *new[b - 1][1:])
                 new.append(best)
             row = [*new, (-(10**9), 0, -1, -1)]
-        _, matched, start, end = max(enumerate(row[:width]), key=lambda x: (x[1][1], x[1][0], -abs(x[0] - BAND)))[1]
+        _, matched, start, end = max(enumerate(row[:width]), key=lambda x: (x[1][1], x[1][0], -abs(x[0] - (width - 1) / 2)))[1]
         return (name, start, end, matched, matched / len(own)) if matched else None
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str | tuple[str, ...]] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """(doc_id, license, start_word, end_word, matched_words, coverage): a row per notice found, words counted from 0.
 
-    A null or empty text has none. Repeated rows are scanned each; of overlapping notices the one with most matched
+    Words put in or left out shift what follows; a match is found as long as that is no more than one in SHIFT of the
+    template's words on either side. A null or empty text has none. Repeated rows are scanned each; of overlapping notices the one with most matched
     words is reported, the first by name in a tie. A row without doc_id keeps a null id. An empty table gives an
     empty result. Other columns are ignored, whatever their names.
     """
