@@ -17,15 +17,41 @@ from fundloom.llm.shared import attach_null_safe, materialize, numbered
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
-SYMBOLS = "!#$%&*|"
 #: Slots into which a range of keys is cut, and rows of a source from which on a range is sorted.
 SLOTS, FEW = 256, 2_000
 
 
-def quality_weight(text: Column) -> Column:
-    """From 0.05 to 1: less, the more of the text is symbols. A null or empty text has 1."""
-    symbols = (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.05), 1 - 4 * symbols), F.lit(1.0))
+#: What the fitted weight looks at, in Spark: the share of signs that are neither letters nor digits, of capitals, of different words, and letters a word.
+FEATURES = ("signs", "capitals", "different", "length")
+SIGNS, CAPITALS = r"[^\p{L}\p{N}\s]", "[A-Z]"
+LEAST_WEIGHT = 0.05
+
+
+def features(text: Column) -> dict[str, Column]:
+    words = F.regexp_extract_all(text, F.lit(WORDS), 0)
+    n, size = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(text), F.lit(1))
+    return {"signs": F.regexp_count(text, F.lit(SIGNS)) / size, "capitals": F.regexp_count(text, F.lit(CAPITALS)) / size, "different": F.size(F.array_distinct(words)) / n, "length": F.length(text) / n}
+
+
+def fitted_weight(docs: DataFrame, labels: DataFrame) -> Column:
+    """A weight for the column text, from LEAST_WEIGHT to 1: the probability that it is good, by what labelled documents are like.
+
+    docs (doc_id, text), labels (doc_id, quality 0 or 1). Good and bad ones differ in the means of their features, with
+    one variance for both (a linear discriminant that takes features as independent), which are sums over all labelled
+    rows. A null or empty text has weight 1, and so has each without labels of both kinds.
+    """
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("_quality"))
+    rows = docs.select("doc_id", "text").join(known, "doc_id").where("length(text) > 0")
+    own = rows.select("_quality", *[c.alias(f) for f, c in features(F.col("text")).items()])
+    stats = {r["_quality"]: r for r in own.groupBy("_quality").agg(F.count("*").alias("n"), *[F.round(F.avg(f), 9).alias(f) for f in FEATURES], *[F.round(F.var_pop(f), 9).alias(f"var_{f}") for f in FEATURES]).collect()}
+    if len(stats) < 2:
+        return F.lit(1.0)
+    good, bad, score = stats[1], stats[0], F.lit(0.0)
+    for f, value in features(F.col("text")).items():
+        spread = (good["n"] * good[f"var_{f}"] + bad["n"] * bad[f"var_{f}"]) / (good["n"] + bad["n"])
+        if spread > 0:
+            score = score + (value - (good[f] + bad[f]) / 2) * ((good[f] - bad[f]) / spread)
+    return F.when(F.length("text") > 0, F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-score)))).otherwise(1.0)
 
 
 def sample_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
@@ -39,7 +65,7 @@ def _measures(weight: Column | None, seed: str) -> list[Column]:
     """doc_id, source, size and key of a row of documents."""
     doc_id, text = F.col("doc_id").cast("long"), F.col("text")
     size = F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
-    return [doc_id.alias("doc_id"), F.col("source").alias("source"), size.alias("size"), sample_key(doc_id, text, quality_weight(text) if weight is None else weight, seed).alias("key")]
+    return [doc_id.alias("doc_id"), F.col("source").alias("source"), size.alias("size"), sample_key(doc_id, text, F.lit(1.0) if weight is None else weight, seed).alias("key")]
 
 
 def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
@@ -123,7 +149,7 @@ def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies) per document of docs (doc_id, source, text, ...).
 
-    weight: the quality weight of a document, a column of docs; by default `quality_weight` of its text.
+    weight: the quality weight of a document, a column of docs, such as `fitted_weight`; 1 for all by default.
     A null text has size 0 and nothing of it is taken; a null source is a source of its own. The key of a row without
     doc_id comes from its text. Repeated rows count each, and as many of them are taken as fit; equal keys go by
     doc_id, then by size. A source of size 0 has target 0. An empty table gives an empty result. Other columns are
@@ -142,13 +168,22 @@ def mixed_documents(docs: DataFrame, weights: list[int] | None = None, share: fl
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
-#: The same in DuckDB: targets by levels over the sources in the order in which they reach their stop.
+_RATES = ", ".join(f"""(good.{f} - bad.{f}) / nullif((good.n * good.var_{f} + bad.n * bad.var_{f}) / (good.n + bad.n), 0) as rate_{f}, (good.{f} + bad.{f}) / 2 as mid_{f}""" for f in FEATURES)
+_SCORE = " + ".join(f"({f} - mid_{f}) * coalesce(rate_{f}, 0)" for f in FEATURES)
+
+#: The same in DuckDB: weights by the labelled documents' features, targets by levels over the sources in the order in which they reach their stop.
 SQL = rf"""
-with sized as (
-  select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
-    -ln((cast('0x' || substr(md5('{SEED}' || coalesce(cast(doc_id as varchar), 'text ' || md5(coalesce(text, '')))), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double)
-      / coalesce(greatest(0.05::double, 1 - 4 * ((length(text) - length(translate(text, '{SYMBOLS}', '')))::double / greatest(length(text), 1))), 1.0::double) as key
-  from documents),
+with worded as (select doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as l from documents),
+featured as (
+  select doc_id, source, text, cast(coalesce(len(l), 0) as bigint) as size, len(regexp_extract_all(text, '[^\p{{L}}\p{{N}}\s]'))::double / greatest(length(text), 1) as signs, len(regexp_extract_all(text, '[A-Z]'))::double / greatest(length(text), 1) as capitals,
+    len(list_distinct(l))::double / greatest(len(l), 1) as different, length(text)::double / greatest(len(l), 1) as length from worded),
+stats as (
+  select quality, count(*)::double as n, {", ".join(f"round(avg({f}), 9) as {f}, round(var_pop({f}), 9) as var_{f}" for f in FEATURES)} from featured join labels using (doc_id) where quality in (0, 1) and length(text) > 0 group by quality),
+rates as (select {_RATES} from stats good, stats bad where good.quality = 1 and bad.quality = 0),
+sized as (
+  select doc_id, source, size, -ln((cast('0x' || substr(md5('{SEED}' || coalesce(cast(doc_id as varchar), 'text ' || md5(coalesce(text, '')))), 1, 13) as bigint) + 0.5::double) / 4503599627370496::double)
+    / case when length(text) > 0 then greatest({LEAST_WEIGHT}::double, 1 / (1 + exp(-(coalesce({_SCORE}, 100))))) else 1.0::double end as key
+  from featured left join rates on true),
 weighed as (
   select source, sum(size)::bigint as source_size, case row_number() over (order by source nulls last) % 3 when 1 then 5.0::double when 2 then 2.0::double else 1.0::double end as w, 2.0::double * sum(size)::bigint as cap
   from sized group by source),
