@@ -37,7 +37,7 @@ from fundloom.llm.shared import materialize, small
 #: Bytes in a context at most, the least share of the corpus of a context or hot word, nats from which on a context is retained.
 DEPTH, SHARE, NATS = 7, 5e-6, 10.0
 #: Bytes of texts that are walked at once, columns of a walk, and counts in a block that is summed at once.
-PIECE, COLUMNS, BLOCK = 4 << 20, 4096, 1 << 16
+PIECE, COLUMNS, BLOCK = 2 << 20, 4096, 1 << 16
 #: Words of a task's counts that are held before they are passed on.
 HELD = 400_000
 END, BLANK = 10, 32
