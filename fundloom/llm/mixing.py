@@ -27,50 +27,54 @@ SIGNS, CAPITALS = r"[^\p{L}\p{N}\s]", "[A-Z]"
 LEAST_WEIGHT = 0.05
 
 
-def features(text: Column) -> dict[str, Column]:
-    words = F.regexp_extract_all(text, F.lit(WORDS), 0)
-    n, size = F.greatest(F.size(words), F.lit(1)), F.greatest(F.length(text), F.lit(1))
-    return {"signs": F.regexp_count(text, F.lit(SIGNS)) / size, "capitals": F.regexp_count(text, F.lit(CAPITALS)) / size, "different": F.size(F.array_distinct(words)) / n, "length": F.length(text) / n}
-
-
-def fitted_weight(docs: DataFrame, labels: DataFrame) -> Column:
-    """A weight for the column text, from LEAST_WEIGHT to 1: the probability that it is good, by what labelled documents are like.
-
-    docs (doc_id, text), labels (doc_id, quality 0 or 1). Good and bad ones differ in the means of their features, with
-    one variance for both (a linear discriminant that takes features as independent), which are sums over all labelled
-    rows. A null or empty text has weight 1, and so has each without labels of both kinds.
+def featured(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, source, size, FEATURES, and more) of docs (doc_id, source, text): each text's words are found once."""
+    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source")]
+    words = docs.select(*own, "text", F.regexp_extract_all("text", F.lit(WORDS), 0).alias("words"), *more)
+    n, size, count = F.greatest(F.size("words"), F.lit(1)), F.greatest(F.length("text"), F.lit(1)), lambda p: F.regexp_count("text", F.lit(p))
+    shares = {"signs": count(SIGNS) / size, "capitals": count(CAPITALS) / size, "different": F.size(F.array_distinct("words")) / n, "length": F.length("text") / n}
+    kept = [c for c in words.columns if c not in ("doc_id", "source", "text", "words")]
+    return words.select("doc_id", "source", F.greatest(F.size("words"), F.lit(0)).cast("long").alias("size"), *[F.coalesce(shares[f], F.lit(0.0)).alias(f) for f in FEATURES], *kept)
+
+
+def fitted_weight(rows: DataFrame, labels: DataFrame) -> Column:
+    """A weight by the FEATURES, from LEAST_WEIGHT to 1: the probability that a text is good, by what labelled documents are like.
+
+    rows (doc_id and FEATURES), narrow, labels (doc_id, quality 0 or 1). Good and bad ones differ in the means of their
+    features, with one variance for both (a linear discriminant that takes features as independent), which are sums
+    over all labelled rows. A null or empty text has weight 1, and so has each without labels of both kinds.
     """
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("_quality"))
-    rows = docs.select("doc_id", "text").join(known, "doc_id").where("length(text) > 0")
-    own = rows.select("_quality", *[c.alias(f) for f, c in features(F.col("text")).items()])
+    known = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("_quality"))
+    own = rows.where("length > 0").select("doc_id", *FEATURES).join(known, "doc_id")
     stats = {r["_quality"]: r for r in own.groupBy("_quality").agg(F.count("*").alias("n"), *[F.round(F.avg(f), 9).alias(f) for f in FEATURES], *[F.round(F.var_pop(f), 9).alias(f"var_{f}") for f in FEATURES]).collect()}
     if len(stats) < 2:
         return F.lit(1.0)
     good, bad, score = stats[1], stats[0], F.lit(0.0)
-    for f, value in features(F.col("text")).items():
+    for f in FEATURES:
         spread = (good["n"] * good[f"var_{f}"] + bad["n"] * bad[f"var_{f}"]) / (good["n"] + bad["n"])
         if spread > 0:
-            score = score + (value - (good[f] + bad[f]) / 2) * ((good[f] - bad[f]) / spread)
-    return F.when(F.length("text") > 0, F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-score)))).otherwise(1.0)
+            score = score + (F.col(f) - (good[f] + bad[f]) / 2) * ((good[f] - bad[f]) / spread)
+    return F.when(F.col("length") > 0, F.greatest(F.lit(LEAST_WEIGHT), 1 / (1 + F.exp(-score)))).otherwise(1.0)
 
 
-def sample_key(doc_id: Column, text: Column, weight: Column, seed: str = SEED) -> Column:
-    """The exponential key: of the id, or of the text where there is no id."""
+def sample_key(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """The exponential key at weight 1: of the id, or of the text where there is no id."""
     own = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(text, F.lit("")))))
     digits = F.conv(F.substring(F.md5(F.concat(F.lit(seed), own)), 1, 13), 16, 10)
-    return -F.log((digits.cast("double") + 0.5) / float(2**52)) / weight
+    return -F.log((digits.cast("double") + 0.5) / float(2**52))
 
 
-def _measures(weight: Column | None, seed: str) -> list[Column]:
-    """doc_id, source, size and key of a row of documents."""
-    doc_id, text = F.col("doc_id").cast("long"), F.col("text")
-    size = F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
-    return [doc_id.alias("doc_id"), F.col("source").alias("source"), size.alias("size"), sample_key(doc_id, text, F.lit(1.0) if weight is None else weight, seed).alias("key")]
+def measured(docs: DataFrame, labels: DataFrame | None, weight: Column | None, seed: str, fit_on: DataFrame | None = None) -> tuple[DataFrame, Column]:
+    """(doc_id, source, size, FEATURES, key, w) of each document, written, and the weight as a column of such rows, w where it is given."""
+    key = sample_key(F.col("doc_id").cast("long"), F.col("text"), seed).alias("key")
+    rows = materialize(featured(docs, key, (F.lit(1.0) if weight is None else weight).alias("w")), "sizes")
+    if labels is None:
+        return rows, F.col("w")
+    return rows, fitted_weight(rows if fit_on is None else featured(fit_on), labels)
 
 
-def measured(docs: DataFrame, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, key) of each document."""
-    return docs.select(*_measures(weight, seed))
+def _keyed(rows: DataFrame, weight: Column, *more: str) -> DataFrame:
+    return rows.select("doc_id", "source", "size", (F.col("key") / weight).alias("key"), *more)
 
 
 def targets(rows: DataFrame, weights: list[int], share: float, most: float) -> DataFrame:
@@ -146,25 +150,33 @@ def copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return plain.unionByName(equal.join(ranks, "_row").select(*own, (F.col("epochs") + (F.col("_rank") <= F.col("at_last")).cast("long")).alias("copies")))
 
 
-def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED, labels: DataFrame | None = None) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source, copies) per document of docs (doc_id, source, text, ...).
 
-    weight: the quality weight of a document, a column of docs, such as `fitted_weight`; 1 for all by default.
-    A null text has size 0 and nothing of it is taken; a null source is a source of its own. The key of a row without
-    doc_id comes from its text. Repeated rows count each, and as many of them are taken as fit; equal keys go by
-    doc_id, then by size. A source of size 0 has target 0. An empty table gives an empty result. Other columns are
-    ignored, whatever their names.
+    labels (doc_id, quality 0 or 1): documents are weighed by `fitted_weight`; without them by weight, a column of docs,
+    or all alike. A null text has size 0 and nothing of it is taken; a null source is a source of its own. The key of a
+    row without doc_id comes from its text. Repeated rows count each, and as many of them are taken as fit; equal keys
+    go by doc_id, then by size. A source of size 0 has target 0. Labels that are null, of other values or of other
+    documents are ignored. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    rows = materialize(measured(docs, weight, seed), "sizes")
+    rows, by = measured(docs, labels, weight, seed)
+    rows = _keyed(rows, by)
     plan = cuts(rows, weights or [5, 2, 1], share, most)
     return copies(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
-def mixed_documents(docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; all columns of docs."""
-    plan = cuts(materialize(measured(docs, weight, seed), "sizes"), weights or [5, 2, 1], share, most)
-    keyed = docs.select(*_measures(weight, seed), F.struct("*").alias("row"))
-    out = copies(keyed, plan).where("copies > 0").select("row", F.explode(F.expr("array_repeat(0, int(copies))")))
+def mixed_documents(
+    docs: DataFrame, weights: list[int] | None = None, share: float = 1.5, most: float = 2.0, weight: Column | None = None, seed: str = SEED, labels: DataFrame | None = None, fit_on: DataFrame | None = None
+) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it; all columns of docs. Nulls, ties, repeated rows and empty tables: as in `mix`.
+
+    fit_on (doc_id, text): the documents that the weight is fitted on, docs by default.
+    """
+    rows, by = measured(docs, labels, weight, seed, fit_on)
+    plan = cuts(_keyed(rows, by), weights or [5, 2, 1], share, most)
+    own = sample_key(F.col("doc_id").cast("long"), F.col("text"), seed).alias("key")
+    again = featured(docs, own, (F.lit(1.0) if weight is None else weight).alias("w"), F.struct("*").alias("row"))
+    out = copies(_keyed(again, by, "row"), plan).where("copies > 0").select("row", F.explode(F.expr("array_repeat(0, int(copies))")))
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 

@@ -41,8 +41,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, weight=mixing.fitted_weight(docs, table(spark, sf_dir, "labels")))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import xxhash
 from fundloom.llm import mixing, packing, simhash, substring
 from pyspark.sql import functions as F
 
-from fundloom.llm.mixing import fitted_weight, mix, mixed_documents
+from fundloom.llm.mixing import featured, fitted_weight, mix, mixed_documents
 from fundloom.llm.queries import tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, did string, h1 int, fp string, key double, length string"
@@ -308,13 +308,14 @@ def test_given_table_against_brute_force(spark):
 def test_fitted_weight(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
-    weight = fitted_weight(docs, labels)
-    by = {r.quality: r for r in docs.withColumn("w", weight).join(labels, "doc_id").groupBy("quality").agg(F.avg("w").alias("mean"), F.min("w").alias("least"), F.max("w").alias("most")).collect()}
+    rows = featured(docs)
+    weight = fitted_weight(rows, labels)
+    by = {r.quality: r for r in rows.withColumn("w", weight).join(labels, "doc_id").groupBy("quality").agg(F.avg("w").alias("mean"), F.min("w").alias("least"), F.max("w").alias("most")).collect()}
     assert by[1].mean > 0.9 and by[0].mean < 0.3 and by[0].least >= 0.05 and by[1].most <= 1
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b")], "doc_id long, text string")
-    assert [r.w for r in odd.select("doc_id", fitted_weight(docs, labels.where("quality = 1")).alias("w")).collect()] == [1.0] * 4
+    odd = featured(spark.createDataFrame([(1, None), (2, ""), (3, " "), (4, "a b")], "doc_id long, text string"))
+    assert [r.w for r in odd.select(fitted_weight(rows, labels.where("quality = 1")).alias("w")).collect()] == [1.0] * 4
     assert [r.w for r in odd.where("doc_id < 3").select(weight.alias("w")).collect()] == [1.0, 1.0]
     # A good document is rather taken than a bad one of the same source.
     one = docs.withColumn("source", F.lit("x"))
-    taken = {r.quality: r.more for r in mix(one, share=1.5, weight=weight).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("copies") - 1).alias("more")).collect()}
+    taken = {r.quality: r.more for r in mix(one, share=1.5, labels=labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("copies") - 1).alias("more")).collect()}
     assert taken[1] > taken[0] + 0.2
