@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fundloom.llm.jaccard import near_copies
-from fundloom.llm.mixing import fitted_weight, mixed_documents
+from fundloom.llm.mixing import mixed_documents
 from fundloom.llm.packing import pack
 from fundloom.llm.quality import keep_quality
 from fundloom.llm.queries import tokenizer_path
@@ -34,7 +34,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, rather those that look like labelled good ones; the weight is fitted on the corpus as it came, as bad documents are gone here."""
-    return mixed_documents(docs, weight=fitted_weight(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+    return mixed_documents(docs, labels=table(spark, sf_dir, "labels"), fit_on=table(spark, sf_dir, "documents"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
