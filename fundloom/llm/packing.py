@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from fundloom.llm.shared import materialize
 
 CAPACITY = 4096
-#: Words whose ids a Python worker keeps in each of two generations; a word not met again in a generation's time goes.
-CACHED_WORDS = 120_000
+#: Words whose ids a Python worker keeps in each of two generations, and bytes of them and their ids; a word not met again in a generation's time goes.
+CACHED_WORDS, CACHED_BYTES = 120_000, 32 << 20
 #: Fillings listed for one sequence, steps to list them, and steps of the whole search, those included. They bound the time spent on
 #: improving the incumbent and drop no piece; `least_sequences` in the output tells how far from a proof it stopped.
 WIDTH, FILL_NODES, SEARCH_NODES = 12, 1_000, 200_000
@@ -61,11 +61,11 @@ class _Words:
     the normalizer and the splitting, which would take most of the time.
     """
 
-    def __init__(self, path: str, most: int = CACHED_WORDS) -> None:
+    def __init__(self, path: str, most: int = CACHED_WORDS, most_bytes: int = CACHED_BYTES) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.most_bytes, self.held = Tokenizer.from_file(path), most, most_bytes, 0
         self.model, self.visible = self.tokenizer.model, _visible()
         self.plain = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == PLAIN
         self.recent: dict[bytes, bytes] = {}
@@ -78,8 +78,6 @@ class _Words:
         if None in found:
             learn = self._learn
             found = [learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
-            if len(self.recent) > self.most:
-                self.recent, self.older = {}, self.recent
         return b"".join(found)
 
     def _learn(self, word: bytes) -> bytes:
@@ -91,13 +89,19 @@ class _Words:
                 ids = array("I", self.tokenizer.encode(shown, add_special_tokens=False).ids).tobytes()
             else:
                 ids = b"".join([self._run(x) for x in parts.groups() if x])
-            self.recent[word] = ids
+            self._keep(word, ids)
         return ids
 
+    def _keep(self, word: bytes, ids: bytes) -> None:
+        self.recent[word] = ids
+        self.held += len(word) + len(ids)
+        if len(self.recent) > self.most or self.held > self.most_bytes:
+            self.recent, self.older, self.held = {}, self.recent, 0
+
     def _known(self, word: bytes) -> bytes | None:
         ids = self.recent.get(word)
         if ids is None and (ids := self.older.get(word)) is not None:
-            self.recent[word] = ids
+            self._keep(word, ids)
         return ids
 
     def _run(self, part: str) -> bytes:
@@ -106,7 +110,8 @@ class _Words:
         ids = self._known(raw)
         if ids is None:
             shown = part if part.isascii() else raw.decode("latin-1").translate(self.visible)
-            ids = self.recent[raw] = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            ids = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+            self._keep(raw, ids)
         return ids
 
 

@@ -319,3 +319,15 @@ def test_fitted_weight(spark):
     one = docs.withColumn("source", F.lit("x"))
     taken = {r.quality: r.more for r in mix(one, share=1.5, labels=labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("copies") - 1).alias("more")).collect()}
     assert taken[1] > taken[0] + 0.2
+
+
+def test_cache_of_words_is_bounded_by_bytes():
+    words = packing._Words(tokenizer_path(), most_bytes=20_000)
+    whole = packing._Words(tokenizer_path())
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(rng.choice(list("abcdé"), 900)) for _ in range(12)).encode() for _ in range(6)]
+    for text in texts * 2:
+        assert words.encode(text) == whole.encode(text)
+        for kept in (words.recent, words.older):
+            assert sum(len(w) + len(ids) for w, ids in kept.items()) <= 20_000 + 5 * 1_800
+    assert words.encode(b"word " * 5) == whole.encode(b"word " * 5)
