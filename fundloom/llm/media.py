@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import attach, materialize, scratch_dir
+from fundloom.llm.shared import attach, materialize, scratch_path
 
 #: Bytes of a chunk: least, and most; one cut in 2^CUT_BITS positions between them.
 SMALLEST, LARGEST, CUT_BITS = 512, 8_192, 10
@@ -205,7 +205,7 @@ class Store:
         kept = F.when(F.col("skip").isNull(), F.col("data")).otherwise(F.transform("data", lambda x, i: F.when(~F.array_contains("skip", i), x)))
         own = whole.join(skip, "media_id", "left").select("media_id", "head", kept.alias("data"))
         self.name = f"media_{uuid.uuid4().hex}"
-        own.write.bucketBy(self.parts, "media_id").option("compression", "none").option("path", f"{scratch_dir(spark)}/{self.name}").format("parquet").saveAsTable(self.name)
+        own.write.bucketBy(self.parts, "media_id").option("compression", "none").option("path", scratch_path(spark, "media")).format("parquet").saveAsTable(self.name)
 
     def read(self) -> DataFrame:
         """(media_id, payload_sha256, tail_crc32, media_bytes, feature) per medium, each checked against its digest."""

@@ -28,16 +28,22 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_folders[app]
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet; clear_scratch deletes what is written there."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> str:
     """Writes df as a table in the shared folder; its path."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return path
 
 
 def clear_scratch(spark: SparkSession) -> int:
-    """Deletes the tables that the operators of this application have left in the shared folder, and says how many.
+    """Deletes the tables, archives and media that the operators of this application have left in the shared folder, and says how many.
 
     To be called when their results have been written elsewhere: a result that is still to be computed reads them.
     """

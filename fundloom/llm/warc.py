@@ -7,12 +7,11 @@ jumping from offset 0 of each file marks the records that the chain reaches; wha
 
 from __future__ import annotations
 
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fundloom.llm.shared import attach, materialize, scratch_dir
+from fundloom.llm.shared import attach, materialize, scratch_path
 
 VERSION, END = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads shorter than this are never revisits.
@@ -145,7 +144,7 @@ def archive_pages(pages: DataFrame, least: int = LEAST) -> DataFrame:
     ignored, whatever their names.
     """
     spark = pages.sparkSession
-    path = f"{scratch_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "warc")
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     write_archives(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")), path, least)
     return read_archives(spark, path)

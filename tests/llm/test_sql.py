@@ -1,5 +1,7 @@
 """Operators that SQL can express, against DuckDB on the given tables."""
 
+import os
+
 import duckdb
 import pytest
 
@@ -26,6 +28,15 @@ def test_scratch_tables_can_be_cleared(spark):
         spark.read.parquet(kept)
 
 
+def test_archives_and_media_are_cleared_too(spark):
+    shared.clear_scratch(spark)
+    had = set(os.listdir(shared.scratch_dir(spark)))
+    for name in ("op4_warc", "op7_media"):
+        QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert set(os.listdir(shared.scratch_dir(spark))) > had and shared.clear_scratch(spark) > 0
+    assert set(os.listdir(shared.scratch_dir(spark))) <= had
+
+
 @pytest.mark.parametrize("size", [10, 10**9])
 def test_broadcasts_are_bounded_by_bytes(spark, monkeypatch, size):
     monkeypatch.setattr(shared, "BROADCAST_BYTES", size)
