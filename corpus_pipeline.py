@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,7 @@ from fundloom.llm.mixing import mixed_documents
 from fundloom.llm.packing import pack
 from fundloom.llm.quality import keep_quality
 from fundloom.llm.queries import tokenizer_path
-from fundloom.llm.shared import attach, materialize, scratch_dir, table
+from fundloom.llm.shared import attach, materialize, scratch_path, table
 from fundloom.llm.substring import without_repeats
 
 
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = f"{scratch_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+        path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
