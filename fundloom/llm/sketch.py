@@ -133,7 +133,7 @@ def encode(cells: str) -> Column:
 
 
 def _rank(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are at most key; FAN of them are compared, or twice as many where there are more."""
+    """How many of the sorted bounds are at most key; FAN of them are compared, or where there are more, FAN and one in FAN of all."""
     few = lambda values: F.array(*map(F.lit, values))
     count = lambda values: F.size(F.filter(values, lambda b: b <= key))
     if len(bounds) <= FAN:
@@ -155,7 +155,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n, nulls = docs.agg(F.count("doc_id"), F.count_if(missing)).first()
     least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = min(max(least, -(-n // PART_ROWS)), FAN * FAN)
+    parts = max(least, -(-n // PART_ROWS))
     bounds = docs.where(~missing).agg(F.percentile_approx(key, [k / parts for k in range(1, parts)], 20 * parts)).first()[0] if n else None
     bounds, hashed = sorted(set(bounds or [])), -(-nulls // PART_ROWS)
     part = F.when(missing, F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)), F.lit(max(1, hashed))).cast("int") - hashed).otherwise(_rank(key, bounds))
