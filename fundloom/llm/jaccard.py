@@ -8,9 +8,9 @@ bucket with probability (1 - s^ROWS)^BANDS: 7 in 100,000 at 0.8, one in a billio
 count once. The sets of a bucket are brought together, and a search from set to set emits the links of a spanning forest
 of the pairs whose exact similarity reaches the least; a link is never taken from a candidate alone.
 
-No bucket is capped. Those of more than CROWD sets, large groups of copies as a rule, are first compared with one of
-their sets, row by row. What is similar to it is linked and done among itself; the rest is compared with itself and with
-the linked ones, in pairs of blocks of about BLOCK sets.
+No bucket is capped. Those of more than CROWD sets or CROWD_HASHES hashes, large groups of copies or long texts as a
+rule, are first compared with one of their sets, row by row. What is similar to it is linked and done among itself; the
+rest is compared with itself and with the linked ones, in pairs of blocks of about BLOCK sets or BLOCK_HASHES hashes.
 """
 
 from __future__ import annotations
@@ -31,8 +31,11 @@ SHINGLE, LEAST = 5, 0.8
 ROWS, BANDS = 5, 24
 #: Shingles that are put through all hash functions at a time.
 AT_ONCE = 2048
-#: Sets from which on a bucket is crowded, and sets in a block of its rest.
+#: Shingles of a text whose places are held as Python's numbers at a time.
+SPANS = 1 << 15
+#: Sets and hashes beyond which a bucket is crowded, and those in a block of its rest: a task holds a bucket's sets together.
 CROWD, BLOCK = 2_000, 1_000
+CROWD_HASHES, BLOCK_HASHES = 1 << 21, 1 << 20
 
 
 def _mixed(first: int, n: int) -> np.ndarray:
@@ -48,15 +51,16 @@ XOR, TIMES = _mixed(1, ROWS * BANDS)[:, None], _mixed(1001, ROWS * BANDS)[:, Non
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the different word shingles; A-Z lower-cased; a text of fewer words is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
+    joined = b" ".join((text or b"").lower().split())
+    if not joined:
         return np.zeros(0, np.uint64)
-    joined, size = b" ".join(words), min(shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh3_64_intdigest
-    spans = zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[a:b]) for a, b in spans), np.uint64, len(words) - size + 1))
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == ord(" ")), len(joined))
+    starts, size = np.concatenate(([0], ends[:-1] + 1)), min(shingle, len(ends))
+    starts, ends, digest = starts[: len(ends) - size + 1], ends[size - 1 :], xxhash.xxh3_64_intdigest
+    out = np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), SPANS):
+        out[k : k + SPANS] = [digest(joined[a:b]) for a, b in zip(starts[k : k + SPANS].tolist(), ends[k : k + SPANS].tolist(), strict=True)]
+    return np.unique(out)
 
 
 def _key(hashes: np.ndarray) -> int:
@@ -85,8 +89,8 @@ def similar_links(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[in
     out, open_ = [], np.arange(len(sets))
     size = np.array([len(s) for s in sets])
     values, token = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    owner, starts = np.repeat(np.arange(len(sets)), size), ends - size
+    token, ends = token.astype(np.int32), np.cumsum(size)
+    owner, starts = np.repeat(np.arange(len(sets), dtype=np.int32), size), ends - size
     unseen = np.ones(len(sets), bool)
 
     def postings() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +140,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         for k in range(0, whole.num_rows, 500):
             found = [shingles(text.as_py(), shingle) for text in whole.column(0).slice(k, 500)]
             keys = np.array([_key(s) for s in found], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array([len(s) for s in found], pa.int32()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "size", "hashes"])
 
 
 def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
@@ -162,27 +166,31 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
 
 def _beside(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, key, hashes, first, first_hashes) -> (bucket, key, first, near): whether the set is similar to the first one."""
+    """Rows (bucket, key, hashes, first, first_hashes) -> (bucket, key, first, size, near): whether the set is similar to the first one."""
     for batch in batches:
-        near = []
+        near, size = [], []
         for a, b in zip(batch.column(2), batch.column(4), strict=True):
             a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
             common = len(np.intersect1d(a, b, assume_unique=True))
             near.append(common > 0 and common / (len(a) + len(b) - common) >= least)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(near, pa.bool_())], ["bucket", "key", "first", "near"])
+            size.append(len(a))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(size, pa.int32()), pa.array(near, pa.bool_())], ["bucket", "key", "first", "size", "near"])
 
 
 def _uncrowded(members: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """members (bucket, key), crowded ones with links to their first set and dealt anew: (members, links). Members are as they are if none is crowded."""
-    sizes = materialize(members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("key").alias("first")).where(F.col("n") > CROWD), "crowded")
+    weighed = attach(members, sets.select("key", "size"), ["key"])
+    sizes = weighed.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"), F.min("key").alias("first"))
+    sizes = materialize(sizes.where((F.col("n") > CROWD) | (F.col("hashes") > CROWD_HASHES)), "crowded")
     none = members.sparkSession.createDataFrame([], "a long, b long")
     if sizes.isEmpty():
         return members, none
     firsts = materialize(sizes.select("bucket", "first").join(sets.select(F.col("key").alias("first"), F.col("hashes").alias("first_hashes")), "first"), "firsts")
     crowd = attach(attach(members, firsts, ["bucket"]).where("key <> first"), sets, ["key"]).select("bucket", "key", "hashes", "first", "first_hashes")
-    told = materialize(crowd.mapInArrow(lambda it: _beside(it, least), "bucket long, key long, first long, near boolean"), "told")
+    told = materialize(crowd.mapInArrow(lambda it: _beside(it, least), "bucket long, key long, first long, size int, near boolean"), "told")
     links = told.where("near").select(F.col("first").alias("a"), F.col("key").alias("b"))
-    counts = told.groupBy("bucket").agg(F.ceil(F.count_if("near") / BLOCK).cast("int").alias("near_blocks"), F.ceil(F.count_if(~F.col("near")) / BLOCK).cast("int").alias("rest_blocks")).where("rest_blocks > 0")
+    blocks = lambda which: F.ceil(F.greatest(F.count_if(which) / BLOCK, F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)) / BLOCK_HASHES)).cast("int")
+    counts = told.groupBy("bucket").agg(blocks(F.col("near")).alias("near_blocks"), blocks(~F.col("near")).alias("rest_blocks")).where("rest_blocks > 0")
     dealt = attach(told, materialize(counts, "blocks"), ["bucket"])
     block = lambda n: F.pmod(F.xxhash64("key"), F.greatest(F.col(n), F.lit(1))).cast("int")
     to = lambda a, b: F.xxhash64(F.lit("blocks"), "bucket", a, b)
@@ -217,7 +225,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, r
     once = materialize(shared.groupBy("n", "x", "least", "most").agg(F.min("bucket").alias("bucket")).select("bucket"), "buckets")
     members = materialize(attach(held, once, ["bucket"], "left_semi").select("bucket", "key"), "members")
     wanted = materialize(keys.join(members.select("key").distinct(), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "wanted")
-    sets = materialize(attach(rows, wanted, ["doc_id"], "left_semi").select("text").mapInArrow(lambda it: _sets(it, shingle), "key long, hashes binary").dropDuplicates(["key"]), "sets")
+    sets = materialize(attach(rows, wanted, ["doc_id"], "left_semi").select("text").mapInArrow(lambda it: _sets(it, shingle), "key long, size int, hashes binary").dropDuplicates(["key"]), "sets")
     members, links = _uncrowded(members, sets, least)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     brought = members.join(sets, "key").select("bucket", "key", "hashes").repartition(n, "bucket").sortWithinPartitions("bucket")

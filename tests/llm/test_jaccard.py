@@ -3,6 +3,7 @@
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from fundloom.llm import jaccard
@@ -49,7 +50,8 @@ def test_stage_finds_all_near_copies(spark):
     assert len(kept) == len(set(kept)) and set(kept) == brute_kept(rows)
 
 
-def test_crowded_buckets_lose_no_link(spark, monkeypatch):
+@pytest.mark.parametrize("bounds", [{"CROWD": 4, "BLOCK": 6}, {"CROWD_HASHES": 400, "BLOCK_HASHES": 600}])
+def test_crowded_buckets_lose_no_link(spark, monkeypatch, bounds):
     rnd = np.random.default_rng(11)
     base = [f"w{x}" for x in rnd.integers(0, 500, 120)]
     rows = []
@@ -58,8 +60,8 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         for at in rnd.integers(0, len(words), 1 + k % 5):
             words[at] = f"n{k}"
         rows.append((k, " ".join(words)))
-    monkeypatch.setattr(jaccard, "CROWD", 4)
-    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    for name, value in bounds.items():
+        monkeypatch.setattr(jaccard, name, value)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard.near_copies(docs).collect()}
     assert {d for d, c in got.items() if d == c} == brute_kept(rows)
@@ -74,6 +76,15 @@ def test_stage_with_nulls_and_repeated_rows(spark):
     assert got == Counter(r.doc_id for r in docs.collect() if r.doc_id is None or r.doc_id in want)
 
 
+def test_shingles_of_a_text_longer_than_a_stretch(monkeypatch):
+    text = b"  One two\tthree\r\ntwo one  two three four " * 50
+    want = jaccard.shingles(text)
+    assert len(want) == len({tuple(text.lower().split()[k : k + 5]) for k in range(50 * 8 - 4)})
+    monkeypatch.setattr(jaccard, "SPANS", 7)
+    assert np.array_equal(jaccard.shingles(text), want)
+    assert [len(jaccard.shingles(t)) for t in (None, b"", b" \n", b"one", b"a b c d e")] == [0, 0, 0, 1, 1]
+
+
 def test_links_span_exactly_the_similar_pairs():
     rnd = np.random.default_rng(5)
     base = rnd.integers(0, 10**6, 60)
