@@ -80,6 +80,11 @@ class _Words:
             found = [learn(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
+    def forget(self) -> None:
+        """Lets all words go: workers outlive their tasks, and other stages need the memory."""
+        self.recent, self.older, self.held = {}, {}, 0
+        pa.default_memory_pool().release_unused()
+
     def _learn(self, word: bytes) -> bytes:
         ids = self._known(word)
         if ids is None:
@@ -133,6 +138,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
                             column.append(value)
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.forget()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
