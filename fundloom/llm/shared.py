@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes that a broadcast side may have at most, uncompressed, as Spark counts its columns.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch of rows on their way to Python; the JVM and the worker each hold one, and Spark's default is 64 MiB.
+BATCH_BYTES = 8 << 20
 
 _own_folders: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
@@ -35,10 +39,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most BATCH_BYTES meanwhile; the session's setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> str:
     """Writes df as a table in the shared folder; its path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with _small_batches(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 
