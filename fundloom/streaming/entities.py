@@ -18,7 +18,7 @@ def stream_pages(spark: SparkSession, folder: str, files_at_once: int = 100) ->
 
 def page_entities(pages: DataFrame) -> DataFrame:
     """Entities of the texts of pages, stream or not: no state, so no watermark is needed."""
-    return text_entities(parse_pages(pages).select(F.col("page_id").alias("doc_id"), "text"))
+    return text_entities(parse_pages(pages, "text").select(F.col("page_id").alias("doc_id"), "text"))
 
 
 def write_available(entities: DataFrame, path: str, checkpoint: str) -> None:
