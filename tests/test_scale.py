@@ -46,3 +46,39 @@ def test_a_table_is_read_once(spark):
     assert [tuple(s) for s in r.sectors] == [("Energy", 7.0), ("Health", 20.0)]
     plan = QUERIES["table_entities"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def _plan(spark, name):
+    return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_are_not_dealt_by_field(spark):
+    plan = _plan(spark, "mapping_by_file")
+    assert "SortMergeJoin" not in plan and "hashpartitioning(field" not in plan
+
+
+def test_records_deal_their_entities_once(spark):
+    plan = _plan(spark, "records_pivot")
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("REPARTITION_BY_NUM") == 2  # the parts and their entities
+    assert _plan(spark, "page_text_entities").count("Exchange hashpartitioning") == 1
+
+
+def test_packages_are_made_of_records_made_once(spark):
+    assert _plan(spark, "export_packages").count("MapInArrow") == 1
+
+
+def test_files_are_hashed_in_several_tasks(spark, tmp_path):
+    written, named = [], []
+    frame = type(spark.range(1))
+    coalesced = frame.coalesce
+    try:
+        frame.coalesce = lambda self, n: written.append(n) or coalesced(self, n)
+        rows = QUERIES["records_pivot"](spark, SF)
+        from fundloom.operators import export
+        from fundloom.plans.queries import records
+
+        base = export.write_files(records(spark, SF), str(tmp_path), name="run")
+        named = spark.read.parquet(f"{base}/manifest").where("kind = 'csv'").collect()
+    finally:
+        frame.coalesce = coalesced
+    assert not written and len(named) > 1 and rows.count() == 200 and export.verified(spark, base).where("not ok").isEmpty()
