@@ -58,10 +58,9 @@ def packages(rows: DataFrame, provenance: DataFrame | None = None, stamp: Column
     trail string, quality_score) if there is one, and the hash of the records alone. stamp: when it was exported; now by default.
     """
     record = F.to_json(F.struct(*FIELDS))
-    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", record.alias("r")))).alias("x"), F.count("*").alias("n"))
-    grouped = grouped.select("doc_id", "n", F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["r"]), ","), F.lit("]")).alias("data"))
-    covered = coverage(rows).select("doc_id", "populated", "fields")
-    grouped = grouped.join(covered, "doc_id", "left").withColumn("content_hash", canonical_hash("data"))
+    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("security_id", record.alias("r")))).alias("x"), F.count("*").alias("n"), _some_filled().alias("f"))
+    grouped = grouped.select("doc_id", "n", F.size("f").alias("populated"), "f", F.concat(F.lit("["), F.array_join(F.transform("x", lambda e: e["r"]), ","), F.lit("]")).alias("data"))
+    grouped = grouped.withColumn("content_hash", canonical_hash("data"))
     if provenance is not None:
         grouped = grouped.join(provenance.select("doc_id", "trail", "quality_score"), "doc_id", "left")
     else:
@@ -69,7 +68,7 @@ def packages(rows: DataFrame, provenance: DataFrame | None = None, stamp: Column
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX") if stamp is None else stamp
     text = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
     share = F.bround(F.col("populated") / len(FIELDS) * 100, 1)
-    names = F.to_json(F.filter(F.split("fields", ","), lambda f: f != ""))
+    names = F.to_json("f")
     body = F.concat(
         F.lit(f'{{"data_import":{{"format_version":"{FORMAT_VERSION}","schema":"{SCHEMA_NAME}","schema_version":"{SCHEMA_VERSION}","export_timestamp":'), text(stamp),
         F.lit(',"record_count":'), F.col("n").cast("string"), F.lit(',"data":'), F.col("data"),
@@ -80,15 +79,20 @@ def packages(rows: DataFrame, provenance: DataFrame | None = None, stamp: Column
     return grouped.select("doc_id", body.alias("package"), "content_hash")
 
 
+def _some_filled() -> Column:
+    """The fields that some record of a group fills, in order of their names."""
+    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & ((F.lit(True) if f in NESTED else F.col(f).cast("string") != "")), F.lit(f)) for f in FIELDS]))
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(filled))))
+
+
 def coverage(rows: DataFrame) -> DataFrame:
     """(doc_id, populated, total, fields): fields that some record fills."""
-    filled = F.array_compact(F.array(*[F.when(F.col(f).isNotNull() & ((F.lit(True) if f in NESTED else F.col(f).cast("string") != "")), F.lit(f)) for f in FIELDS]))
-    grouped = rows.select("doc_id", F.explode(filled).alias("f")).groupBy("doc_id").agg(F.array_sort(F.collect_set("f")).alias("f"))
+    grouped = rows.groupBy("doc_id").agg(_some_filled().alias("f"))
     return grouped.select("doc_id", F.size("f").cast("long").alias("populated"), F.lit(len(FIELDS)).cast("long").alias("total"), F.array_join("f", ",").alias("fields"))
 
 
 #: Bytes of a file are hashed as one value, so a file has so many rows at most.
-FILE_ROWS = 100_000
+FILE_ROWS = 20_000
 
 
 def run_name(stamp: datetime.datetime | None = None) -> str:
@@ -109,7 +113,8 @@ def write_files(rows: DataFrame, path: str, provenance: DataFrame | None = None,
     if provenance is not None:
         limited(provenance.select("trail")).text(f"{base}/provenance")
         kinds.append("provenance")
-    _files(rows.sparkSession, base, kinds).coalesce(1).write.mode("overwrite").parquet(f"{base}/manifest")
+    # Files are read and hashed where they are dealt; only their names and hashes come together.
+    _files(rows.sparkSession, base, kinds).repartition(1).write.mode("overwrite").parquet(f"{base}/manifest")
     return base
 
 
