@@ -1,11 +1,13 @@
 """How work is dealt to tasks, and that pages are read as the standard library's parser reads them."""
 
+import re
+
 import pytest
 
 from fundloom.functions.dealing import parts_of
 from fundloom.operators import tables
 from fundloom.plans.queries import QUERIES
-from fundloom.sources import html
+from fundloom.sources import carrier, html
 from fundloom.sources.carrier import fund_pages
 
 SF = "/root/testdata/sf0.001"
@@ -63,6 +65,18 @@ def test_records_deal_their_entities_once(spark):
     assert _plan(spark, "page_text_entities").count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["export_coverage", "quality_band", "quality_score", "records_pivot", "sec_id", "export_csv_rows", "field_coverage", "completeness", "segment_securities", "segment_by_ticker", "segment_by_name", "dedup_keep_best"],
+)
+def test_a_task_sorts_no_more_entities_as_sheets_grow(spark, monkeypatch, name):
+    monkeypatch.setattr(carrier, "AT_ONCE", 20)  # of 200 sheets, where the session shuffles to 4
+    dealt = re.findall(r"Exchange hashpartitioning\((.*), (\d+)\), (\w+)", _plan(spark, name))
+    if name == "field_coverage":
+        del dealt[0]  # a task's sums of the 31 fields
+    assert [d[1:] for d in dealt] == [("10", "REPARTITION_BY_NUM")] * 2  # the parts and their entities
+
+
 def test_packages_are_made_of_records_made_once(spark):
     assert _plan(spark, "export_packages").count("MapInArrow") == 1
 
